@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("scalars", "frames")
+MODULES = ("scalars", "frames", "rules", "audit", "profile", "pooling")
 
 
 def _import_all() -> None:
