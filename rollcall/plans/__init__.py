@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.plans.registry import QUERIES, SQL, Query
 
-MODULES = ("scalars", "frames", "rules", "audit", "profile", "pooling", "metrics", "ensemble")
+MODULES = ("scalars", "frames", "rules", "audit", "profile", "pooling", "metrics", "ensemble", "sampling", "learn", "sources", "streaming")
 
 
 def _import_all() -> None:
