@@ -65,7 +65,7 @@ def pcm_qc(df: DataFrame, path: str, content: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [{"path": p, **measure(bytes(c))} for p, c in zip(batch[path], batch[content])]
-            yield pd.DataFrame(rows, columns=names).astype({"rate": "Int32", "channels": "Int32", "sample_width": "Int32"})
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return df.select(path, content).mapInPandas(run, ITEM_QC)
 

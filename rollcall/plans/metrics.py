@@ -245,7 +245,7 @@ def running_best(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gate_stop_status",
-    """SELECT user_id, count(*) AS n_steps, arg_max(v, (ts, event_id)) FILTER (WHERE TRUE) AS latest, min(v) AS best, coalesce(bool_or(v <= 2.0), FALSE) AS reached,
+    """SELECT user_id, count(*) AS n_steps, arg_max(v, (ts, event_id)) AS latest, min(v) AS best, coalesce(bool_or(v <= 2.0), FALSE) AS reached,
          coalesce(min(v) <= 2.0, FALSE) AS stop_min, coalesce(max(v) >= 60.0, FALSE) AS stop_max FROM (SELECT user_id, event_id, ts, value AS v FROM events) GROUP BY 1""",
 )
 def stop_status(spark: SparkSession, sf: str) -> DataFrame:

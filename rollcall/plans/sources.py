@@ -218,7 +218,7 @@ def resume(spark: SparkSession, sf: str) -> DataFrame:
     for name, wanted in (("first", docs.filter("doc_id % 3 = 0")), ("second", docs), ("third", docs)):
         table = S.resume(spark, wanted, path, ["doc_id"], compute)
         row = table.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_unique")).collect()[0]
-        part = table.limit(1).select(F.lit(name).alias("run"), F.lit(row["n"]).alias("n"), F.lit(row["n_unique"]).alias("n_unique"))
+        part = table.limit(1).select(F.lit(name).alias("run"), F.lit(row["n"]).cast("long").alias("n"), F.lit(row["n_unique"]).cast("long").alias("n_unique"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -16,7 +16,7 @@ from rollcall.streaming import jobs as J
 
 @query(
     "strm_metric_monitor",
-    f"WITH {_LOG} SELECT run, count(*) AS n_steps, arg_max(mae, epoch) FILTER (WHERE TRUE) AS latest, min(mae) AS best, coalesce(bool_or(mae <= 2.0), FALSE) AS reached FROM lg GROUP BY run",
+    f"WITH {_LOG} SELECT run, count(*) AS n_steps, arg_max_null(mae, epoch) AS latest, min(mae) AS best, coalesce(bool_or(mae <= 2.0), FALSE) AS reached FROM lg GROUP BY run",
 )
 def monitor(spark: SparkSession, sf: str) -> DataFrame:
     source, out, state = (new_path(spark, n) for n in ("log", "monitor", "state"))
