@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.numbers import clip, target_bin
-from rollcall.operators.grouped import group_quantiles, lookup_join, same_keys
+from rollcall.operators.grouped import attach, attach_quantile, group_quantiles, lookup_join
 
 
 @dataclass(frozen=True)
@@ -84,30 +84,31 @@ def segment_value(kind: str, field: str) -> Column:
     return out
 
 
-def fit_segments(df: DataFrame, kind: str, keys: Sequence[str], y: str, pred: str, group: str) -> DataFrame:
+def fit_segments(df: DataFrame, kind: str, keys: Sequence[str], y: str, pred: str, group: str, known: int | None = None) -> DataFrame:
     """(keys, segment, slope, intercept) of the segments that have enough rows.
 
     The slope is the sample covariance over the population variance, limited;
     the intercept is the median of what the slope leaves.
     """
     rows = df.select(*keys, y, pred, segment_of(kind, F.col(pred), F.col(group)).alias("segment")).filter("segment IS NOT NULL")
+    known = rows.count() if known is None else known
     by = [*keys, "segment"]
-    stats = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(pred).alias("_var"), F.covar_samp(pred, y).alias("_cov")
-    ).filter(F.col("n") >= segment_value(kind, "min_rows"))
-    raw = F.col("_cov") / F.col("_var")
-    limited = F.least(F.greatest(raw, segment_value(kind, "slope_low")), segment_value(kind, "slope_high"))
+    stats = {"_n": F.count(F.lit(1)), "_var": F.var_pop(pred), "_cov": F.covar_samp(pred, y)}
+    rows = attach(rows, by, stats, known).filter(F.col("_n") >= segment_value(kind, "min_rows"))
+    limited = F.least(F.greatest(F.col("_cov") / F.col("_var"), segment_value(kind, "slope_low")), segment_value(kind, "slope_high"))
     slope = F.when(F.col("_var") > 1e-6, limited).otherwise(segment_value(kind, "flat_slope"))
-    stats = stats.select(*by, "n", slope.alias("slope"))
-    left = lookup_join(rows, stats, by, how="inner").withColumn("_rest", F.col(y) - F.col("slope") * F.col(pred))
-    return same_keys(stats, group_quantiles(left, by, "_rest", {"intercept": 0.5}), by, "inner")
+    rows = rows.withColumn("_slope", slope).withColumn("_rest", F.col(y) - F.col("_slope") * F.col(pred))
+    return group_quantiles(rows, by, "_rest", {"intercept": 0.5}, aggs={"n": F.max("_n"), "slope": F.max("_slope")}, known=known)
 
 
-def apply_segments(df: DataFrame, params: DataFrame, kind: str, keys: Sequence[str], pred: str, group: str, out: str) -> DataFrame:
+def apply_segments(
+    df: DataFrame, params: DataFrame, kind: str, keys: Sequence[str], pred: str, group: str, out: str, known: int | None = None
+) -> DataFrame:
     """Calibrated prediction; rows outside every segment, or in one without parameters, stay."""
     p = F.col(pred)
     rows = df.withColumn("segment", segment_of(kind, p, F.col(group)))
-    rows = lookup_join(rows, params.select(*keys, "segment", "slope", "intercept"), [*keys, "segment"])
+    bound = known if keys else len(SEGMENTS[kind])
+    rows = lookup_join(rows, params.select(*keys, "segment", "slope", "intercept"), [*keys, "segment"], known=bound)
     defaults = {s.name: s.default for s in SEGMENTS[kind] if s.default}
     slope, intercept = F.col("slope"), F.col("intercept")
     for name, (a, b) in defaults.items():
@@ -123,18 +124,13 @@ def apply_segments(df: DataFrame, params: DataFrame, kind: str, keys: Sequence[s
     return rows.withColumn(out, F.coalesce(value, p)).drop("segment", "slope", "intercept")
 
 
-def fit_offsets(df: DataFrame, keys: Sequence[str], y: str, pred: str, source: str, group: str) -> DataFrame:
+def fit_offsets(df: DataFrame, keys: Sequence[str], y: str, pred: str, source: str, group: str, known: int | None = None) -> DataFrame:
     """(keys, source, group, global_offset, group_offset): shrunken medians of the residuals."""
     rows = df.select(*keys, source, group, (F.col(y) - F.col(pred)).alias("_r"))
-    overall = group_quantiles(rows, keys, "_r", {"global_offset": 0.5})
-    if keys:
-        rows = lookup_join(rows, overall, keys)
-    else:
-        rows = rows.withColumn("global_offset", overall.select("global_offset").scalar())
-    rows = rows.withColumn("_c", F.col("_r") - F.col("global_offset"))
+    known = rows.count() if known is None else known
+    rows = attach_quantile(rows, keys, "_g", "_r", 0.5, known=known).withColumn("_c", F.col("_r") - F.col("_g"))
     by = [*keys, source, group]
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("global_offset").alias("global_offset"))
-    out = same_keys(sizes, group_quantiles(rows, by, "_c", {"_m": 0.5}), by, "left")
+    out = group_quantiles(rows, by, "_c", {"_m": 0.5}, aggs={"_n": F.count(F.lit(1)), "global_offset": F.max("_g")}, known=known)
     shrunk = F.col("_n") / (F.col("_n") + 20.0) * F.col("_m")
     return out.select(*by, "global_offset", F.when(F.col("_n") >= 5, shrunk).alias("group_offset"))
 
@@ -146,18 +142,15 @@ def snap(c: Column, grid: float = 2.54) -> Column:
 
 def apply_offsets(
     df: DataFrame, params: DataFrame, kind: str, keys: Sequence[str], pred: str, source: str, group: str, out: str,
-    snapped: Sequence[str] = (), damped_group: int = 1,
+    snapped: Sequence[str] = (), damped_group: int = 1, known: int | None = None,
 ) -> DataFrame:
     """Global offset plus group offset; ``group_snap`` damps it at low values and snaps some sources."""
     overall = params.groupBy(*keys).agg(F.max("global_offset").alias("_g"))
-    if keys:
-        rows = lookup_join(df, overall, keys)
-    else:
-        rows = df.withColumn("_g", overall.select("_g").scalar())
+    rows = lookup_join(df, overall, keys, known=known)
     moved = F.col(pred) + F.coalesce("_g", F.lit(0.0))
     if kind == "global":
         return rows.withColumn(out, moved).drop("_g")
-    rows = lookup_join(rows, params.select(*keys, source, group, "group_offset"), [*keys, source, group])
+    rows = lookup_join(rows, params.select(*keys, source, group, "group_offset"), [*keys, source, group], known=known)
     offset = F.coalesce("group_offset", F.lit(0.0))
     if kind == "group_snap":
         low = (F.col(group) == damped_group) & (moved < 172.0) & (offset > 0)
@@ -168,26 +161,33 @@ def apply_offsets(
     return rows.withColumn(out, value).drop("_g", "group_offset")
 
 
-def fit(df: DataFrame, kind: str, keys: Sequence[str] = (), y: str = "y", pred: str = "pred", source: str = "source", group: str = "g") -> DataFrame | None:
-    """Parameter table of a calibrator kind; None for ``raw``."""
+def fit(
+    df: DataFrame, kind: str, keys: Sequence[str] = (), y: str = "y", pred: str = "pred", source: str = "source", group: str = "g",
+    known: int | None = None,
+) -> DataFrame | None:
+    """Parameter table of a calibrator kind; None for ``raw``.
+
+    ``known`` is the number of training rows, if the caller has counted them.
+    """
     if kind == "raw":
         return None
     if kind in OFFSET_KINDS:
-        return fit_offsets(df, list(keys), y, pred, source, group)
+        return fit_offsets(df, list(keys), y, pred, source, group, known)
     if kind in SEGMENTS:
-        return fit_segments(df, kind, list(keys), y, pred, group)
+        return fit_segments(df, kind, list(keys), y, pred, group, known)
     raise ValueError(f"unknown calibrator {kind!r}; known: {', '.join(KINDS)}")
 
 
 def apply(
     df: DataFrame, params: DataFrame | None, kind: str, keys: Sequence[str] = (), pred: str = "pred", source: str = "source",
-    group: str = "g", out: str = "calibrated", snapped: Sequence[str] = (),
+    group: str = "g", out: str = "calibrated", snapped: Sequence[str] = (), known: int | None = None,
 ) -> DataFrame:
+    """``known`` bounds the rows of the parameter table, e.g. by the training rows."""
     if params is None:
         return df.withColumn(out, F.col(pred))
     if kind in OFFSET_KINDS:
-        return apply_offsets(df, params, kind, list(keys), pred, source, group, out, snapped)
-    return apply_segments(df, params, kind, list(keys), pred, group, out)
+        return apply_offsets(df, params, kind, list(keys), pred, source, group, out, snapped, known=known)
+    return apply_segments(df, params, kind, list(keys), pred, group, out, known)
 
 
 def fit_linear(df: DataFrame, y: str, pred: str) -> tuple[Column, Column]:
@@ -199,13 +199,12 @@ def fit_linear(df: DataFrame, y: str, pred: str) -> tuple[Column, Column]:
 def fit_edge_offsets(df: DataFrame, y: str, pred: str, strength: float = 25.0, limit: float = 4.0) -> DataFrame:
     """(bin, offset): shrunken, limited median residual per predicted bin."""
     rows = df.select(target_bin(F.col(pred)).alias("bin"), (F.col(y) - F.col(pred)).alias("_r"))
-    sizes = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    out = same_keys(sizes, group_quantiles(rows, ["bin"], "_r", {"_m": 0.5}), ["bin"], "left")
+    out = group_quantiles(rows, ["bin"], "_r", {"_m": 0.5}, aggs={"n": F.count(F.lit(1))})
     return out.select("bin", "n", clip(F.col("_m") * F.col("n") / (F.col("n") + strength), -limit, limit).alias("offset"))
 
 
 def apply_edge_offsets(df: DataFrame, offsets: DataFrame, pred: str, out: str) -> DataFrame:
-    rows = lookup_join(df.withColumn("bin", target_bin(F.col(pred))), offsets.select("bin", "offset"), ["bin"])
+    rows = lookup_join(df.withColumn("bin", target_bin(F.col(pred))), offsets.select("bin", "offset"), ["bin"], known=3)
     return rows.withColumn(out, F.col(pred) + F.coalesce("offset", F.lit(0.0))).drop("bin", "offset")
 
 
@@ -213,13 +212,13 @@ def hierarchical_prior(
     train: DataFrame, rows: DataFrame, levels: Sequence[Sequence[str]], y: str, out: str = "prior", strength: float = 12.0
 ) -> DataFrame:
     """Global median refined by nested group medians, each shrunk by n / (n + strength)."""
-    base = group_quantiles(train, [], y, {"_m": 0.5}).select("_m").scalar()
+    known = train.count()
+    base = group_quantiles(train, [], y, {"_m": 0.5}, known=known).select("_m").scalar()
     result = rows.withColumn(out, base)
     for level in levels:
         by = list(level)
-        sizes = train.filter(F.col(y).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        table = same_keys(sizes, group_quantiles(train, by, y, {"_m": 0.5}), by, "inner")
-        result = lookup_join(result, table, by)
+        table = group_quantiles(train, by, y, {"_m": 0.5}, aggs={"_n": F.count(F.lit(1))}, known=known)
+        result = lookup_join(result, table, by, known=known)
         w = F.col("_n") / (F.col("_n") + strength)
         result = result.withColumn(out, F.coalesce((1.0 - w) * F.col(out) + w * F.col("_m"), F.col(out))).drop("_n", "_m")
     return result

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators import calibrate as C
-from rollcall.operators.grouped import group_quantiles, lookup_join
+from rollcall.operators.grouped import group_quantiles
 from rollcall.operators.metrics import regression_metrics
-from rollcall.session import settle
+from rollcall.session import settle, settle_counted
 
 
 def gated(base: Column, external: Column, threshold: Column, scale: Column, blend: Column) -> Column:
@@ -45,8 +45,8 @@ def blend(preds: DataFrame, keys: Sequence[str], candidate: str, pred: str, reci
 
 def member_average(preds: DataFrame, keys: Sequence[str], pred: str) -> DataFrame:
     """Plain mean and median over the members."""
-    mean = preds.groupBy(*keys).agg(F.avg(pred).alias("mean_pred"), F.count(F.lit(1)).alias("n_members"))
-    return mean.join(group_quantiles(preds, keys, pred, {"median_pred": 0.5}), list(keys))
+    aggs = {"mean_pred": F.avg(pred), "n_members": F.count(F.lit(1))}
+    return group_quantiles(preds, keys, pred, {"median_pred": 0.5}, aggs=aggs)
 
 
 def equal_top(names: Sequence[str], top: int = 3) -> dict[str, float]:
@@ -247,24 +247,25 @@ def choose_recipe(
     blends; both tables are long with (key, source, g, y, candidate, pred).
     """
     keep = [key, "source", "g", "y"]
-    train = settle(blend(oof, keep, "candidate", "pred", recipes))
+    train, known = settle_counted(blend(oof, keep, "candidate", "pred", recipes))
     query = settle(blend(val, keep, "candidate", "pred", recipes))
     scored = None
     for kind in kinds:
-        params = C.fit(train, kind, ["recipe"])
-        out = C.apply(query, params, kind, ["recipe"], snapped=snapped)
+        params = C.fit(train, kind, ["recipe"], known=known)
+        out = C.apply(query, params, kind, ["recipe"], snapped=snapped, known=known)
         out = out.select(key, "source", "g", "y", F.concat("recipe", F.lit("__"), F.lit(kind)).alias("recipe"), F.col("calibrated").alias("pred"),
                          (F.lit(int(kind != "raw"))).alias("_extra"), F.col("recipe").alias("_base"))
         scored = out if scored is None else scored.unionByName(out)
+    scored, known = settle_counted(scored)
     used = {name: sum(1 for w in weights.values() if w > 1e-6) for name, weights in recipes.items()}
     parts = F.when(F.lit(False), F.lit(0))
     for name, n in used.items():
         parts = parts.when(F.col("_base") == name, F.lit(n))
-    basics = scored.groupBy("recipe").agg(
-        F.avg(F.when(F.col("y") < low, F.abs(F.col("pred") - F.col("y")))).alias("short_mae"), F.max(parts + F.col("_extra")).alias("complexity")
-    )
-    metrics = regression_metrics(scored, ["recipe"], "y", "pred").join(basics, "recipe")
-    metrics = metrics.withColumn("short_mae", F.coalesce("short_mae", F.lit(0.0)))
+    more = {
+        "short_mae": F.coalesce(F.avg(F.when(F.col("y") < low, F.abs(F.col("pred") - F.col("y")))), F.lit(0.0)),
+        "complexity": F.max(parts + F.col("_extra")),
+    }
+    metrics = regression_metrics(scored, ["recipe"], "y", "pred", more, known)
     return metrics, scored.drop("_extra", "_base")
 
 

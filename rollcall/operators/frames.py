@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,8 +79,22 @@ def repair_frames(
 
 
 def projection_matrix(width: int, out_width: int, seed: int) -> np.ndarray:
-    """Seeded Gaussian projection, scaled by the output width."""
-    return np.random.default_rng(seed).standard_normal((width, out_width)) / np.sqrt(out_width)
+    """Seeded Gaussian projection, scaled by the output width.
+
+    Entries are normal numbers made from the md5 of (seed, row, column), so any
+    engine can rebuild the matrix.
+    """
+    def uniform(name: str, i: int, j: int) -> float:
+        return int(hashlib.md5(f"{seed}{name}:{i}:{j}".encode()).hexdigest()[:8], 16) / 2.0**32
+
+    cells = [
+        [
+            np.sqrt(-2.0 * np.log(max(uniform("a", i, j), 2.0**-33))) * np.cos(2.0 * np.pi * uniform("b", i, j))
+            for j in range(out_width)
+        ]
+        for i in range(width)
+    ]
+    return np.array(cells) / np.sqrt(out_width)
 
 
 def random_projection(df: DataFrame, key: str, vector: str, width: int, out_width: int, seed: int) -> DataFrame:

@@ -4,7 +4,11 @@ Every function here first measures what it is about to do.  If the largest
 group fits one task, the plain window or ``percentile`` is used.  If not, the
 rows are range-partitioned on (group, order), each slice is worked on alone and
 the slices are put together with per-slice totals, so that no task ever holds
-more than its slice.  Tables are broadcast only after their rows were counted.
+more than its slice.  Tables are broadcast only when their rows were counted.
+
+``known`` is an upper bound on the rows of the input that the caller has already
+counted.  No group and no per-group table can have more rows than that, so a
+small bound saves the other measurements.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.session import settle
+from rollcall.session import settle, settle_counted
 
 #: rows of one group that one task may sort or hold in memory
 GROUP_ROWS = 1_000_000
@@ -30,6 +34,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(top["n"] or 0)
 
 
+def fits_task(df: DataFrame, keys: Sequence[str], known: int | None = None, limit: int | None = None) -> bool:
+    """Can every group be held by one task?"""
+    limit = GROUP_ROWS if limit is None else limit
+    if known is not None and known <= limit:
+        return True
+    return largest_group(df, keys) <= limit
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join that also matches NULL keys; key columns are kept once."""
     other = right.select(
@@ -47,23 +59,28 @@ def lookup_join(
     table: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_rows: int | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """Bring per-group values to the rows.
 
-    The table is settled and counted.  Small: broadcast.  Large: shuffle join,
-    with the rows of hot groups cut into slices and the table row repeated once
-    per slice (there are at most ``rows / GROUP_ROWS`` hot groups).
+    With a small ``known`` bound on the table it is broadcast as it is;
+    otherwise it is settled and counted.  Small: broadcast.  Large: shuffle
+    join, with the rows of hot groups cut into slices and the table row repeated
+    once per slice (there are at most ``rows / GROUP_ROWS`` hot groups).
     """
-    limit = BROADCAST_ROWS if max_rows is None else max_rows
-    table = settle(table)
-    if table.count() <= limit:
+    if not keys:
+        return rows.withColumns({c: table.select(c).scalar() for c in table.columns})
+    if known is not None and known <= BROADCAST_ROWS:
+        return same_keys(rows, F.broadcast(table), keys, how)
+    table, size = settle_counted(table)
+    if size <= BROADCAST_ROWS:
         return same_keys(rows, F.broadcast(table), keys, how)
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GROUP_ROWS)
-    hot = settle(hot.select(*keys, F.ceil(F.col("_n") / GROUP_ROWS).cast("int").alias("_cuts")))
-    if hot.isEmpty():
+    hot, n_hot = settle_counted(hot.select(*keys, F.ceil(F.col("_n") / GROUP_ROWS).cast("int").alias("_cuts")))
+    if n_hot == 0:
         return same_keys(rows, table, keys, how)
-    hot = F.broadcast(hot)
+    if n_hot <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     plain = [c for c, t in rows.dtypes if not t.startswith("map")]
     cut_rows = same_keys(rows, hot, keys, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(*plain), F.coalesce("_cuts", F.lit(1))).cast("int")
@@ -75,23 +92,51 @@ def lookup_join(
     return joined.drop("_slice")
 
 
+def attach(rows: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], known: int | None = None) -> DataFrame:
+    """Per-group aggregates on every row; ``aggs`` holds plain aggregate calls.
+
+    Groups that fit a task are windowed: operators chained on the same keys then
+    share one shuffle.  Otherwise the aggregates are joined back.
+    """
+    if keys and fits_task(rows, keys, known):
+        scope = Window.partitionBy(*keys)
+        return rows.withColumns({n: c.over(scope) for n, c in aggs.items()})
+    table = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    return lookup_join(rows, table, keys)
+
+
+def quantile_agg(value: str, p: float, lower: bool = False) -> Column:
+    """Exact quantile as an aggregate of one task: linear, or the lower value."""
+    if lower:
+        return F.expr(f"percentile_disc({p}D) WITHIN GROUP (ORDER BY {value})")
+    return F.percentile(value, F.lit(float(p)))
+
+
+def attach_quantile(
+    rows: DataFrame, keys: Sequence[str], name: str, value: str, p: float, lower: bool = False, known: int | None = None
+) -> DataFrame:
+    """A per-group quantile on every row."""
+    if keys and fits_task(rows, keys, known):
+        return rows.withColumn(name, quantile_agg(value, p, lower).over(Window.partitionBy(*keys)))
+    return lookup_join(rows, group_quantiles(rows, keys, value, {name: p}, lower, known=known), keys)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     columns: Mapping[str, tuple[str, Column]],
-    group_rows: int | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """Running sum/min/max per group, current row included.
 
     ``columns`` maps an output name to ``(kind, column)`` with kind one of
     ``sum``, ``min``, ``max``.  ``order`` must be total within a group.
     """
-    limit = GROUP_ROWS if group_rows is None else group_rows
     kinds = {"sum": F.sum, "min": F.min, "max": F.max}
     folds = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df, keys) <= limit:
+    if fits_task(df, keys, known):
         scope = upto(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
         return df.withColumns({n: kinds[k](c).over(scope) for n, (k, c) in columns.items()})
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -124,10 +169,10 @@ def positions(
     keys: Sequence[str],
     order: Sequence[Column | str],
     name: str = "pos",
-    group_rows: int | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """1-based place of each row in its group."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, group_rows)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, known)
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
@@ -136,31 +181,28 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
     return df.withColumn("_rank", F.row_number().over(scope)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def quantile_name(p: float) -> str:
-    return f"p{p * 100:g}".replace(".", "_")
-
-
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
     lower: bool = False,
-    group_rows: int | None = None,
+    aggs: Mapping[str, Column] | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group; one output column per entry of ``probs``.
 
     Linear interpolation, or with ``lower`` the smaller of the two middle values
-    (no interpolation).  NULL values are left out.
+    (no interpolation).  Rows whose value is NULL are left out, also of the
+    further aggregates in ``aggs``.
     """
-    limit = GROUP_ROWS if group_rows is None else group_rows
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if largest_group(data, keys) <= limit:
-        kind = "percentile_disc({p}D) WITHIN GROUP (ORDER BY _v)" if lower else "percentile(_v, {p}D)"
-        outputs = [F.expr(kind.format(p=p)).alias(n) for n, p in probs.items()]
-        return data.groupBy(*keys).agg(*outputs)
+    aggs = dict(aggs or {})
+    data = df.withColumn("_v", F.col(value).cast("double")).filter(F.col("_v").isNotNull())
+    others = [c.alias(n) for n, c in aggs.items()]
+    if fits_task(data, keys, known):
+        return data.groupBy(*keys).agg(*[quantile_agg("_v", p, lower).alias(n) for n, p in probs.items()], *others)
     counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running(counts, keys, ["_v"], {"_cum": ("sum", F.col("_n"))}, limit)
+    ranked = running(counts, keys, ["_v"], {"_cum": ("sum", F.col("_n"))}, known)
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = lookup_join(ranked, sizes, keys)
     picks = []
@@ -172,14 +214,16 @@ def group_quantiles(
             F.min(F.when(F.col("_cum") > high, F.col("_v"))).alias(f"_hi_{name}"),
             F.max(place - F.floor(place)).alias(f"_fr_{name}"),
         ]
-    found = ranked.groupBy(*keys).agg(*picks)
-    return found.select(
+    found = ranked.groupBy(*keys).agg(*picks).select(
         *keys,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
             for n in probs
         ],
     )
+    if not others:
+        return found
+    return lookup_join(data.groupBy(*keys).agg(*others), found, keys)
 
 
 def scalar(df: DataFrame, column: str) -> Column:

@@ -7,35 +7,54 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.operators.grouped import group_quantiles
+from rollcall.operators.profile import unpivot
 from rollcall.session import settle
 
 
-def impute_scale(df: DataFrame, columns: Sequence[str], robust: bool = False, out: str = "features", train: DataFrame | None = None) -> tuple[DataFrame, PipelineModel]:
+def impute_scale(
+    df: DataFrame, columns: Sequence[str], robust: bool = False, train: DataFrame | None = None, suffix: str = "_scaled"
+) -> DataFrame:
     """Median imputation with missing flags, then standard or robust (10-90 %) scaling.
 
-    Fitted on ``train`` (default: the rows themselves) and applied to the rows.
+    Everything is fitted on ``train`` (default: the rows themselves).  Standard
+    scaling uses the population sd of the imputed values; a constant column is
+    only centred.
     """
-    filled, flags = [f"_i_{c}" for c in columns], [f"_m_{c}" for c in columns]
-    mark = lambda d: d.withColumns({f"_m_{c}": F.col(c).isNull().cast("double") for c in columns})
-    scaler = (
-        RobustScaler(inputCol="_raw", outputCol="_scaled", lower=0.1, upper=0.9, withCentering=True)
-        if robust
-        else StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True)
+    base = train if train is not None else df
+    known = base.count()
+    medians = group_quantiles(unpivot(base, [], columns), ["metric"], "value", {"m": 0.5}, known=known * len(columns))
+    row = medians.agg(*[F.max(F.when(F.col("metric") == c, F.col("m"))).alias(c) for c in columns])
+    fill = row.select(F.struct(*columns)).scalar()
+    impute = lambda d: d.withColumn("_fill", fill).select(
+        *[c for c in d.columns], *[F.coalesce(F.col(c), F.col(f"_fill.{c}")).alias(f"_i_{c}") for c in columns]
     )
-    stages = [
-        Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=0.0001),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        scaler,
-        VectorAssembler(inputCols=["_scaled", *flags], outputCol=out),
+    filled = impute(base)
+    imputed = [f"_i_{c}" for c in columns]
+    if robust:
+        spread = group_quantiles(
+            unpivot(filled, [], imputed), ["metric"], "value", {"c": 0.5, "lo": 0.1, "hi": 0.9}, known=known * len(columns)
+        ).withColumn("s", F.col("hi") - F.col("lo"))
+    else:
+        spread = unpivot(filled, [], imputed).groupBy("metric").agg(F.avg("value").alias("c"), F.stddev_pop("value").alias("s"))
+    picks = [
+        F.max(F.when(F.col("metric") == f"_i_{c}", F.struct("c", "s"))).alias(c) for c in columns
     ]
-    model = Pipeline(stages=stages).fit(mark(train if train is not None else df))
-    return model.transform(mark(df)).drop(*filled, *flags, "_raw", "_scaled"), model
+    scale = spread.agg(*picks)
+    rows = impute(df).withColumn("_scale", scale.select(F.struct(*columns)).scalar())
+    out = {}
+    for c in columns:
+        centred = F.col(f"_i_{c}") - F.col(f"_scale.{c}.c")
+        width = F.col(f"_scale.{c}.s")
+        out[f"{c}{suffix}"] = F.when(width > 1e-12, centred / width).otherwise(centred)
+        out[f"{c}_missing"] = F.col(c).isNull().cast("int")
+    return rows.withColumns(out).drop("_scale", *imputed)
 
 
 def pca_whitened(df: DataFrame, vector: str, k: int, train: DataFrame | None = None, out: str = "components") -> DataFrame:

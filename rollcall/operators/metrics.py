@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.grouped import group_quantiles, same_keys
+from rollcall.operators.grouped import group_quantiles
 
 
 def error_columns(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -15,30 +15,30 @@ def error_columns(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.withColumns({"_err": err, "_abs": F.abs(err)}).filter(F.col("_abs").isNotNull())
 
 
-def error_aggregates(y: str, within: Sequence[float] = (2.0, 3.0, 4.0, 5.0)) -> list[Column]:
+def error_aggregates(y: str, within: Sequence[float] = (2.0, 3.0, 4.0, 5.0)) -> dict[str, Column]:
     """Everything about the errors that one map-side combined pass can give."""
     e, a = F.col("_err"), F.col("_abs")
     square = F.sum(e * e)
     n = F.count(F.lit(1))
-    return [
-        n.alias("n"),
-        F.avg(a).alias("mae"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.max(a).alias("max_ae"),
-        F.avg(e).alias("bias"),
-        *[F.avg((a <= w).cast("double")).alias(f"within_{w:g}") for w in within],
-        F.when((n > 1) & (F.var_pop(y) > 0), 1.0 - square / (n * F.var_pop(y))).alias("r2"),
-    ]
-
-
-def regression_metrics(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
+    return {
+        "n": n,
+        "mae": F.avg(a),
+        "rmse": F.sqrt(F.avg(e * e)),
+        "max_ae": F.max(a),
+        "bias": F.avg(e),
+        **{f"within_{w:g}": F.avg((a <= w).cast("double")) for w in within},
+        "r2": F.when((n > 1) & (F.var_pop(y) > 0), 1.0 - square / (n * F.var_pop(y))),
+    }
+
+
+def regression_metrics(
+    df: DataFrame, keys: Sequence[str], y: str, pred: str, more: Mapping[str, Column] | None = None, known: int | None = None
+) -> DataFrame:
     """One row of metrics per group; medians and p90 are exact."""
-    errors = error_columns(df.select(*keys, y, pred), y, pred)
-    basic = errors.groupBy(*keys).agg(*error_aggregates(y))
-    spread = group_quantiles(errors, keys, "_abs", {"median_ae": 0.5, "p90_ae": 0.9})
-    if not keys:
-        return basic.withColumns({c: spread.select(c).scalar() for c in ("median_ae", "p90_ae")})
-    return same_keys(basic, spread, keys, "left")
+    extra = [c for c in df.columns if c not in (*keys, y, pred)] if more else []
+    errors = error_columns(df.select(*keys, y, pred, *extra), y, pred)
+    aggs = {**error_aggregates(y), **(more or {})}
+    return group_quantiles(errors, keys, "_abs", {"median_ae": 0.5, "p90_ae": 0.9}, aggs=aggs, known=known)
 
 
 def slice_rows(df: DataFrame, slices: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.quality import distance_band, uncertainty_temper
-from rollcall.operators.grouped import group_quantiles, lookup_join, same_keys
-from rollcall.session import settle
+from rollcall.operators.grouped import attach, attach_quantile, same_keys
 
 EPS = 1e-6
 
@@ -38,13 +37,14 @@ def pool_inverse_variance(df: DataFrame, entity: str, value: str, weight: Column
     )
 
 
-def pool_attention(df: DataFrame, entity: str, value: str, weight: Column, var: Column) -> DataFrame:
+def pool_attention(df: DataFrame, entity: str, value: str, weight: Column, var: Column, known: int | None = None) -> DataFrame:
     """Softmax of quality / variance over the entity's items, shifted by its maximum."""
     scored = df.select(entity, value, (weight / (var + EPS)).alias("_s"))
-    top = scored.groupBy(entity).agg(F.max("_s").alias("_top"))
+    known = scored.count() if known is None else known
+    rows = attach(scored, [entity], {"_top": F.max("_s")}, known)
     a = F.exp(F.col("_s") - F.col("_top"))
     v = F.col(value)
-    sums = lookup_join(scored, top, [entity]).groupBy(entity).agg(
+    sums = rows.groupBy(entity).agg(
         F.sum(a).alias("_a"), F.sum(a * v).alias("_av"), F.sum(a * v * v).alias("_avv"), F.count(F.lit(1)).alias("n")
     )
     mean = F.col("_av") / F.col("_a")
@@ -52,12 +52,11 @@ def pool_attention(df: DataFrame, entity: str, value: str, weight: Column, var:
     return sums.select(entity, mean.alias("mean"), F.when(F.col("n") > 1, spread).otherwise(F.lit(0.0)).alias("var"), "n")
 
 
-def with_deviation(df: DataFrame, entity: str, value: str, lower: bool) -> DataFrame:
-    """Adds the entity median ``_med``, |value - median| ``_dev`` and its median ``_mad``."""
-    med = group_quantiles(df, [entity], value, {"_med": 0.5}, lower)
-    rows = lookup_join(df, med, [entity]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = group_quantiles(rows, [entity], "_dev", {"_mad": 0.5}, lower)
-    return lookup_join(rows, mad, [entity])
+def with_deviation(df: DataFrame, keys: Sequence[str], value: str, lower: bool, known: int) -> DataFrame:
+    """Adds the group median ``_med``, |value - median| ``_dev`` and its median ``_mad``."""
+    rows = attach_quantile(df, keys, "_med", value, 0.5, lower, known)
+    rows = rows.withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    return attach_quantile(rows, keys, "_mad", "_dev", 0.5, lower, known)
 
 
 def modified_z() -> Column:
@@ -66,28 +65,28 @@ def modified_z() -> Column:
 
 def pool_robust(
     df: DataFrame, entity: str, value: str, reliability: Column, var: Column | None = None,
-    max_z: float = 2.5, min_survivors: int = 3, delta_scale: float = 1.25, min_delta: float = 1.5,
+    max_z: float = 2.5, min_survivors: int = 3, delta_scale: float = 1.25, min_delta: float = 1.5, known: int | None = None,
 ) -> DataFrame:
-    """Outlier rejection by modified z, then a centre from two Huber reweightings."""
+    """Outlier rejection by modified z, then a centre from two Huber reweightings.
+
+    While every entity fits a task, all steps are windows over the same key and
+    share one shuffle; otherwise each step is an aggregate that is joined back.
+    """
     base = F.greatest(reliability, F.lit(EPS))
     noise = F.greatest(var, F.lit(EPS)) if var is not None else F.lit(0.0)
     if var is not None:
         base = F.greatest(base * uncertainty_temper(F.sqrt(noise)), F.lit(EPS))
-    # six aggregates follow: read the narrow columns once
-    rows = settle(df.select(entity, F.col(value).alias("_v"), base.alias("_w"), noise.alias("_noise")))
-    totals = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
-    rows = with_deviation(rows, entity, "_v", lower=True).withColumn("_in", modified_z() <= max_z)
-    survivors = rows.groupBy(entity).agg(F.count_if("_in").alias("_ok"))
-    rows = lookup_join(rows, survivors, [entity])
-    rows = rows.withColumn("_in", F.col("_in") | (F.col("_ok") < min_survivors))
-
-    kept = rows.filter("_in").select(entity, "_v", "_w", "_noise")
+    rows = df.select(entity, F.col(value).alias("_v"), base.alias("_w"), noise.alias("_noise"))
+    known = rows.count() if known is None else known
+    rows = with_deviation(rows, [entity], "_v", True, known).withColumn("_in", modified_z() <= max_z)
+    rows = attach(rows, [entity], {"_ok": F.count_if("_in"), "_total": F.count(F.lit(1))}, known)
+    kept = rows.filter(F.col("_in") | (F.col("_ok") < min_survivors)).select(entity, "_v", "_w", "_noise", "_total")
+
     v = F.col("_v")
-    first = kept.groupBy(entity).agg(F.sum("_w").alias("_sum"), (F.sum(F.col("_w") * v) / F.sum("_w")).alias("_c"))
-    kept = lookup_join(kept, first, [entity]).withColumn("_dev", F.abs(v - F.col("_c")))
-    mad = group_quantiles(kept, [entity], "_dev", {"_mad": 0.5}, lower=True)
-    kept = lookup_join(kept, mad, [entity]).select(
-        entity, "_v", "_noise", (F.col("_w") / F.greatest(F.col("_sum"), F.lit(EPS))).alias("_w"), "_c",
+    kept = attach(kept, [entity], {"_sum": F.sum("_w"), "_wv": F.sum(F.col("_w") * v)}, known)
+    kept = kept.withColumn("_c", F.col("_wv") / F.col("_sum")).withColumn("_dev", F.abs(v - F.col("_c")))
+    kept = attach_quantile(kept, [entity], "_mad", "_dev", 0.5, True, known).select(
+        entity, "_v", "_noise", "_total", (F.col("_w") / F.greatest(F.col("_sum"), F.lit(EPS))).alias("_w"), "_c",
         F.greatest(F.lit(min_delta), F.col("_mad") * delta_scale).alias("_delta"),
     )
 
@@ -96,42 +95,41 @@ def pool_robust(
         return F.greatest(F.col("_w") * F.least(F.lit(1.0), F.col("_delta") / gap), F.lit(EPS))
 
     w1 = reweighted("_c")
-    second = kept.groupBy(entity).agg((F.sum(w1 * v) / F.sum(w1)).alias("_c1"))
+    kept = attach(kept, [entity], {"_s1": F.sum(w1), "_s1v": F.sum(w1 * v)}, known).withColumn("_c1", F.col("_s1v") / F.col("_s1"))
     w2 = reweighted("_c1")
     # deviations are taken from the previous centre, so the squares stay small
     gap = v - F.col("_c1")
-    final = lookup_join(kept, second, [entity]).groupBy(entity).agg(
+    final = kept.groupBy(entity).agg(
         F.sum(w2).alias("_s"), F.sum(w2 * gap).alias("_sg"), F.sum(w2 * gap * gap).alias("_sgg"),
-        F.sum(w2 * F.col("_noise")).alias("_sn"), F.max("_c1").alias("_c1"), F.count(F.lit(1)).alias("surviving"),
+        F.sum(w2 * F.col("_noise")).alias("_sn"), F.max("_c1").alias("_c1"), F.count(F.lit(1)).alias("surviving"), F.max("_total").alias("_total"),
     )
     shift = F.col("_sg") / F.col("_s")
     dispersion = F.greatest(F.col("_sgg") / F.col("_s") - shift * shift, F.lit(0.0))
-    out = final.select(
+    return final.select(
         entity, (F.col("_c1") + shift).alias("mean"),
-        F.greatest(dispersion + F.col("_sn") / F.col("_s"), F.lit(EPS)).alias("var"), "surviving",
+        F.greatest(dispersion + F.col("_sn") / F.col("_s"), F.lit(EPS)).alias("var"),
+        "surviving", (F.col("_total") - F.col("surviving")).alias("rejected"),
     )
-    return same_keys(out, totals, [entity], "left").withColumn("rejected", F.col("_n") - F.col("surviving")).drop("_n")
 
 
 def pool_evidence(
     df: DataFrame, keys: Sequence[str], value: str, var: str, quality: Column,
-    max_var: float = 25.0, max_z: float = 1.5, target_std: float = 2.5, min_items: int = 2, inflation: float = 1.5,
+    max_var: float = 25.0, max_z: float = 1.5, target_std: float = 2.5, min_items: int = 2, inflation: float = 1.5, known: int | None = None,
 ) -> DataFrame:
     """Entity estimate with abstention: noisy and inconsistent items do not count."""
     rows = df.select(*keys, F.col(value).alias("_v"), F.col(var).alias("_var"), quality.alias("_q"))
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("_var") <= max_var).alias("_valid"))
-    valid = rows.filter(F.col("_var") <= max_var).select(*keys, "_v", "_var", "_q")
-    med = group_quantiles(valid, keys, "_v", {"_med": 0.5})
-    valid = lookup_join(valid, med, keys).withColumn("_dev", F.abs(F.col("_v") - F.col("_med")))
-    valid = lookup_join(valid, group_quantiles(valid, keys, "_dev", {"_mad": 0.5}), keys)
-    ok = modified_z() <= max_z
+    known = rows.count() if known is None else known
+    # values of items that are too noisy are blanked, so one pass keeps the totals too
+    usable = F.col("_var") <= max_var
+    rows = rows.withColumns({"_v": F.when(usable, F.col("_v")), "_use": F.coalesce(usable, F.lit(False))})
+    rows = with_deviation(rows, keys, "_v", False, known)
+    ok = F.col("_use") & (modified_z() <= max_z)
     w = F.when(ok, F.col("_q") / (F.col("_var") + EPS))
-    pooled = valid.groupBy(*keys).agg(
-        F.count_if(ok).alias("_kept"), F.max("_med").alias("_med"), F.avg(F.sqrt("_var")).alias("_std"),
-        (F.sum(w * F.col("_v")) / F.sum(w)).alias("_mean"),
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if("_use").alias("_valid"), F.count_if(ok).alias("_kept"), F.max("_med").alias("_med"),
+        F.avg(F.when(F.col("_use"), F.sqrt("_var"))).alias("_std"), (F.sum(w * F.col("_v")) / F.sum(w)).alias("_mean"),
         F.sqrt(F.lit(inflation) / F.sum(F.when(ok, 1.0 / F.col("_var")))).alias("_pooled_std"),
     )
-    out = same_keys(totals, pooled, keys, "left")
     few = F.col("_valid") < min_items
     mixed = ~few & (F.col("_kept") < min_items)
     std = F.when(few, F.lit(0.0)).when(mixed, F.col("_std")).otherwise(F.col("_pooled_std"))
@@ -180,9 +178,8 @@ def pool(df: DataFrame, method: str, entity: str, value: str, weight: Column, va
 def group_majority(df: DataFrame, entity: str, label: str) -> DataFrame:
     """Most frequent label; the smallest one on ties."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(entity, label).agg(F.count(F.lit(1)).alias("_n"))
-    best = counts.groupBy(entity).agg(F.max("_n").alias("votes"), F.sum("_n").alias("n"))
-    tied = same_keys(counts, best, [entity], "inner").filter("_n = votes")
-    return tied.groupBy(entity).agg(F.min(label).alias(label), F.max("votes").alias("votes"), F.max("n").alias("n"))
+    best = counts.groupBy(entity).agg(F.min(F.struct((-F.col("_n")).alias("v"), F.col(label).alias("l"))).alias("_b"), F.sum("_n").alias("n"))
+    return best.select(entity, F.col("_b.l").alias(label), (-F.col("_b.v")).alias("votes"), "n")
 
 
 def first_truth(df: DataFrame, entity: str, value: str, order: Sequence[str], means: Sequence[str]) -> DataFrame:
@@ -194,9 +191,8 @@ def first_truth(df: DataFrame, entity: str, value: str, order: Sequence[str], me
 def class_pool(df: DataFrame, entity: str, label: str, prob: str, weight: str) -> DataFrame:
     """Weighted class probabilities per entity; the most probable class (smallest on ties)."""
     per = df.groupBy(entity, label).agg((F.sum(F.col(prob) * F.col(weight)) / F.sum(weight)).alias("_p"))
-    best = per.groupBy(entity).agg(F.max("_p").alias("prob"))
-    tied = same_keys(per, best, [entity], "inner").filter(F.col("_p") == F.col("prob"))
-    return tied.groupBy(entity).agg(F.min(label).alias("predicted"), F.max("prob").alias("prob"))
+    best = per.groupBy(entity).agg(F.min(F.struct((-F.col("_p")).alias("v"), F.col(label).alias("l"))).alias("_b"))
+    return best.select(entity, F.col("_b.l").alias("predicted"), (-F.col("_b.v")).alias("prob"))
 
 
 def pass_summary(df: DataFrame, item: str, mean: str, log_var: str) -> DataFrame:
@@ -229,22 +225,19 @@ def evidence_curve(
 ) -> DataFrame:
     """Error of the pooled estimate from the first N items, for several N.
 
-    The per-entity limit keeps at most ``max(sizes)`` items before the shuffle.
+    The per-entity limit keeps at most ``max(sizes)`` items before the shuffle,
+    so the windows that follow see few rows per entity.
     """
-    from pyspark.sql import Window
-
-    scope = Window.partitionBy(entity).orderBy(*order)
     top = max(sizes)
+    scope = Window.partitionBy(entity).orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(scope)).filter(F.col("_rank") <= top)
-    have = ranked.groupBy(entity).agg(F.max("_rank").alias("_have"))
-    ranked = same_keys(ranked, have, [entity], "left")
+    ranked = ranked.withColumn("_have", F.max("_rank").over(Window.partitionBy(entity)))
     grid = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: (n >= F.col("_rank")) & ((F.col("_have") >= n) | (n == 1)))
     rows = ranked.withColumn("n_items", F.explode(grid))
-    truth = rows.groupBy("n_items", entity).agg(F.max(y).alias("_y"))
-    pooled = pool_evidence(rows, ["n_items", entity], value, var, F.lit(1.0))
-    joined = same_keys(pooled, truth, ["n_items", entity], "left")
+    # the target is constant within an entity: keep it as part of the key
+    pooled = pool_evidence(rows, ["n_items", entity, y], value, var, F.lit(1.0), known=top)
     usable = (F.col("status") == "SUCCESS") | ((F.col("n_items") == 1) & (F.col("mean") > 0))
-    return joined.groupBy("n_items").agg(
+    return pooled.groupBy("n_items").agg(
         F.count(F.lit(1)).alias("n_entities"), F.count_if(usable).alias("n_used"),
-        F.avg(F.when(usable, F.abs(F.round("mean", 2) - F.col("_y")))).alias("mae"),
+        F.avg(F.when(usable, F.abs(F.round("mean", 2) - F.col(y)))).alias("mae"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import hash_order
-from rollcall.operators.grouped import group_quantiles, lookup_join, running, same_keys
+from rollcall.operators.grouped import attach, group_quantiles, lookup_join, running, same_keys
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -35,15 +35,14 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     """
     by = [*keys, "metric"]
     long = unpivot(df, keys, columns)
-    basic = long.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
-    )
-    quantiles = group_quantiles(long, by, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75})
-    centred = lookup_join(long, basic.select(*by, "mean", "std"), by)
-    z = (F.col("value") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))
-    skew = centred.groupBy(*by).agg(F.coalesce(F.avg(z * z * z), F.lit(0.0)).alias("skew"))
-    out = same_keys(same_keys(basic, quantiles, by, "left"), skew, by, "left")
+    known = long.count()
+    centred = attach(long, by, {"_mean": F.avg("value"), "_std": F.stddev_samp("value")}, known)
+    z = (F.col("value") - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))
+    aggs = {
+        "n": F.count(F.lit(1)), "min": F.min("value"), "max": F.max("value"), "mean": F.max("_mean"), "std": F.coalesce(F.max("_std"), F.lit(0.0)),
+        "skew": F.coalesce(F.avg(z * z * z), F.lit(0.0)),
+    }
+    out = group_quantiles(centred, by, "value", {"median": 0.5, "p25": 0.25, "p75": 0.75}, aggs=aggs, known=known)
     side = F.when(F.col("skew") > 0.5, "right").when(F.col("skew") < -0.5, "left").otherwise("symmetric")
     return out.withColumn("skew_label", side)
 
@@ -111,12 +110,9 @@ def ks(
         .groupBy(*keys, value)
         .agg(*[F.count_if(F.col(split) == s).alias(f"_n_{s}") for s in names])
     )
-    cum = running(counts, keys, [value], {f"_c_{s}": ("sum", F.col(f"_n_{s}")) for s in names})
-    totals = counts.groupBy(*keys).agg(*[F.sum(f"_n_{s}").alias(f"_t_{s}") for s in names])
-    if keys:
-        cum = lookup_join(cum, totals, keys)
-    else:
-        cum = cum.withColumns({f"_t_{s}": totals.select(f"_t_{s}").scalar() for s in names})
+    known = counts.count()
+    cum = running(counts, keys, [value], {f"_c_{s}": ("sum", F.col(f"_n_{s}")) for s in names}, known)
+    cum = attach(cum, keys, {f"_t_{s}": F.sum(f"_n_{s}") for s in names}, known)
     part = lambda s: F.col(f"_c_{s}") / F.nullif(F.col(f"_t_{s}"), F.lit(0))
     wide = cum.groupBy(*keys).agg(*[F.max(F.abs(part(a) - part(b))).alias(f"{a}_{b}") for a, b in pairs])
     long = F.array(*[F.struct(F.lit(f"{a}_{b}").alias("pair"), F.col(f"{a}_{b}").alias("d")) for a, b in pairs])
@@ -214,10 +210,8 @@ def entity_features(df: DataFrame, entity: str, columns: Sequence[str], weight:
     long = df.select(entity, F.col(weight).alias("_w"), F.explode(pairs).alias("_p")).select(entity, "_w", "_p.*")
     long = long.filter(F.col("value").isNotNull())
     by = [entity, "feature"]
-    basic = long.groupBy(*by).agg(
-        (F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("mean"), F.stddev_pop("value").alias("std")
-    )
-    return same_keys(basic, group_quantiles(long, by, "value", {"median": 0.5, "p10": 0.1, "p90": 0.9}), by, "left")
+    aggs = {"mean": F.sum(F.col("_w") * F.col("value")) / F.sum("_w"), "std": F.stddev_pop("value")}
+    return group_quantiles(long, by, "value", {"median": 0.5, "p10": 0.1, "p90": 0.9}, aggs=aggs)
 
 
 def entity_weights(df: DataFrame, entity: str, weight: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.labels import FORBIDDEN_COLUMNS, is_yes
 from rollcall.functions.numbers import safe_number
 from rollcall.functions.quality import first_reason, reasons
-from rollcall.operators.grouped import lookup_join
+from rollcall.operators.grouped import attach
 
 
 def last_wins(layers: Sequence[DataFrame], keys: Sequence[str], value: str, seq: str) -> DataFrame:
@@ -163,12 +163,10 @@ def min_items(
 ) -> DataFrame:
     """Accepted items of entities with fewer than ``least`` of them get the entity reason.
 
-    Counted once per entity and joined back, so that a huge entity is not
-    pulled into one window partition.
+    A huge entity is counted and joined back instead of windowed.
     """
     ok = F.col(item_reason).isNull()
-    counts = df.groupBy(entity).agg(F.count_if(ok).alias("n_ok"))
-    joined = lookup_join(df, counts, [entity])
+    joined = attach(df, [entity], {"n_ok": F.count_if(ok)})
     return joined.withColumn(
         item_reason, F.when(ok & (F.col("n_ok") < least), F.lit(reason)).otherwise(F.col(item_reason))
     )

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import hash_order, hash_uniform
 from rollcall.functions.numbers import clip
-from rollcall.operators.grouped import first_n, group_quantiles, lookup_join, positions, running, same_keys
+from rollcall.operators.grouped import attach, first_n, group_quantiles, lookup_join, positions, running, same_keys
+from rollcall.session import settle, settle_counted
 
 SPLITS = ("train", "val", "test")
 
@@ -56,10 +57,11 @@ def stratified_split(
     hash order take the places from the highest level down.
     """
     by = [*source, strata]
-    rows = df.select(key, *by).withColumn("_h", hash_order(seed, *[F.col(c).cast("string") for c in (*source, key)]))
-    ranked = positions(rows, by, ["_h", key], "_pos")
+    rows, known = settle_counted(df.select(key, *by))
+    rows = rows.withColumn("_h", hash_order(seed, *[F.col(c).cast("string") for c in (*source, key)]))
+    ranked = positions(rows, by, ["_h", key], "_pos", known)
+    ranked = attach(ranked, by, {"_n": F.count(F.lit(1))}, known)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = lookup_join(ranked, sizes, by)
     share = {s: F.floor(F.col("_n") * F.lit(r)) for s, r in ratios.items()}
     upto, label = F.lit(0), F.when(F.lit(False), F.lit(""))
     for name in ratios:
@@ -83,8 +85,8 @@ def stratified_split(
         ).alias("_p"),
     ).filter("_p._d > 0")
     places = places.select(*source, "_p._o", "_p._s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_p._d"))).alias("_level"))
-    places = positions(places, list(source), [F.desc("_level"), "_o"], "_rank").select(*source, "_rank", "_s")
-    left = positions(ranked.filter("split IS NULL").select(key, *by, "_h"), list(source), ["_h", key], "_rank")
+    places = positions(places, list(source), [F.desc("_level"), "_o"], "_rank", known).select(*source, "_rank", "_s")
+    left = positions(ranked.filter("split IS NULL").select(key, *by, "_h"), list(source), ["_h", key], "_rank", known)
     left = same_keys(left, places, [*source, "_rank"], "left")
     placed = left.select(key, *by, F.coalesce("_s", F.lit(names[0])).alias("split"))
     return ranked.filter("split IS NOT NULL").select(key, *by, "split").unionByName(placed)
@@ -114,9 +116,9 @@ def seed_sweep(
 ) -> tuple[DataFrame, DataFrame]:
     """(objective per seed, split of the best seed), all seeds in one pass."""
     tried = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    labels = stratified_split(tried, key, ["seed", source], strata, ratios, "sweep")
+    labels = settle(stratified_split(tried, key, ["seed", source], strata, ratios, "sweep"))
     rows = same_keys(labels.drop(strata, source), df.select(key, source, *values), [key], "inner")
-    scores = split_objective(rows, ["seed"], source, "split", values, ratios)
+    scores = settle(split_objective(rows, ["seed"], source, "split", values, ratios))
     best = scores.agg(F.min_by("seed", F.struct("objective", "seed")).alias("seed"))
     winner = labels.filter(F.col("seed") == best.select("seed").scalar())
     return scores, winner
@@ -151,14 +153,15 @@ def draw_with_replacement(df: DataFrame, key: str, weight: str, seed: object) ->
     a running maximum hands every draw the last interval that starts before it.
     """
     rows = df.select(key, F.col(weight).alias("_w"))
-    cum = running(rows, [], [key], {"_end": ("sum", F.col("_w"))})
+    known = rows.count()
+    cum = running(rows, [], [key], {"_end": ("sum", F.col("_w"))}, known)
     total = rows.agg(F.sum("_w").alias("t")).select("t").scalar()
     starts = cum.select((F.col("_end") - F.col("_w")).alias("_at"), F.lit(0).alias("_kind"), F.col(key).alias("_id"), F.struct((F.col("_end") - F.col("_w")).alias("s"), F.col(key).alias("k")).alias("_last"))
     draws = df.select(
         (hash_uniform(seed, F.col(key).cast("string")) * total).alias("_at"), F.lit(1).alias("_kind"), F.col(key).alias("_id"),
         F.lit(None).cast(starts.schema["_last"].dataType).alias("_last"),
     )
-    ordered = running(starts.unionByName(draws), [], ["_at", "_kind", "_id"], {"_hit": ("max", F.col("_last"))})
+    ordered = running(starts.unionByName(draws), [], ["_at", "_kind", "_id"], {"_hit": ("max", F.col("_last"))}, 2 * known)
     return ordered.filter("_kind = 1").groupBy(F.col("_hit.k").alias(key)).agg(F.count(F.lit(1)).alias("n_drawn"))
 
 
@@ -185,9 +188,10 @@ def entity_batches(
         full = order.agg(F.floor(F.count(F.lit(1)) / per_batch).alias("n")).select("n").scalar()
         placed = placed.filter(F.col("batch") < full)
     rows = df.select(entity, item).withColumn("_h", hash_order(tag, F.col(entity).cast("string"), F.col(item).cast("string")))
-    few = positions(first_n(rows, [entity], ["_h", item], clips), [entity], ["_h", item], "_rank")
-    have = few.groupBy(entity).agg(F.max("_rank").alias("_have"))
-    few = same_keys(same_keys(few, have, [entity], "left"), placed, [entity], "inner")
+    # at most ``clips`` rows per entity are left, so these windows are small
+    few = positions(first_n(rows, [entity], ["_h", item], clips), [entity], ["_h", item], "_rank", known=clips)
+    few = attach(few, [entity], {"_have": F.max("_rank")}, known=clips)
+    few = same_keys(few, placed, [entity], "inner")
     wanted = F.when(F.col("_slot") < paired, F.lit(clips)).otherwise(F.lit(1)).cast("long")
     slots = F.when(F.col("_rank") <= wanted, F.sequence(F.col("_rank"), wanted, F.col("_have")))
     return few.select("batch", entity, item, F.explode(slots).alias("copy"))

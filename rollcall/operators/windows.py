@@ -7,18 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.operators.grouped import lookup_join, positions, running
+from rollcall.operators.grouped import attach, positions, running
 
 
 def keep_first(df: DataFrame, entity: str, digest: str, order: Sequence[str], item_reason: str = "reason", label: str = "duplicate_within_entity") -> DataFrame:
     """Later repeats of an accepted content within an entity are rejected.
 
-    The first place per (entity, content) is a minimum that is joined back; a
-    content with very many repeats is not sorted in one task.
+    Only the first place per (entity, content) is needed, a minimum; a content
+    with very many repeats is neither sorted nor gathered in one task.
     """
     ok = F.col(item_reason).isNull()
-    first = df.filter(ok).groupBy(entity, digest).agg(F.min(F.struct(*order)).alias("_first"))
-    joined = lookup_join(df, first, [entity, digest])
+    joined = attach(df, [entity, digest], {"_first": F.min(F.when(ok, F.struct(*order)))})
     repeat = ok & (F.struct(*order) > F.col("_first"))
     return joined.withColumn(item_reason, F.when(repeat, F.lit(label)).otherwise(F.col(item_reason))).drop("_first")
 
@@ -31,9 +30,10 @@ def ranked_top(df: DataFrame, order: Sequence[Column | str], n: int, name: str =
 
 def running_best(df: DataFrame, run: str, order: Sequence[str], metric: str, target: float, patience: int) -> DataFrame:
     """Best so far, steps since it improved, target reached, early stop."""
-    rows = positions(df, [run], list(order), "step")
+    known = df.count()
+    rows = positions(df, [run], list(order), "step", known)
     best = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("v"), F.col("step").alias("at")))
-    out = running(rows, [run], ["step"], {"_best": ("min", best)})
+    out = running(rows, [run], ["step"], {"_best": ("min", best)}, known)
     since = F.col("step") - F.col("_best.at")
     return out.withColumns(
         {
@@ -62,9 +62,9 @@ def moving_error(df: DataFrame, keys: Sequence[str], step: Sequence[str], error:
     the distance to the end, so nothing overflows and plain sums do.
     """
     batches = df.groupBy(*keys, *step).agg(F.avg(F.abs(error)).alias("_e"))
-    placed = positions(batches, list(keys), list(step), "_k")
-    sizes = placed.groupBy(*keys).agg(F.max("_k").alias("_t"))
-    rows = lookup_join(placed, sizes, list(keys))
+    known = batches.count()
+    placed = positions(batches, list(keys), list(step), "_k", known)
+    rows = attach(placed, list(keys), {"_t": F.max("_k")}, known)
     decay = F.pow(F.lit(momentum), (F.col("_t") - F.col("_k")).cast("double"))
     weight = F.when(F.col("_k") == 1, decay).otherwise(decay * (1.0 - momentum))
     return rows.groupBy(*keys).agg(F.sum(weight * F.col("_e")).alias("moving_error"), F.max("_t").alias("n_updates"))

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from rollcall.operators.sampling import stratified_folds
 from rollcall.plans.frames import vectors
 from rollcall.plans.profile import rounded
 from rollcall.plans.registry import query
-from rollcall.plans.tables import items, one_candidate, split_of
+from rollcall.plans.tables import items, one_candidate, split_of, with_sql
 from rollcall.session import new_path, settle
 
 WIDTH = 64
@@ -44,15 +43,27 @@ def scored(preds: DataFrame) -> DataFrame:
     return rounded(regression_metrics(preds, ["candidate"], "y", "pred").select("candidate", "n", "mae", "rmse", "r2"), 4)
 
 
-@query("ml_impute_scale")
+_F = ("drift", "snr", "duration")
+_IMPUTED = "im AS (SELECT item_id, " + ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM tr)) AS {c}, ({c} IS NULL)::INT AS {c}_missing" for c in _F) + ", item_id % 4 <> 0 AS fit FROM it)"
+_SCALED = ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM im WHERE fit)) / (SELECT stddev_pop({c}) FROM im WHERE fit), 6) AS {c}_scaled, "
+    f"round(({c} - (SELECT quantile_cont({c}, 0.5) FROM im WHERE fit)) / (SELECT quantile_cont({c}, 0.9) - quantile_cont({c}, 0.1) FROM im WHERE fit), 6) AS {c}_robust, {c}_missing"
+    for c in _F
+)
+
+
+@query(
+    "ml_impute_scale",
+    with_sql("items", more=f"it AS (SELECT item_id, drift, snr, CASE WHEN item_id % 9 <> 0 THEN duration END AS duration FROM items), tr AS (SELECT * FROM it WHERE item_id % 4 <> 0), {_IMPUTED}")
+    + f"SELECT item_id, {_SCALED} FROM im",
+)
 def impute_scale(spark: SparkSession, sf: str) -> DataFrame:
-    rows = items(spark, sf).select("item_id", "drift", "snr", "duration")
-    plain, _ = L.impute_scale(rows, ("drift", "snr", "duration"))
-    robust, _ = L.impute_scale(rows, ("drift", "snr", "duration"), robust=True, out="robust")
-    names = ("drift", "snr", "duration", "no_drift", "no_snr", "no_duration")
-    a, b = vector_to_array("features"), vector_to_array("robust")
-    joined = plain.join(robust.select("item_id", "robust"), "item_id")
-    return joined.select("item_id", *[F.round(a[i], 6).alias(n) for i, n in enumerate(names)], *[F.round(b[i], 6).alias(f"r_{n}") for i, n in enumerate(names[:3])])
+    duration = F.when(F.col("item_id") % 9 != 0, F.col("duration"))
+    rows = items(spark, sf).select("item_id", "drift", "snr", duration.alias("duration"))
+    train = rows.filter("item_id % 4 <> 0")
+    plain = L.impute_scale(rows, _F, train=train)
+    both = L.impute_scale(plain, _F, robust=True, train=train, suffix="_robust")
+    return rounded(both.drop(*_F), 6)
 
 
 @query("ml_pca")

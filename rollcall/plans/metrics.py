@@ -264,12 +264,12 @@ def stop_status(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stratum_rank(spark: SparkSession, sf: str) -> DataFrame:
     from rollcall.functions.hashing import hash_order
-    from rollcall.operators.grouped import lookup_join, positions
+    from rollcall.operators.grouped import attach, positions
 
     rows = entities(spark, sf).select("entity_id", "source", "segment").withColumn("_h", hash_order(7, F.col("entity_id").cast("string")))
-    ranked = positions(rows, ["source", "segment"], ["_h", "entity_id"], "pos")
-    sizes = rows.groupBy("source", "segment").agg(F.count(F.lit(1)).alias("n"))
-    return lookup_join(ranked, sizes, ["source", "segment"]).select("entity_id", "pos", "n")
+    known = rows.count()
+    ranked = positions(rows, ["source", "segment"], ["_h", "entity_id"], "pos", known)
+    return attach(ranked, ["source", "segment"], {"n": F.count(F.lit(1))}, known).select("entity_id", "pos", "n")
 
 
 @query(

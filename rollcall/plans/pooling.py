@@ -24,7 +24,7 @@ _REL = f"rel AS (SELECT *, {RELIABILITY_SQL} AS rel FROM items)"
 @query(
     "agg_pool_weighted",
     with_sql("items", more=_REL)
-    + "SELECT entity_id, round(sum(rel * pred) / sum(rel), 4) AS mean, round(var_pop(pred), 4) AS var, count(*) AS n FROM rel GROUP BY entity_id",
+    + "SELECT entity_id, round(sum(rel * pred) / sum(rel), 8) AS mean, round(var_pop(pred), 8) AS var, count(*) AS n FROM rel GROUP BY entity_id",
 )
 def weighted(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.pool(pooled_items(spark, sf), "mean", "entity_id", "pred", F.col("rel"), F.col("var")))
@@ -33,7 +33,7 @@ def weighted(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_pool_inverse_variance",
     with_sql("items", more=_REL)
-    + "SELECT entity_id, round(sum(rel / var * pred) / sum(rel / var), 4) AS mean, round(1.0 / sum(rel / var), 4) AS var, count(*) AS n FROM rel GROUP BY entity_id",
+    + "SELECT entity_id, round(sum(rel / var * pred) / sum(rel / var), 8) AS mean, round(1.0 / sum(rel / var), 8) AS var, count(*) AS n FROM rel GROUP BY entity_id",
 )
 def inverse_variance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.pool(pooled_items(spark, sf), "legacy_inverse_variance", "entity_id", "pred", F.col("rel"), F.col("var")))
@@ -44,7 +44,7 @@ def inverse_variance(spark: SparkSession, sf: str) -> DataFrame:
     with_sql("items", more=_REL)
     + """, a AS (SELECT entity_id, pred, exp(rel / (var + 1e-6) - max(rel / (var + 1e-6)) OVER (PARTITION BY entity_id)) AS a FROM rel),
        m AS (SELECT *, sum(a * pred) OVER p / sum(a) OVER p AS mean FROM a WINDOW p AS (PARTITION BY entity_id))
-       SELECT entity_id, round(any_value(mean), 4) AS mean, round(sum(a * pow(pred - mean, 2)) / sum(a), 4) AS var, count(*) AS n FROM m GROUP BY entity_id""",
+       SELECT entity_id, round(any_value(mean), 8) AS mean, round(sum(a * pow(pred - mean, 2)) / sum(a), 8) AS var, count(*) AS n FROM m GROUP BY entity_id""",
 )
 def attention(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(P.pool(pooled_items(spark, sf), "attention", "entity_id", "pred", F.col("rel"), F.col("var")))
@@ -66,7 +66,7 @@ _ROBUST = """b AS (SELECT entity_id, pred AS v, var, greatest(greatest(rel, 1e-6
 @query(
     "agg_pool_robust",
     with_sql("items", more=f"{_REL}, {_ROBUST}")
-    + """SELECT entity_id, round(any_value(c2), 4) AS mean, round(sum(w2 * pow(v - c2, 2)) / sum(w2) + sum(w2 * var) / sum(w2), 4) AS var,
+    + """SELECT entity_id, round(any_value(c2), 8) AS mean, round(sum(w2 * pow(v - c2, 2)) / sum(w2) + sum(w2 * var) / sum(w2), 8) AS var,
          count(*) AS surviving, any_value(total) - count(*) AS rejected FROM c2 GROUP BY entity_id""",
 )
 def robust(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ EVIDENCE = """tot AS (SELECT KEYS, count(*) AS n_total, count(*) FILTER (WHERE v
 @query(
     "agg_pool_evidence",
     with_sql("items", more="src AS (SELECT entity_id, pred, var, quality AS q FROM items), " + EVIDENCE.replace("KEYS", "entity_id"))
-    + """SELECT entity_id, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN med ELSE mean END, 4) AS mean, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN std ELSE pstd END, 4) AS std,
+    + """SELECT entity_id, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN med ELSE mean END, 8) AS mean, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN std ELSE pstd END, 8) AS std,
          CASE s WHEN 0 THEN valid ELSE kept END AS n_accepted, n_total, s = 2 AS is_confident, CASE WHEN s = 2 THEN 'SUCCESS' ELSE 'ABSTAIN' END AS status,
          CASE s WHEN 0 THEN concat('Insufficient clips passed variance/quality check (', valid, '/', n_total, ')') WHEN 1 THEN 'Inconsistent evidence cluster. Median fallback used.'
            WHEN 2 THEN 'High confidence prediction' ELSE printf('Uncertainty (±%.2fcm) above target', pstd) END AS message FROM res""",
@@ -120,7 +120,7 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
     with_sql("items")
     + """, l AS (SELECT entity_id, unnest([{'cls': 'a', 'p': quality}, {'cls': 'b', 'p': 1.0::DOUBLE - quality}], recursive := true), 0.5::DOUBLE + voiced AS w FROM items),
        c AS (SELECT entity_id, cls, sum(p * w) / sum(w) AS p FROM l GROUP BY 1, 2)
-       SELECT entity_id, cls AS predicted, round(p, 4) AS prob FROM c QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY p DESC, cls) = 1""",
+       SELECT entity_id, cls AS predicted, round(p, 8) AS prob FROM c QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY p DESC, cls) = 1""",
 )
 def classes(spark: SparkSession, sf: str) -> DataFrame:
     probs = F.array(
@@ -134,7 +134,7 @@ def classes(spark: SparkSession, sf: str) -> DataFrame:
     "agg_pass_summary",
     with_sql("items")
     + f""", l AS (SELECT item_id, pred + {h01('pass', 'item_id', 'k')} * 4 AS v, ln(var) + {h01('lv', 'item_id', 'k')} AS lv FROM items CROSS JOIN (VALUES (1), (2), (3), (4), (5)) p(k))
-       SELECT item_id, round(avg(v), 4) AS mean, round(var_pop(v), 4) AS epistemic, round(avg(exp(lv)), 4) AS aleatoric, count(*) AS n_passes, round(var_pop(v) + avg(exp(lv)), 4) AS total FROM l GROUP BY 1""",
+       SELECT item_id, round(avg(v), 8) AS mean, round(var_pop(v), 8) AS epistemic, round(avg(exp(lv)), 8) AS aleatoric, count(*) AS n_passes, round(var_pop(v) + avg(exp(lv)), 8) AS total FROM l GROUP BY 1""",
 )
 def passes(spark: SparkSession, sf: str) -> DataFrame:
     rows = items(spark, sf).select("item_id", "pred", "var", F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("k"))
@@ -148,7 +148,7 @@ def passes(spark: SparkSession, sf: str) -> DataFrame:
     with_sql("items")
     + """, w AS (SELECT *, greatest(quality, 1e-6) AS w, list_filter([CASE WHEN snr < 0 THEN 'low_snr' END, CASE WHEN distance > 60 THEN 'far_microphone' END], lambda x: x IS NOT NULL) AS ws FROM items),
        u AS (SELECT entity_id, array_to_string(list_sort(list(DISTINCT x)), '|') AS warnings FROM (SELECT entity_id, unnest(ws) AS x FROM w) GROUP BY 1)
-       SELECT entity_id, round(sum(w * speech) / sum(w), 4) AS speech, round(sum(w * drift) / sum(w) FILTER (WHERE drift IS NOT NULL), 4) AS drift, round(sum(w * distance) / sum(w), 4) AS distance,
+       SELECT entity_id, round(sum(w * speech) / sum(w), 8) AS speech, round(sum(w * drift) / sum(w) FILTER (WHERE drift IS NOT NULL), 8) AS drift, round(sum(w * distance) / sum(w), 8) AS distance,
          bool_and(len(ws) = 0) AS all_ok, coalesce(any_value(warnings), '') AS warnings,
          CASE WHEN sum(w * distance) / sum(w) <= 20 THEN 'near' WHEN sum(w * distance) / sum(w) <= 40 THEN 'mid' ELSE 'far' END AS band
        FROM w LEFT JOIN u USING (entity_id) GROUP BY entity_id""",
@@ -167,7 +167,7 @@ def rollup(spark: SparkSession, sf: str) -> DataFrame:
            row_number() OVER (PARTITION BY i.entity_id ORDER BY day, item_id) AS rk, count(*) OVER (PARTITION BY i.entity_id) AS have FROM items i JOIN ent USING (entity_id)),
          src AS (SELECT n AS n_items, r.* FROM r CROSS JOIN (VALUES (1), (3), (5), (10)) s(n) WHERE rk <= n AND (have >= n OR n = 1)), """
              + EVIDENCE.replace("KEYS", "n_items, entity_id") + ", tr AS (SELECT n_items, entity_id, any_value(y) AS y FROM src GROUP BY 1, 2)")
-    + "SELECT n_items, count(*) AS n_entities, count(*) FILTER (WHERE s = 2) AS n_used, round(avg(abs(round(mean, 2) - y)) FILTER (WHERE s = 2), 4) AS mae FROM res JOIN tr USING (n_items, entity_id) GROUP BY 1",
+    + "SELECT n_items, count(*) AS n_entities, count(*) FILTER (WHERE s = 2) AS n_used, round(avg(abs(round(mean, 2) - y)) FILTER (WHERE s = 2), 8) AS mae FROM res JOIN tr USING (n_items, entity_id) GROUP BY 1",
 )
 def curve(spark: SparkSession, sf: str) -> DataFrame:
     rows = items(spark, sf).select("entity_id", "item_id", "day").join(entities(spark, sf).select("entity_id", "y"), "entity_id")

@@ -18,7 +18,7 @@ from rollcall.plans.tables import entities, h01, items, load, with_sql
 PAIRS = (("train", "val"), ("train", "test"))
 
 
-def rounded(df: DataFrame, digits: int = 4, keep: tuple = ()) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 8, keep: tuple = ()) -> DataFrame:
     """Doubles rounded, other columns unchanged."""
     return df.select(
         *[F.round(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes]
@@ -46,8 +46,8 @@ _LONG = "long AS (SELECT * FROM (SELECT source, unnest([{'metric': 'y', 'value':
     + """, b AS (SELECT source, metric, count(*) AS n, min(value) AS min, max(value) AS max, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS std,
            quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75 FROM long GROUP BY 1, 2),
        k AS (SELECT source, metric, coalesce(avg(pow((value - mean) / nullif(std, 0), 3)), 0) AS skew FROM long JOIN b USING (source, metric) GROUP BY 1, 2)
-       SELECT source, metric, n, round(min, 4) AS min, round(max, 4) AS max, round(mean, 4) AS mean, round(std, 4) AS std, round(median, 4) AS median,
-         round(p25, 4) AS p25, round(p75, 4) AS p75, round(skew, 4) AS skew,
+       SELECT source, metric, n, round(min, 8) AS min, round(max, 8) AS max, round(mean, 8) AS mean, round(std, 8) AS std, round(median, 8) AS median,
+         round(p25, 8) AS p25, round(p75, 8) AS p75, round(skew, 8) AS skew,
          CASE WHEN skew > 0.5 THEN 'right' WHEN skew < -0.5 THEN 'left' ELSE 'symmetric' END AS skew_label FROM b JOIN k USING (source, metric)""",
 )
 def describe(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,7 @@ def describe(spark: SparkSession, sf: str) -> DataFrame:
     """WITH l AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
        c AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM lineitem, l GROUP BY 1),
        f AS (SELECT b.range::INT AS bin, coalesce(n, 0) AS n FROM range(20) b LEFT JOIN c ON c.bin = b.range)
-       SELECT bin, round(lo + bin * ((hi - lo) / 20), 4) AS lo, round(lo + (bin + 1) * ((hi - lo) / 20), 4) AS hi, n,
+       SELECT bin, round(lo + bin * ((hi - lo) / 20), 8) AS lo, round(lo + (bin + 1) * ((hi - lo) / 20), 8) AS hi, n,
          floor(n / (SELECT max(n) FROM f) * 48)::BIGINT AS bar FROM f, l""",
 )
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,7 +69,7 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_imbalance",
     """WITH c AS (SELECT source, lang, count(*) AS c FROM documents GROUP BY 1, 2)
-       SELECT source, count(*) AS n_classes, round(CASE WHEN count(*) <= 1 THEN 1.0 ELSE greatest(0.0, 1.0 - (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*))) END, 4) AS imbalance
+       SELECT source, count(*) AS n_classes, round(CASE WHEN count(*) <= 1 THEN 1.0 ELSE greatest(0.0, 1.0 - (ln(sum(c)) - sum(c * ln(c)) / sum(c)) / ln(count(*))) END, 8) AS imbalance
        FROM c GROUP BY source""",
 )
 def imbalance(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +80,7 @@ def imbalance(spark: SparkSession, sf: str) -> DataFrame:
     "agg_pearson",
     """WITH l AS (SELECT l_returnflag, unnest([{'pair': 'l_quantity~l_extendedprice', 'a': l_quantity, 'b': l_extendedprice},
          {'pair': 'l_discount~l_tax', 'a': CASE WHEN l_linenumber <> 3 THEN l_discount END, 'b': l_tax}], recursive := true) FROM lineitem)
-       SELECT l_returnflag, pair, count(*) AS n, round(corr(a, b), 4) AS r FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2""",
+       SELECT l_returnflag, pair, count(*) AS n, round(corr(a, b), 8) AS r FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2""",
 )
 def pearson(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "lineitem").withColumn("l_discount", F.when(F.col("l_linenumber") != 3, F.col("l_discount")))
@@ -104,7 +104,7 @@ def ks(spark: SparkSession, sf: str) -> DataFrame:
     "agg_item_counts",
     with_sql("ent", "items")
     + """, n AS (SELECT source, entity_id, count(*) AS n FROM items JOIN ent USING (entity_id) GROUP BY 1, 2)
-       SELECT source, count(*) AS n_entities, min(n) AS min_items, max(n) AS max_items, round(avg(n), 4) AS mean_items FROM n GROUP BY ROLLUP (source)""",
+       SELECT source, count(*) AS n_entities, min(n) AS min_items, max(n) AS max_items, round(avg(n), 8) AS mean_items FROM n GROUP BY ROLLUP (source)""",
 )
 def item_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = items(spark, sf).select("entity_id").join(entities(spark, sf).select("entity_id", "source"), "entity_id")
@@ -125,9 +125,9 @@ _READY = f"""n AS (SELECT count(*)::DOUBLE AS n FROM ent),
 @query(
     "agg_readiness",
     with_sql("ent", "items", more=f"{KLONG}, {KS_SQL}, {_READY}")
-    + """SELECT round(size, 4) AS size, round(group_balance, 4) AS group_balance, round(source_balance, 4) AS source_balance, round(split_consistency, 4) AS split_consistency,
-         round(richness, 4) AS richness, round(cleanliness, 4) AS cleanliness,
-         round(CASE WHEN o >= 95 THEN 100 ELSE o END, 4) AS overall FROM (SELECT *, (size + group_balance + source_balance + split_consistency + richness + cleanliness) / 6 * 100 AS o FROM sc)""",
+    + """SELECT round(size, 8) AS size, round(group_balance, 8) AS group_balance, round(source_balance, 8) AS source_balance, round(split_consistency, 8) AS split_consistency,
+         round(richness, 8) AS richness, round(cleanliness, 8) AS cleanliness,
+         round(CASE WHEN o >= 95 THEN 100 ELSE o END, 8) AS overall FROM (SELECT *, (size + group_balance + source_balance + split_consistency + richness + cleanliness) / 6 * 100 AS o FROM sc)""",
 )
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
     ent = entities(spark, sf)
@@ -151,7 +151,7 @@ def readiness(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_target_stats",
     with_sql("ent")
-    + """SELECT target, count(v) AS n, round(coalesce(avg(v), 0), 4) AS mean, round(coalesce(stddev_pop(v) + 1e-9, 1), 4) AS std FROM (
+    + """SELECT target, count(v) AS n, round(coalesce(avg(v), 0), 8) AS mean, round(coalesce(stddev_pop(v) + 1e-9, 1), 8) AS std FROM (
          SELECT unnest([{'target': 'height', 'v': y}, {'target': 'age', 'v': age}, {'target': 'weight', 'v': CASE WHEN source = 'ASIA' THEN weight END}], recursive := true)
          FROM ent WHERE split = 'train') GROUP BY target""",
 )
@@ -179,7 +179,7 @@ _CHECKS = {
     with_sql("ent", "items")
     + "SELECT split, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, "
     + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _CHECKS.items())
-    + ", ".join(["", *[f"round(avg({s}), 4) AS mean_{s}, round(stddev_pop({s}), 4) AS std_{s}, round(min({s}), 4) AS min_{s}, round(max({s}), 4) AS max_{s}" for s in SCALARS]])
+    + ", ".join(["", *[f"round(avg({s}), 8) AS mean_{s}, round(stddev_pop({s}), 8) AS std_{s}, round(min({s}), 8) AS min_{s}, round(max({s}), 8) AS max_{s}" for s in SCALARS]])
     + " FROM items JOIN ent USING (entity_id) GROUP BY split",
 )
 def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,8 +209,8 @@ _SUMMARY = "summ AS (SELECT split, feature, avg(v) AS mean, stddev_pop(v) AS std
 @query(
     "agg_drift",
     with_sql("ent", "items", more=_SUMMARY)
-    + """SELECT o.split, o.feature, round(r.mean, 4) AS reference_mean, round(o.mean, 4) AS other_mean, round(abs(o.mean - r.mean), 4) AS abs_shift,
-         round(abs(o.mean - r.mean) / CASE WHEN abs(r.std) > 1e-9 THEN abs(r.std) ELSE 1 END, 4) AS std_units
+    + """SELECT o.split, o.feature, round(r.mean, 8) AS reference_mean, round(o.mean, 8) AS other_mean, round(abs(o.mean - r.mean), 8) AS abs_shift,
+         round(abs(o.mean - r.mean) / CASE WHEN abs(r.std) > 1e-9 THEN abs(r.std) ELSE 1 END, 8) AS std_units
        FROM summ o JOIN summ r ON o.feature = r.feature AND r.split = 'train' AND o.split <> 'train'""",
 )
 def drift(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,7 +253,7 @@ def entity_embedding(spark: SparkSession, sf: str) -> DataFrame:
     "agg_run_stats",
     with_sql("ent", "items")
     + """SELECT source, count(*) AS processed, count(*) FILTER (WHERE duration < 1.5) AS dropped, count(*) FILTER (WHERE duration > 10) AS truncated,
-         count(*) FILTER (WHERE duration < 1) AS flagged, round(avg(duration), 4) AS mean_before, round(avg(least(duration, 10)) FILTER (WHERE duration >= 1.5), 4) AS mean_final
+         count(*) FILTER (WHERE duration < 1) AS flagged, round(avg(duration), 8) AS mean_before, round(avg(least(duration, 10)) FILTER (WHERE duration >= 1.5), 8) AS mean_final
        FROM items JOIN ent USING (entity_id) GROUP BY ROLLUP (source)""",
 )
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,7 +269,7 @@ def run_stats(spark: SparkSession, sf: str) -> DataFrame:
              FROM items SEMI JOIN s USING (entity_id))
        SELECT count(*) AS n_items, count(*) FILTER (WHERE NOT found) AS n_missing, count(DISTINCT rate) FILTER (WHERE found) AS n_rates, max(rate) FILTER (WHERE found) AS max_rate,
          max(channels) FILTER (WHERE found) AS max_channels, min(duration) FILTER (WHERE found) AS min_duration, max(duration) FILTER (WHERE found) AS max_duration,
-         round(avg(duration) FILTER (WHERE found), 4) AS mean_duration, min(peak) FILTER (WHERE found) AS min_peak, max(peak) FILTER (WHERE found) AS max_peak, round(avg(peak) FILTER (WHERE found), 4) AS mean_peak,
+         round(avg(duration) FILTER (WHERE found), 8) AS mean_duration, min(peak) FILTER (WHERE found) AS min_peak, max(peak) FILTER (WHERE found) AS max_peak, round(avg(peak) FILTER (WHERE found), 8) AS mean_peak,
          TRUE AS resample, TRUE AS downmix, TRUE AS drop_short, TRUE AS normalise FROM p""",
 )
 def probe(spark: SparkSession, sf: str) -> DataFrame:

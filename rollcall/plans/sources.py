@@ -190,8 +190,8 @@ def accept_reject(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sink_predictions",
     with_sql("preds")
-    + "SELECT entity_id, split, round(any_value(y), 4) AS y, "
-    + ", ".join(f"round(max(pred) FILTER (WHERE candidate = '{n}'), 4) AS {n}, round(abs(max(pred) FILTER (WHERE candidate = '{n}') - any_value(y)), 4) AS abs_err_{n}" for n in NAMES)
+    + "SELECT entity_id, split, round(any_value(y), 8) AS y, "
+    + ", ".join(f"round(max(pred) FILTER (WHERE candidate = '{n}'), 8) AS {n}, round(abs(max(pred) FILTER (WHERE candidate = '{n}') - any_value(y)), 8) AS abs_err_{n}" for n in NAMES)
     + " FROM preds GROUP BY 1, 2",
 )
 def predictions_sink(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,7 +292,7 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
     """WITH s AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE greatest(least(trunc(x * 60000.0::DOUBLE), 32767), -32768) / 32768.0::DOUBLE END AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)),
        m AS (SELECT vec_id, 64 * CASE WHEN vec_id % 6 = 0 THEN 100 ELSE 300 END / CASE WHEN vec_id % 7 = 0 THEN 4000.0::DOUBLE ELSE 8000 END AS duration, CASE WHEN vec_id % 7 = 0 THEN 4000 ELSE 8000 END AS rate,
          20 * log10(greatest(sqrt(avg(v * v)), 1e-12)) AS rms, max(abs(v)) AS peak, avg((abs(v) >= 0.999)::INT) AS clipping FROM s GROUP BY vec_id)
-       SELECT concat('rec/', vec_id, '.wav') AS path, duration, rate, round(rms, 4) AS rms, round(peak, 6) AS peak, round(clipping, 6) AS clipping,
+       SELECT concat('rec/', vec_id, '.wav') AS path, duration, rate, round(rms, 6) AS rms, round(peak, 6) AS peak, round(clipping, 6) AS clipping,
          array_to_string(list_filter([CASE WHEN rate < 8000 THEN 'sample_rate_too_low' END, CASE WHEN duration < 2 THEN 'too_short' END, CASE WHEN duration > 30 THEN 'too_long' END, CASE WHEN rms < -50 THEN 'near_silent' END,
            CASE WHEN rms > -3 THEN 'excessive_level' END, CASE WHEN peak < 0.01 THEN 'low_peak' END, CASE WHEN clipping > 0.01 THEN 'clipped' END], lambda x: x IS NOT NULL), '|') AS qc_reasons FROM m""",
 )
@@ -301,7 +301,7 @@ def pcm(spark: SparkSession, sf: str) -> DataFrame:
     rules = item_rules(*[F.col(c) for c in ("channels", "rate", "duration", "rms", "peak", "clipping")])
     judged = with_all_reasons(rows, rules, "why")
     return judged.select(
-        "path", "duration", "rate", F.round("rms", 4).alias("rms"), F.round("peak", 6).alias("peak"), F.round("clipping", 6).alias("clipping"), F.array_join("why", "|").alias("qc_reasons")
+        "path", "duration", "rate", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"), F.round("clipping", 6).alias("clipping"), F.array_join("why", "|").alias("qc_reasons")
     )
 
 

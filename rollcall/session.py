@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -50,7 +51,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute once into the shared folder; returns the written table and its row count.
+
+    The lineage ends at the written files, so a lost executor costs a re-read and
+    not a recomputation, and the planner sees the real size.
+    """
+    seen = Observation()
+    path = new_path(df.sparkSession, "table")
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), int(seen.get["n"])
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder and cut the lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into the shared folder and go on from the written table."""
+    return settle_counted(df)[0]
