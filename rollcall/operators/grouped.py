@@ -83,13 +83,13 @@ def lookup_join(
         hot = F.broadcast(hot)
     plain = [c for c, t in rows.dtypes if not t.startswith("map")]
     cut_rows = same_keys(rows, hot, keys, "left").withColumn(
-        "_slice", F.pmod(F.xxhash64(*plain), F.coalesce("_cuts", F.lit(1))).cast("int")
+        "_cut", F.pmod(F.xxhash64(*plain), F.coalesce("_cuts", F.lit(1))).cast("int")
     )
     cut_table = same_keys(table, hot, keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))
+        "_cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))
     )
-    joined = same_keys(cut_rows.drop("_cuts"), cut_table.drop("_cuts"), [*keys, "_slice"], how)
-    return joined.drop("_slice")
+    joined = same_keys(cut_rows.drop("_cuts"), cut_table.drop("_cuts"), [*keys, "_cut"], how)
+    return joined.drop("_cut")
 
 
 def attach(rows: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], known: int | None = None) -> DataFrame:
@@ -141,27 +141,27 @@ def running(
         return df.withColumns({n: kinds[k](c).over(scope) for n, (k, c) in columns.items()})
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = settle(
-        df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
+        df.repartitionByRange(slices, *keys, *order).withColumn("_part", F.spark_partition_id())
     )
-    totals = ranged.groupBy(*keys, "_slice").agg(
+    totals = ranged.groupBy(*keys, "_part").agg(
         *[kinds[k](c).alias(f"_t_{n}") for n, (k, c) in columns.items()]
     )
     earlier = (
         Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("_slice")
+        .orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select(
         *keys,
-        "_slice",
+        "_part",
         *[kinds[k](f"_t_{n}").over(earlier).alias(f"_o_{n}") for n, (k, _) in columns.items()],
     )
-    scope = upto(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    scope = upto(Window.partitionBy(*keys, "_part").orderBy(*order))
     local = ranged.withColumns({n: kinds[k](c).over(scope) for n, (k, c) in columns.items()})
-    joined = lookup_join(local, offsets, [*keys, "_slice"])
+    joined = lookup_join(local, offsets, [*keys, "_part"])
     return joined.withColumns(
         {n: folds[k](F.col(n), F.col(f"_o_{n}")) for n, (k, _) in columns.items()}
-    ).drop("_slice", *[f"_o_{n}" for n in columns])
+    ).drop("_part", *[f"_o_{n}" for n in columns])
 
 
 def positions(
