@@ -21,18 +21,24 @@ def safe_number(text: Column, strip_commas: bool = False) -> Column:
     return finite(cleaned.try_cast("double"))
 
 
-def clip(c: Column, low: float | None, high: float | None) -> Column:
-    """Limit to [low, high]; NULL stays NULL."""
-    out = c
-    if low is not None:
-        out = F.when(out < low, F.lit(float(low))).otherwise(out)
-    if high is not None:
-        out = F.when(out > high, F.lit(float(high))).otherwise(out)
-    return out
+def bounded(c: Column, low: float | Column, high: float | Column) -> Column:
+    """Limit to [low, high] a value that is known to be present.
+
+    ``least``/``greatest`` skip NULL, so a NULL would come out as ``low``; use
+    ``clip`` where the value may be missing.  The argument is used once, which
+    keeps nested scores small.
+    """
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return F.least(F.greatest(c, lit(low)), lit(high))
+
 
+def bounded01(c: Column) -> Column:
+    return bounded(c, 0.0, 1.0)
 
-def clamp01(c: Column) -> Column:
-    return clip(c, 0.0, 1.0)
+
+def clip(c: Column, low: float, high: float) -> Column:
+    """Limit to [low, high]; NULL stays NULL."""
+    return F.when(c.isNotNull(), bounded(c, low, high))
 
 
 def imperial_to_cm(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollcall.functions.numbers import clip, target_bin
+from rollcall.functions.numbers import bounded, target_bin
 
 
 def edge_weight(y: Column) -> Column:
@@ -59,4 +59,4 @@ def configured_weight(
         * F.when(y <= extreme_low[0], extreme_low[1]).otherwise(F.lit(1.0))
         * F.when(y >= extreme_high[0], extreme_high[1]).otherwise(F.lit(1.0))
     )
-    return clip(weight, 1e-3, cap)
+    return bounded(weight, 1e-3, cap)

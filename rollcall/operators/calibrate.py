@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.numbers import clip, target_bin
+from rollcall.functions.numbers import bounded, bounded01, target_bin
 from rollcall.operators.grouped import attach, attach_quantile, group_quantiles, lookup_join
 
 
@@ -95,7 +95,7 @@ def fit_segments(df: DataFrame, kind: str, keys: Sequence[str], y: str, pred: st
     by = [*keys, "segment"]
     stats = {"_n": F.count(F.lit(1)), "_var": F.var_pop(pred), "_cov": F.covar_samp(pred, y)}
     rows = attach(rows, by, stats, known).filter(F.col("_n") >= segment_value(kind, "min_rows"))
-    limited = F.least(F.greatest(F.col("_cov") / F.col("_var"), segment_value(kind, "slope_low")), segment_value(kind, "slope_high"))
+    limited = bounded(F.col("_cov") / F.col("_var"), segment_value(kind, "slope_low"), segment_value(kind, "slope_high"))
     slope = F.when(F.col("_var") > 1e-6, limited).otherwise(segment_value(kind, "flat_slope"))
     rows = rows.withColumn("_slope", slope).withColumn("_rest", F.col(y) - F.col("_slope") * F.col(pred))
     return group_quantiles(rows, by, "_rest", {"intercept": 0.5}, aggs={"n": F.max("_n"), "slope": F.max("_slope")}, known=known)
@@ -119,7 +119,7 @@ def apply_segments(
     else:
         value = slope * p + intercept
     if any(s.ramp is not None for s in SEGMENTS[kind]):
-        w = clip((segment_value(kind, "high") - p) / segment_value(kind, "ramp"), 0.0, 1.0)
+        w = bounded((segment_value(kind, "high") - p) / segment_value(kind, "ramp"), 0.0, 1.0)
         value = (1.0 - w) * p + w * value
     return rows.withColumn(out, F.coalesce(value, p)).drop("segment", "slope", "intercept")
 
@@ -154,7 +154,7 @@ def apply_offsets(
     offset = F.coalesce("group_offset", F.lit(0.0))
     if kind == "group_snap":
         low = (F.col(group) == damped_group) & (moved < 172.0) & (offset > 0)
-        offset = F.when(low, offset * clip((moved - 162.0) / 10.0, 0.0, 1.0)).otherwise(offset)
+        offset = F.when(low, offset * bounded01((moved - 162.0) / 10.0)).otherwise(offset)
         value = F.when(F.col(source).isin(*snapped), snap(moved + offset)).otherwise(moved + offset)
     else:
         value = moved + offset
@@ -200,7 +200,7 @@ def fit_edge_offsets(df: DataFrame, y: str, pred: str, strength: float = 25.0, l
     """(bin, offset): shrunken, limited median residual per predicted bin."""
     rows = df.select(target_bin(F.col(pred)).alias("bin"), (F.col(y) - F.col(pred)).alias("_r"))
     out = group_quantiles(rows, ["bin"], "_r", {"_m": 0.5}, aggs={"n": F.count(F.lit(1))})
-    return out.select("bin", "n", clip(F.col("_m") * F.col("n") / (F.col("n") + strength), -limit, limit).alias("offset"))
+    return out.select("bin", "n", bounded(F.col("_m") * F.col("n") / (F.col("n") + strength), -limit, limit).alias("offset"))
 
 
 def apply_edge_offsets(df: DataFrame, offsets: DataFrame, pred: str, out: str) -> DataFrame:

@@ -22,9 +22,17 @@ def _weighted(value: str, w: Column) -> Column:
     return F.sum(w * F.col(value)) / F.greatest(F.sum(w), F.lit(EPS))
 
 
+def voting(df: DataFrame, value: str, *more: Column) -> DataFrame:
+    """Items that have everything a method needs."""
+    rows = df.filter(F.col(value).isNotNull())
+    for column in more:
+        rows = rows.filter(column.isNotNull())
+    return rows
+
+
 def pool_weighted(df: DataFrame, entity: str, value: str, weight: Column) -> DataFrame:
     """Weighted mean; unweighted population variance, 0 for a single item."""
-    return df.groupBy(entity).agg(
+    return voting(df, value, weight).groupBy(entity).agg(
         _weighted(value, weight).alias("mean"), F.var_pop(value).alias("var"), F.count(F.lit(1)).alias("n")
     )
 
@@ -32,14 +40,14 @@ def pool_weighted(df: DataFrame, entity: str, value: str, weight: Column) -> Dat
 def pool_inverse_variance(df: DataFrame, entity: str, value: str, weight: Column, var: Column) -> DataFrame:
     """Weights quality / variance; the variance is one over their sum."""
     w = F.greatest(weight / F.greatest(var, F.lit(EPS)), F.lit(EPS))
-    return df.groupBy(entity).agg(
+    return voting(df, value, weight, var).groupBy(entity).agg(
         _weighted(value, w).alias("mean"), (1.0 / F.greatest(F.sum(w), F.lit(EPS))).alias("var"), F.count(F.lit(1)).alias("n")
     )
 
 
 def pool_attention(df: DataFrame, entity: str, value: str, weight: Column, var: Column, known: int | None = None) -> DataFrame:
     """Softmax of quality / variance over the entity's items, shifted by its maximum."""
-    scored = df.select(entity, value, (weight / (var + EPS)).alias("_s"))
+    scored = voting(df, value, weight, var).select(entity, value, (weight / (var + EPS)).alias("_s"))
     known = scored.count() if known is None else known
     rows = attach(scored, [entity], {"_top": F.max("_s")}, known)
     a = F.exp(F.col("_s") - F.col("_top"))
@@ -72,6 +80,7 @@ def pool_robust(
     While every entity fits a task, all steps are windows over the same key and
     share one shuffle; otherwise each step is an aggregate that is joined back.
     """
+    df = voting(df, value, reliability) if var is None else voting(df, value, reliability, var)
     base = F.greatest(reliability, F.lit(EPS))
     noise = F.greatest(var, F.lit(EPS)) if var is not None else F.lit(0.0)
     if var is not None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import hash_order, hash_uniform
-from rollcall.functions.numbers import clip
+from rollcall.functions.numbers import bounded
 from rollcall.operators.grouped import attach, first_n, group_quantiles, lookup_join, positions, running, same_keys
 from rollcall.session import settle, settle_counted
 
@@ -208,13 +208,13 @@ def balanced_weights(
     known = counts.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("k"))
     rows = lookup_join(df.select(entity, bin_, group, source), counts, [group])
     inverse = known.select("t").scalar() / (F.col("_n") * 2.0)
-    prior = clip(1.0 + (inverse - 1.0) * strength, 0.80, 1.25)
+    prior = bounded(1.0 + (inverse - 1.0) * strength, 0.80, 1.25)
     prior = F.when(F.col("_n").isNotNull() & (known.select("k").scalar() == 2), prior).otherwise(F.lit(1.0))
     weight = (
         table_weight(F.col(bin_), bins) * prior * table_weight(F.upper(source), sources)
         * table_weight(F.concat_ws("_", F.col(group).cast("string"), F.col(bin_)), group_bins)
     )
-    return rows.select(entity, clip(weight, 1e-6, max(1.0, cap)).alias("weight"))
+    return rows.select(entity, bounded(weight, 1e-6, max(1.0, cap)).alias("weight"))
 
 
 def hash_subset(df: DataFrame, key: str, n: int, seed: object) -> DataFrame:
@@ -270,7 +270,7 @@ def mask_frames(df: DataFrame, key: str, frames: str, width: int, seed: object,
             zeroed = F.transform(x, lambda f: F.transform(f, lambda v, j: F.when(F.array_contains(dims, j), F.lit(0.0)).otherwise(v)))
             out = out.withColumn(frames, F.when(u(f"p_{name}") < p * strength, zeroed).otherwise(x))
 
-    gain = clip(1.0 + normal("gain") * (0.15 * strength), 0.85, 1.15)
+    gain = bounded(1.0 + normal("gain") * (0.15 * strength), 0.85, 1.15)
     scaled = F.transform(x, lambda f: F.transform(f, lambda v: v * gain))
     out = out.withColumn(frames, F.when(u("p_gain") < 0.55 * strength, scaled).otherwise(x))
 

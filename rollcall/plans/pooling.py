@@ -146,9 +146,9 @@ def passes(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_quality_rollup",
     with_sql("items")
-    + """, w AS (SELECT *, greatest(quality, 1e-6) AS w, list_filter([CASE WHEN snr < 0 THEN 'low_snr' END, CASE WHEN distance > 60 THEN 'far_microphone' END], lambda x: x IS NOT NULL) AS ws FROM items),
+    + """, w AS (SELECT *, ln(2.0::DOUBLE + quality) AS w, list_filter([CASE WHEN snr < 0 THEN 'low_snr' END, CASE WHEN distance > 60 THEN 'far_microphone' END], lambda x: x IS NOT NULL) AS ws FROM items),
        u AS (SELECT entity_id, array_to_string(list_sort(list(DISTINCT x)), '|') AS warnings FROM (SELECT entity_id, unnest(ws) AS x FROM w) GROUP BY 1)
-       SELECT entity_id, round(sum(w * speech) / sum(w), 12) AS speech, round(sum(w * drift) / sum(w) FILTER (WHERE drift IS NOT NULL), 12) AS drift, round(sum(w * distance) / sum(w), 12) AS distance,
+       SELECT entity_id, round(sum(w * speech) / sum(w), 6) AS speech, round(sum(w * drift) / sum(w) FILTER (WHERE drift IS NOT NULL), 6) AS drift, round(sum(w * distance) / sum(w), 6) AS distance,
          bool_and(len(ws) = 0) AS all_ok, coalesce(any_value(warnings), '') AS warnings,
          CASE WHEN sum(w * distance) / sum(w) <= 20 THEN 'near' WHEN sum(w * distance) / sum(w) <= 40 THEN 'mid' ELSE 'far' END AS band
        FROM w LEFT JOIN u USING (entity_id) GROUP BY entity_id""",
@@ -157,8 +157,8 @@ def rollup(spark: SparkSession, sf: str) -> DataFrame:
     from rollcall.functions.quality import reasons
 
     told = reasons({"low_snr": F.col("snr") < 0, "far_microphone": F.col("distance") > 60})
-    rows = items(spark, sf).withColumn("warnings", told).withColumn("ok", F.size("warnings") == 0)
-    return rounded(P.quality_rollup(rows, "entity_id", ("speech", "drift", "distance"), "quality", "ok", "warnings", "distance"), 12)
+    rows = items(spark, sf).withColumn("warnings", told).withColumn("ok", F.size("warnings") == 0).withColumn("w", F.ln(F.lit(2.0) + F.col("quality")))
+    return rounded(P.quality_rollup(rows, "entity_id", ("speech", "drift", "distance"), "w", "ok", "warnings", "distance"), 6)
 
 
 @query(

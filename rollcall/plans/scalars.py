@@ -10,7 +10,6 @@ from rollcall.functions import labels as L
 from rollcall.functions import numbers as N
 from rollcall.functions import quality as Q
 from rollcall.functions import weights as Wt
-from rollcall.operators.grouped import lookup_join
 from rollcall.operators.rules import last_wins
 from rollcall.plans.registry import query
 from rollcall.plans.tables import entities, items, load, rnd, with_sql
@@ -378,7 +377,7 @@ def c01(expr: str) -> str:
 RELIABILITY_SQL = f"""greatest(least(0.20 * {c01('quality')} + 0.10 * {c01('(speech - 0.35) / 0.55::DOUBLE')} + 0.10 * {c01('(snr - 5.0) / 20.0::DOUBLE')}
   + 0.10 * {c01('1.0 - clipped / 0.08::DOUBLE')} + 0.10 * {c01('1.0 - abs(distance - 18.0) / 30.0::DOUBLE')} + 0.10 * {c01('(voiced - 0.20) / 0.70::DOUBLE')}
   + 0.05 * {c01('duration / 4.0::DOUBLE')} + 0.05 * {c01('sqrt(frames / 200.0::DOUBLE)')} + 0.10 * {c01('1.0 / (1.0 + sqrt(var) / 4.0::DOUBLE)')}
-  + 0.10 * coalesce(exp(-0.5 * pow(least(abs(drift), 3.0), 2)), 1.0), 1.0), 0.05)"""
+  + 0.10 * CASE WHEN drift IS NULL THEN 1.0 ELSE exp(-0.5 * pow(least(abs(drift), 3.0), 2)) END, 1.0), 0.05)"""
 
 
 @query(
