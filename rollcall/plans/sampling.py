@@ -97,12 +97,11 @@ _OBJ = """{k}klong AS (SELECT * FROM (SELECT seed, split, unnest([{{'metric': 'y
 
 @query(
     "smp_split_objective",
-    with_sql("ent", more="es AS (SELECT 0 AS seed, * FROM ent), " + _OBJ.format(k="z", t="es"))
-    + "SELECT seed, round(avg_ks, 6) AS avg_ks, round(penalty, 6) AS penalty, round(objective, 6) AS objective FROM zo",
+    with_sql("ent", more="es AS (SELECT g AS seed, * FROM ent), " + _OBJ.format(k="z", t="es"))
+    + "SELECT seed AS g, round(avg_ks, 6) AS avg_ks, round(penalty, 6) AS penalty, round(objective, 6) AS objective FROM zo",
 )
 def objective(spark: SparkSession, sf: str) -> DataFrame:
-    rows = entities(spark, sf).withColumn("seed", F.lit(0))
-    return rounded(S.split_objective(rows, ["seed"], "source", "split", ("y", "age", "weight"), RATIOS), 6)
+    return rounded(S.split_objective(entities(spark, sf), ["g"], "source", "split", ("y", "age", "weight"), RATIOS), 6)
 
 
 SEEDS = range(42, 54)

@@ -97,13 +97,8 @@ def missing_outputs(wanted: DataFrame, existing: DataFrame, key: Sequence[str])
 
 def resume(spark: SparkSession, wanted: DataFrame, path: str, key: Sequence[str], compute) -> DataFrame:
     """Compute what is missing and add it; a second run adds nothing."""
-    try:
-        existing = spark.read.parquet(path).select(*key)
-        todo = settle(missing_outputs(wanted, existing, key))
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        todo = wanted
+    compute(wanted.limit(0)).write.mode("append").parquet(path)  # makes sure the table exists
+    todo = settle(missing_outputs(wanted, spark.read.parquet(path), key))
     compute(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
