@@ -74,8 +74,8 @@ def resolve_refs(manifest: DataFrame, key: str, paths: str, listing: DataFrame,
         F.size(F.array_distinct(paths)).alias("n_unique"),
         F.posexplode_outer(F.array_distinct(paths)).alias("pos", path),
     )
-    known = listing.select(F.col(path).alias("_p")).distinct()
-    marked = refs.join(known, F.col(path) == F.col("_p"), "left").withColumn("found", F.col("_p").isNotNull())
+    known = listing.select(path).distinct().withColumn("_known", F.lit(True))
+    marked = lookup_join(refs, known, [path]).withColumn("found", F.coalesce("_known", F.lit(False)))
     kept = marked.groupBy(key).agg(
         F.max(F.col("n_raw") - F.col("n_unique")).cast("long").alias("n_deduped"),
         F.count_if(~F.col("found") & F.col(path).isNotNull()).alias("n_missing"),
@@ -221,7 +221,7 @@ def duplicates(df: DataFrame, key: str, size: Column, digest: Column) -> DataFra
     """
     sized = df.withColumn("_size", size)
     colliding = sized.groupBy("_size").count().filter("count > 1").select("_size")
-    hashed = sized.join(colliding, "_size", "left_semi").select(key, digest.alias("digest"))
+    hashed = lookup_join(sized, colliding, ["_size"], how="left_semi").select(key, digest.alias("digest"))
     first = hashed.groupBy("digest").agg(F.min(key).alias("same_content_as"), F.count(F.lit(1)).alias("n_copies"))
     joined = lookup_join(hashed, first.filter("n_copies > 1"), ["digest"], how="inner")
     return joined.filter(F.col(key) != F.col("same_content_as"))

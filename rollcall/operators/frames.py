@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import arrays as A
+from rollcall.operators.grouped import lookup_join
 
 
 def sorted_quantile(values: Column, p: float) -> Column:
@@ -114,9 +115,6 @@ def random_projection(df: DataFrame, key: str, vector: str, width: int, out_widt
     return df.select(key, vector).mapInPandas(project, f"{key} {key_type}, projected array<double>")
 
 
-def once_per_input(df: DataFrame, inputs: list[str], compute, key: str = "input") -> DataFrame:
+def once_per_input(df: DataFrame, inputs: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Compute per distinct input, then hand the value to every row that refers to it."""
-    from rollcall.operators.grouped import same_keys
-
-    distinct = compute(df.select(*inputs).distinct())
-    return same_keys(df, distinct, inputs, "left")
+    return lookup_join(df, compute(df.select(*inputs).distinct()), inputs)
