@@ -22,6 +22,8 @@ from rollcall.session import settle, settle_counted
 
 #: rows of one group that one task may sort or hold in memory
 GROUP_ROWS = 1_000_000
+#: rows of one slice of a group that is cut up
+SLICE_ROWS = 20_000_000
 #: rows of a table that may be sent to every executor
 BROADCAST_ROWS = 200_000
 
@@ -139,7 +141,8 @@ def running(
     if fits_task(df, keys, known):
         scope = upto(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
         return df.withColumns({n: kinds[k](c).over(scope) for n, (k, c) in columns.items()})
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count() if known is None else known
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_ROWS))
     ranged = settle(
         df.repartitionByRange(slices, *keys, *order).withColumn("_part", F.spark_partition_id())
     )

@@ -47,8 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table.
+
+    All tables of an application lie in one sub-folder of the shared folder, so
+    whoever owns the cluster can drop it when the application has ended.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/rollcall-{spark.sparkContext.applicationId}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
