@@ -14,6 +14,10 @@ from rollcall.plans.scalars import RELIABILITY_SQL, reliability_columns
 from rollcall.plans.tables import entities, h01, items, with_sql
 
 
+def rounded6(df: DataFrame) -> DataFrame:
+    return rounded(df, 6)
+
+
 def pooled_items(spark: SparkSession, sf: str) -> DataFrame:
     return items(spark, sf).withColumn("rel", reliability(reliability_columns(), 200.0))
 
@@ -24,19 +28,19 @@ _REL = f"rel AS (SELECT *, {RELIABILITY_SQL} AS rel FROM items)"
 @query(
     "agg_pool_weighted",
     with_sql("items", more=_REL)
-    + "SELECT entity_id, round(sum(rel * pred) / sum(rel), 8) AS mean, round(var_pop(pred), 8) AS var, count(*) AS n FROM rel GROUP BY entity_id",
+    + "SELECT entity_id, round(sum(rel * pred) / sum(rel), 6) AS mean, round(var_pop(pred), 6) AS var, count(*) AS n FROM rel GROUP BY entity_id",
 )
 def weighted(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.pool(pooled_items(spark, sf), "mean", "entity_id", "pred", F.col("rel"), F.col("var")))
+    return rounded6(P.pool(pooled_items(spark, sf), "mean", "entity_id", "pred", F.col("rel"), F.col("var")))
 
 
 @query(
     "agg_pool_inverse_variance",
     with_sql("items", more=_REL)
-    + "SELECT entity_id, round(sum(rel / var * pred) / sum(rel / var), 8) AS mean, round(1.0 / sum(rel / var), 8) AS var, count(*) AS n FROM rel GROUP BY entity_id",
+    + "SELECT entity_id, round(sum(rel / var * pred) / sum(rel / var), 6) AS mean, round(1.0 / sum(rel / var), 6) AS var, count(*) AS n FROM rel GROUP BY entity_id",
 )
 def inverse_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.pool(pooled_items(spark, sf), "legacy_inverse_variance", "entity_id", "pred", F.col("rel"), F.col("var")))
+    return rounded6(P.pool(pooled_items(spark, sf), "legacy_inverse_variance", "entity_id", "pred", F.col("rel"), F.col("var")))
 
 
 @query(
@@ -44,10 +48,10 @@ def inverse_variance(spark: SparkSession, sf: str) -> DataFrame:
     with_sql("items", more=_REL)
     + """, a AS (SELECT entity_id, pred, exp(rel / (var + 1e-6) - max(rel / (var + 1e-6)) OVER (PARTITION BY entity_id)) AS a FROM rel),
        m AS (SELECT *, sum(a * pred) OVER p / sum(a) OVER p AS mean FROM a WINDOW p AS (PARTITION BY entity_id))
-       SELECT entity_id, round(any_value(mean), 8) AS mean, round(sum(a * pow(pred - mean, 2)) / sum(a), 8) AS var, count(*) AS n FROM m GROUP BY entity_id""",
+       SELECT entity_id, round(any_value(mean), 6) AS mean, round(sum(a * pow(pred - mean, 2)) / sum(a), 6) AS var, count(*) AS n FROM m GROUP BY entity_id""",
 )
 def attention(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.pool(pooled_items(spark, sf), "attention", "entity_id", "pred", F.col("rel"), F.col("var")))
+    return rounded6(P.pool(pooled_items(spark, sf), "attention", "entity_id", "pred", F.col("rel"), F.col("var")))
 
 
 _ROBUST = """b AS (SELECT entity_id, pred AS v, var, greatest(greatest(rel, 1e-6) * least(greatest(1.0 / (1.0 + sqrt(var) / 3), 0.05), 1.0), 1e-6) AS w FROM rel),
@@ -66,11 +70,11 @@ _ROBUST = """b AS (SELECT entity_id, pred AS v, var, greatest(greatest(rel, 1e-6
 @query(
     "agg_pool_robust",
     with_sql("items", more=f"{_REL}, {_ROBUST}")
-    + """SELECT entity_id, round(any_value(c2), 8) AS mean, round(sum(w2 * pow(v - c2, 2)) / sum(w2) + sum(w2 * var) / sum(w2), 8) AS var,
+    + """SELECT entity_id, round(any_value(c2), 6) AS mean, round(sum(w2 * pow(v - c2, 2)) / sum(w2) + sum(w2 * var) / sum(w2), 6) AS var,
          count(*) AS surviving, any_value(total) - count(*) AS rejected FROM c2 GROUP BY entity_id""",
 )
 def robust(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.pool(pooled_items(spark, sf), "robust", "entity_id", "pred", F.col("rel"), F.col("var")))
+    return rounded6(P.pool(pooled_items(spark, sf), "robust", "entity_id", "pred", F.col("rel"), F.col("var")))
 
 
 EVIDENCE = """tot AS (SELECT KEYS, count(*) AS n_total, count(*) FILTER (WHERE var <= 25) AS valid FROM src GROUP BY KEYS),
@@ -85,13 +89,13 @@ EVIDENCE = """tot AS (SELECT KEYS, count(*) AS n_total, count(*) FILTER (WHERE v
 @query(
     "agg_pool_evidence",
     with_sql("items", more="src AS (SELECT entity_id, pred, var, quality AS q FROM items), " + EVIDENCE.replace("KEYS", "entity_id"))
-    + """SELECT entity_id, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN med ELSE mean END, 8) AS mean, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN std ELSE pstd END, 8) AS std,
+    + """SELECT entity_id, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN med ELSE mean END, 6) AS mean, round(CASE s WHEN 0 THEN 0 WHEN 1 THEN std ELSE pstd END, 6) AS std,
          CASE s WHEN 0 THEN valid ELSE kept END AS n_accepted, n_total, s = 2 AS is_confident, CASE WHEN s = 2 THEN 'SUCCESS' ELSE 'ABSTAIN' END AS status,
          CASE s WHEN 0 THEN concat('Insufficient clips passed variance/quality check (', valid, '/', n_total, ')') WHEN 1 THEN 'Inconsistent evidence cluster. Median fallback used.'
            WHEN 2 THEN 'High confidence prediction' ELSE printf('Uncertainty (±%.2fcm) above target', pstd) END AS message FROM res""",
 )
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.pool_evidence(items(spark, sf), ["entity_id"], "pred", "var", F.col("quality")))
+    return rounded6(P.pool_evidence(items(spark, sf), ["entity_id"], "pred", "var", F.col("quality")))
 
 
 @query(
@@ -120,27 +124,27 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
     with_sql("items")
     + """, l AS (SELECT entity_id, unnest([{'cls': 'a', 'p': quality}, {'cls': 'b', 'p': 1.0::DOUBLE - quality}], recursive := true), 0.5::DOUBLE + voiced AS w FROM items),
        c AS (SELECT entity_id, cls, sum(p * w) / sum(w) AS p FROM l GROUP BY 1, 2)
-       SELECT entity_id, cls AS predicted, round(p, 8) AS prob FROM c QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY p DESC, cls) = 1""",
+       SELECT entity_id, cls AS predicted, round(p, 6) AS prob FROM c QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY p DESC, cls) = 1""",
 )
 def classes(spark: SparkSession, sf: str) -> DataFrame:
     probs = F.array(
         F.struct(F.lit("a").alias("cls"), F.col("quality").alias("p")), F.struct(F.lit("b").alias("cls"), (1.0 - F.col("quality")).alias("p"))
     )
     rows = items(spark, sf).select("entity_id", (F.lit(0.5) + F.col("voiced")).alias("w"), F.explode(probs).alias("c")).select("entity_id", "w", "c.*")
-    return rounded(P.class_pool(rows, "entity_id", "cls", "p", "w"))
+    return rounded6(P.class_pool(rows, "entity_id", "cls", "p", "w"))
 
 
 @query(
     "agg_pass_summary",
     with_sql("items")
     + f""", l AS (SELECT item_id, pred + {h01('pass', 'item_id', 'k')} * 4 AS v, ln(var) + {h01('lv', 'item_id', 'k')} AS lv FROM items CROSS JOIN (VALUES (1), (2), (3), (4), (5)) p(k))
-       SELECT item_id, round(avg(v), 8) AS mean, round(var_pop(v), 8) AS epistemic, round(avg(exp(lv)), 8) AS aleatoric, count(*) AS n_passes, round(var_pop(v) + avg(exp(lv)), 8) AS total FROM l GROUP BY 1""",
+       SELECT item_id, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS epistemic, round(avg(exp(lv)), 6) AS aleatoric, count(*) AS n_passes, round(var_pop(v) + avg(exp(lv)), 6) AS total FROM l GROUP BY 1""",
 )
 def passes(spark: SparkSession, sf: str) -> DataFrame:
     rows = items(spark, sf).select("item_id", "pred", "var", F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("k"))
     u = lambda seed: hash_uniform(seed, F.col("item_id").cast("string"), F.col("k").cast("string"))
     rows = rows.withColumns({"v": F.col("pred") + u("pass") * 4, "lv": F.ln("var") + u("lv")})
-    return rounded(P.pass_summary(rows, "item_id", "v", "lv"))
+    return rounded6(P.pass_summary(rows, "item_id", "v", "lv"))
 
 
 @query(
@@ -167,9 +171,9 @@ def rollup(spark: SparkSession, sf: str) -> DataFrame:
            row_number() OVER (PARTITION BY i.entity_id ORDER BY day, item_id) AS rk, count(*) OVER (PARTITION BY i.entity_id) AS have FROM items i JOIN ent USING (entity_id)),
          src AS (SELECT n AS n_items, r.* FROM r CROSS JOIN (VALUES (1), (3), (5), (10)) s(n) WHERE rk <= n AND (have >= n OR n = 1)), """
              + EVIDENCE.replace("KEYS", "n_items, entity_id") + ", tr AS (SELECT n_items, entity_id, any_value(y) AS y FROM src GROUP BY 1, 2)")
-    + "SELECT n_items, count(*) AS n_entities, count(*) FILTER (WHERE s = 2) AS n_used, round(avg(abs(round(mean, 2) - y)) FILTER (WHERE s = 2), 8) AS mae FROM res JOIN tr USING (n_items, entity_id) GROUP BY 1",
+    + "SELECT n_items, count(*) AS n_entities, count(*) FILTER (WHERE s = 2) AS n_used, round(avg(abs(round(mean, 2) - y)) FILTER (WHERE s = 2), 6) AS mae FROM res JOIN tr USING (n_items, entity_id) GROUP BY 1",
 )
 def curve(spark: SparkSession, sf: str) -> DataFrame:
     rows = items(spark, sf).select("entity_id", "item_id", "day").join(entities(spark, sf).select("entity_id", "y"), "entity_id")
     rows = rows.withColumns({"pred": F.col("y") + F.col("item_id") % 9 - 4.0, "var": F.lit(1.0) + F.col("item_id") % 7})
-    return rounded(P.evidence_curve(rows, "entity_id", ("day", "item_id"), "y", "pred", "var"))
+    return rounded6(P.evidence_curve(rows, "entity_id", ("day", "item_id"), "y", "pred", "var"))
