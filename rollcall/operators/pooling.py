@@ -7,7 +7,7 @@ in one place.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,6 +144,7 @@ def pool_evidence(
     std = F.when(few, F.lit(0.0)).when(mixed, F.col("_std")).otherwise(F.col("_pooled_std"))
     sure = ~few & ~mixed & (F.col("_pooled_std") <= target_std)
     count = lambda c: F.col(c).cast("string")
+    # fixed values: message texts
     message = (
         F.when(few, F.concat(F.lit("Insufficient clips passed variance/quality check ("), count("_valid"), F.lit("/"), count("n_total"), F.lit(")")))
         .when(mixed, "Inconsistent evidence cluster. Median fallback used.")

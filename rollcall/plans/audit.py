@@ -11,7 +11,7 @@ from rollcall.operators import audit as A
 from rollcall.operators import sets as S
 from rollcall.plans.registry import query
 from rollcall.plans.scalars import words
-from rollcall.plans.tables import entities, h01, items, load, one_candidate, predictions, split_of, with_sql
+from rollcall.plans.tables import entities, h01, items, load, one_candidate, split_of, with_sql
 
 
 @query(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import hash_uniform
-from rollcall.operators import ensemble as E
 from rollcall.operators import learn as L
 from rollcall.operators import stats as T
 from rollcall.operators.metrics import regression_metrics

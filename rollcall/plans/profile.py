@@ -9,11 +9,10 @@ from rollcall.functions import numbers as N
 from rollcall.functions.quality import item_outcome, item_weight
 from rollcall.operators import profile as P
 from rollcall.operators.grouped import scalar
-from rollcall.plans.audit import split_documents
 from rollcall.plans.frames import vectors
 from rollcall.plans.registry import query
 from rollcall.plans.rules import measured
-from rollcall.plans.tables import entities, h01, items, load, with_sql
+from rollcall.plans.tables import entities, items, load, with_sql
 
 PAIRS = (("train", "val"), ("train", "test"))
 

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import labels as L
 from rollcall.functions.numbers import safe_number
-from rollcall.functions.quality import first_reason
 from rollcall.operators import rules as R
-from rollcall.operators.grouped import scalar
 from rollcall.operators.metrics import finite_candidates
 from rollcall.plans.frames import vectors
 from rollcall.plans.registry import query

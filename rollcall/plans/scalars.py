@@ -12,7 +12,7 @@ from rollcall.functions import quality as Q
 from rollcall.functions import weights as Wt
 from rollcall.operators.rules import last_wins
 from rollcall.plans.registry import query
-from rollcall.plans.tables import entities, items, load, rnd, with_sql
+from rollcall.plans.tables import entities, items, load, with_sql
 
 
 def by_mod(key, *options):
