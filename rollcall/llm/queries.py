@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.llm.bpe import round_trip
 from rollcall.llm.common import load
 from rollcall.llm.mixing import MIX_SQL, mix_sources
 
@@ -28,3 +30,9 @@ def _query(name: str, sql: str | None = None):
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix_sources(load(spark, sf, "documents"))
     return mixed.select("row.doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+@_query("op1_bpe_round_trip")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(load(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
