@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.bpe import round_trip
 from rollcall.llm.common import load
+from rollcall.llm.html_text import extract_text
 from rollcall.llm.mixing import MIX_SQL, mix_sources
+from rollcall.llm.quality import held_out, score_quality, train_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +38,18 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(load(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
+
+
+@_query("op8_quality_attention")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    model = train_quality(docs, load(spark, sf, "labels"))
+    scored = score_quality(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@_query("op10_html_text")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(load(spark, sf, "pages"))
