@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: words whose ids one task remembers; a full memory is emptied, which costs time only
-MEMORY = 400_000
+MEMORY = 600_000
 #: characters of text whose new words are merged together
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
 
 _WS = "\t-\r \x85\xa0  -     　"
 #: cuts at white space where the tokenizer's pattern always cuts too, with the same pieces

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rollcall.llm.bpe import round_trip
 from rollcall.llm.common import load
 from rollcall.llm.html_text import extract_text
+from rollcall.llm.minhash import with_classes
 from rollcall.llm.mixing import MIX_SQL, mix_sources
 from rollcall.llm.quality import held_out, score_quality, train_quality
 
@@ -53,3 +54,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op10_html_text")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return extract_text(load(spark, sf, "pages"))
+
+
+@_query("op2_minhash_dedup")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = with_classes(load(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "class_id", F.col("row.doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
