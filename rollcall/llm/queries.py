@@ -14,6 +14,7 @@ from rollcall.llm.html_text import extract_text
 from rollcall.llm.minhash import with_classes
 from rollcall.llm.mixing import MIX_SQL, mix_sources
 from rollcall.llm.quality import held_out, score_quality, train_quality
+from rollcall.llm.suffixes import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,3 +61,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = with_classes(load(spark, sf, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "class_id", F.col("row.doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@_query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = remove_repeats(load(spark, sf, "documents"), first=False)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
