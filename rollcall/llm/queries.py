@@ -15,6 +15,7 @@ from rollcall.llm.minhash import with_classes
 from rollcall.llm.mixing import MIX_SQL, mix_sources
 from rollcall.llm.quality import held_out, score_quality, train_quality
 from rollcall.llm.suffixes import remove_repeats
+from rollcall.llm.warc import WARC_SQL, archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +68,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     found = remove_repeats(load(spark, sf, "documents"), first=False)
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query("op9_warc_round_trip", WARC_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_round_trip(load(spark, sf, "pages"))

@@ -235,7 +235,7 @@ def _count_starts(pieces: DataFrame, length: int, first: bool) -> DataFrame:
         pieces.select("gram", "full", "doc", "lo", "piece").dropDuplicates(["gram", "full"])
         .mapInArrow(work, "one bigint, two bigint, gram bigint, full bigint, doc bigint, place bigint, a int")
     )
-    seen = starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("lead")).where("n > 1")
+    seen = settle(starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("lead")).where("n > 1"))
     hits = starts.join(seen, ["one", "two"])
     if first:
         hits = hits.where(F.struct("doc", "place") > F.col("lead"))
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = docs.select(document_order(F.col(doc_id)).alias("doc"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
     found = settle(_anchors(rows, length))
-    twice = found.groupBy("gram").count().where("count > 1").select("gram")
+    twice = settle(found.groupBy("gram").count().where("count > 1").select("gram"))
     runs = settle(found.join(twice, "gram"))
     place = F.struct("doc", "lo", "hi")
     kinds = settle(runs.groupBy("gram", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead")))
@@ -264,8 +264,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     groups = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1")
     if not first:
         groups = groups.where("least = 1")
+    groups = settle(groups.select("gram", (F.col("kinds") > group_runs).alias("hot")))
     wanted = (
-        kinds.join(groups.select("gram", (F.col("kinds") > group_runs).alias("hot")), "gram")
+        kinds.join(groups, "gram")
         .groupBy(F.col("lead.doc").alias("doc"))
         .agg(F.collect_list(F.struct("gram", "full", F.col("lead.lo").alias("lo"), F.col("lead.hi").alias("hi"), "hot")).alias("wanted"))
     )
@@ -273,7 +274,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     pieces = settle(_contexts(texts, length))
     verdicts = _order_groups(pieces.where(~F.col("hot")), length, first).unionByName(_count_starts(pieces.where("hot"), length, first))
     verdicts = settle(verdicts).groupBy("gram", "full").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-    judged = runs.join(kinds, ["gram", "full"]).join(verdicts, ["gram", "full"], "left")
+    judged = runs.join(settle(kinds.join(verdicts, ["gram", "full"], "left")), ["gram", "full"])
     whole = (F.col("n") > 1) & ((place > F.col("lead")) if first else F.lit(True))
     mine = F.transform("parts", lambda p: F.struct((F.col("lo") + p["a"]).alias("a"), (F.col("lo") + p["b"]).alias("b")))
     starts = F.when(whole, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(mine)
