@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.bpe import round_trip
 from rollcall.llm.common import load
+from rollcall.llm.covertree import LINKS_SQL, embedding_links
 from rollcall.llm.html_text import extract_text
+from rollcall.llm.kdtree import TOP_K_SQL, top_k
 from rollcall.llm.minhash import with_classes
 from rollcall.llm.mixing import MIX_SQL, mix_sources
 from rollcall.llm.quality import held_out, score_quality, train_quality
@@ -73,3 +75,13 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op9_warc_round_trip", WARC_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return archive_round_trip(load(spark, sf, "pages"))
+
+
+@_query("op3_cover_tree_links", LINKS_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_links(load(spark, sf, "embeddings"))
+
+
+@_query("op5_kd_tree_top_k", TOP_K_SQL)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(load(spark, sf, "embeddings"), F.col("id") % 100 == 0)
