@@ -22,7 +22,7 @@ from rollcall.session import settle
 #: bands and rows of a band: at a similarity of 0.8 a pair shares no band once in 16,000 times
 BANDS, ROWS = 32, 6
 #: members of one task in a comparison with a centre, and documents of one block in a bucket
-STAR_ROWS, BLOCK_ROWS = 500, 96
+STAR_ROWS, BLOCK_ROWS = 100, 96
 
 _U = np.uint64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
