@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.bpe import round_trip
 from rollcall.llm.common import load
+from rollcall.llm.compact import passage_classes
 from rollcall.llm.covertree import LINKS_SQL, embedding_links
 from rollcall.llm.html_text import extract_text
 from rollcall.llm.kdtree import TOP_K_SQL, top_k
@@ -85,3 +86,9 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op5_kd_tree_top_k", TOP_K_SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(load(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
+@_query("op4_compact_windows")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = passage_classes(load(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "class_id", "n_links", F.size("passages").alias("n_passages"), "passages")
