@@ -149,13 +149,9 @@ def _compare_cells(cells: DataFrame, least: float) -> DataFrame:
         mine = cell.column("mine").to_numpy(zero_copy_only=False)
         nodes, n = cell.column("node").to_numpy(), cell.column("n").to_numpy()
         links: dict[int, int] = {}
-        up: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
-
-        def find(x: int) -> int:
-            while up.get(x, x) != x:
-                x = up[x] = up.get(up[x], up[x])
-            return x
+        names, local = np.unique(nodes, return_inverse=True)
+        root = np.arange(names.size)  # of the links seen so far
 
         for rows, matrix in matrices(column):
             own = mine[rows]
@@ -170,11 +166,15 @@ def _compare_cells(cells: DataFrame, least: float) -> DataFrame:
                 exact = (left[i] * right[j]).sum(axis=1) >= least
                 i, j = i[exact], j[exact]
                 np.add.at(total, i, n[b[j]])
-                for x, y in zip(nodes[a[i]].tolist(), nodes[b[j]].tolist(), strict=True):
-                    u, v = find(x), find(y)
-                    if u != v:
-                        up[u] = v
-                        edges.append((x, y))
+                # an edge from each point to every part that it is not connected with yet
+                heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if i.size else []
+                for lo, hi in zip(heads, [*heads[1:], i.size]):
+                    x, ys = local[a[i[lo]]], local[b[j[lo:hi]]]
+                    parts, at = np.unique(root[ys], return_index=True)
+                    new = parts != root[x]
+                    if new.any():
+                        edges += [(int(names[x]), int(names[y])) for y in ys[at[new]]]
+                        root[np.isin(root, parts)] = root[x]
             links.update(zip(nodes[a].tolist(), total.tolist(), strict=True))
         found = [(x, c, None) for x, c in links.items() if c] + [(x, 0, y) for x, y in edges]
         columns = list(zip(*found, strict=True)) or [(), (), ()]
