@@ -175,7 +175,8 @@ def _check_blocks(rows: DataFrame, width: int, counts: bool, least: float) -> Da
 
         def find(x: int) -> int:
             while up.get(x, x) != x:
-                x = up[x] = up.get(up[x], up[x])
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
             return x
 
         size = [float(s[1].sum()) for s in sets]
