@@ -31,9 +31,10 @@ def to_doubles(values: Column) -> Column:
 
 
 def frames_of(values: Column, width: int) -> Column:
-    """Flat array to frames of ``width`` entries; a short last frame is dropped."""
-    starts = F.sequence(F.lit(0), F.floor(F.size(values) / width).cast("int") - 1)
-    return F.transform(starts, lambda i: F.slice(values, i * width + 1, width))
+    """Flat array to frames of ``width`` entries; the last one may be shorter, an empty array has none."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1))
+    frames = F.transform(starts, lambda i: F.slice(values, i * width + 1, width))
+    return F.when(F.size(values) == 0, F.slice(F.array(values), 1, 0)).otherwise(frames)
 
 
 def spacing_summary(

@@ -14,8 +14,8 @@ def hash_order(seed: object, *cols: Column | str) -> Column:
 
 
 def hash_uniform(seed: object, *cols: Column | str) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of the seeded md5."""
-    return F.conv(F.substring(hash_order(seed, *cols), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform in [0, 1) from the first 52 bits of the seeded md5."""
+    return F.conv(F.substring(hash_order(seed, *cols), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def row_fingerprint(columns: Sequence[str]) -> Column:
@@ -24,9 +24,9 @@ def row_fingerprint(columns: Sequence[str]) -> Column:
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Order-free fingerprint of a table: row count and three hash sums."""
+    """Order-free fingerprint of a table: row count and three hash sums, as decimal text."""
     digest = df.select(*keys, row_fingerprint(columns).alias("_h"))
     parts = [
-        F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"hash_sum_{i}") for i in range(3)
+        F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"hash_sum_{i}") for i in range(3)
     ]
     return digest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *parts)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators.grouped import first_n, lookup_join, same_keys
+from rollcall.session import settle
 
 
 def examples(df: DataFrame, keys: Sequence[str], value: str, n: int = 10, name: str = "examples") -> DataFrame:
@@ -155,9 +156,9 @@ def disjoint_problems(collected: DataFrame, roles: DataFrame, key: str, sealed:
 
 def hash_conflicts(df: DataFrame, digest: str, owner: str, n: int = 5) -> DataFrame:
     """Content owned by more than one entity."""
-    pairs = df.filter(F.col(digest).isNotNull() & (F.col(digest) != "")).select(digest, owner).distinct()
+    pairs = settle(df.filter(F.col(digest).isNotNull() & (F.col(digest) != "")).select(digest, owner).distinct())
     many = pairs.groupBy(digest).agg(F.count(F.lit(1)).alias("n_owners")).filter("n_owners > 1")
-    few = first_n(pairs.join(many.select(digest), digest, "left_semi"), [digest], [owner], n)
+    few = first_n(lookup_join(pairs, many.select(digest), [digest], "left_semi"), [digest], [owner], n)
     few = few.groupBy(digest).agg(F.array_join(F.array_sort(F.collect_list(owner)), "|").alias("owners"))
     return many.join(few, digest)
 

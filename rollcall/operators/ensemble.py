@@ -105,6 +105,8 @@ def select_diverse(
     return chosen
 
 
+#: weight vectors scored by one matrix product
+BLOCK = 256
 MASKS = ("all", "short", "medium", "short_group")
 
 
@@ -120,14 +122,15 @@ def _losses(table: DataFrame, names: Sequence[str], y: str, group: str | None, w
         sums = np.zeros((k, len(MASKS)))
         sizes = np.zeros(len(MASKS))
         for batch in batches:
-            truth = batch[y].to_numpy(float)
-            errors = np.abs(batch[columns].to_numpy(float) @ weights.T - truth[:, None])
+            truth, members = batch[y].to_numpy(float), batch[columns].to_numpy(float)
             short = truth < 160.0
             mask = np.stack(
                 [np.ones_like(short), short, (truth >= 160.0) & (truth < 175.0),
                  short & (batch[group].to_numpy() == 1) if group else np.zeros_like(short)]
             ).astype(float)
-            sums += (mask @ errors).T
+            for at in range(0, k, BLOCK):  # a block of vectors at a time bounds the matrix
+                block = slice(at, at + BLOCK)
+                sums[block] += (mask @ np.abs(members @ weights[block].T - truth[:, None])).T
             sizes += mask.sum(axis=1)
         yield pd.DataFrame(
             {"vector": np.repeat(np.arange(k), len(MASKS)), "mask": np.tile(np.arange(len(MASKS)), k),
@@ -154,12 +157,13 @@ def error_prior(maes: np.ndarray, floor: float) -> np.ndarray:
 
 def convex_weights(
     table: DataFrame, names: Sequence[str], y: str, group: str | None = None, prior: Sequence[float] | None = None,
-    penalty: float = 0.02, short: float = 0.0, medium: float = 0.15, short_group: float = 0.0, rounds: int = 30,
+    penalty: float = 0.02, short: float = 0.0, medium: float = 0.15, short_group: float = 0.0, rounds: int = 500,
 ) -> dict[str, float]:
     """Non-negative weights summing to one that minimise error plus slice terms.
 
     Every round scores all pairwise transfers at several step sizes in one
-    Spark pass and moves to the best; steps shrink when nothing improves.
+    Spark pass and moves to the best; steps shrink when nothing improves, until the
+    smallest step gains nothing.  Not getting there in ``rounds`` is an error.
     """
     count = len(names)
     if count == 1:
@@ -202,6 +206,8 @@ def convex_weights(
             step /= 256
             if step < 1e-7:
                 break
+    else:
+        raise RuntimeError(f"no convergence in {rounds} rounds")
     best = np.clip(best, 0.0, None)
     best = best / best.sum()
     return {n: float(w) for n, w in zip(names, best)}
@@ -212,6 +218,7 @@ def weight_search(table: DataFrame, names: Sequence[str], y: str, seed: int, tri
     count = len(names)
     table = settle(table.select(y, *names))
     singles = _losses(table, names, y, None, np.eye(count))[:, 0]
+    # fixed values: floor of the spread, concentration and share of the draws, smallest weight kept
     base = error_prior(singles, 0.20)
     draws = np.random.default_rng(seed).dirichlet(np.clip(base * 30.0 + 0.25, 0.25, None), size=trials)
     vectors = np.vstack([base, np.eye(count), 0.65 * draws + 0.35 * base])

@@ -86,11 +86,11 @@ def projection_matrix(width: int, out_width: int, seed: int) -> np.ndarray:
     engine can rebuild the matrix.
     """
     def uniform(name: str, i: int, j: int) -> float:
-        return int(hashlib.md5(f"{seed}{name}:{i}:{j}".encode()).hexdigest()[:8], 16) / 2.0**32
+        return int(hashlib.md5(f"{seed}{name}:{i}:{j}".encode()).hexdigest()[:13], 16) / 2.0**52
 
     cells = [
         [
-            np.sqrt(-2.0 * np.log(max(uniform("a", i, j), 2.0**-33))) * np.cos(2.0 * np.pi * uniform("b", i, j))
+            np.sqrt(-2.0 * np.log(max(uniform("a", i, j), 2.0**-53))) * np.cos(2.0 * np.pi * uniform("b", i, j))
             for j in range(out_width)
         ]
         for i in range(width)

@@ -136,7 +136,9 @@ def running(
     ``sum``, ``min``, ``max``.  ``order`` must be total within a group.
     """
     kinds = {"sum": F.sum, "min": F.min, "max": F.max}
-    folds = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    # a sum is NULL only while nothing has been summed, in this slice or before it
+    both = lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    folds = {"sum": both, "min": F.least, "max": F.greatest}
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if fits_task(df, keys, known):
         scope = upto(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))

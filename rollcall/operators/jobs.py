@@ -2,72 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import struct
-import wave
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.schema import ITEM_QC
-
-MAX_BYTES = 512 * 1024 * 1024
-
-
 def content_hash(df: DataFrame, key: str, content: str) -> DataFrame:
     """sha256, md5 and size of text or binary contents."""
     return df.select(key, F.sha2(content, 256).alias("sha256"), F.md5(content).alias("md5"), F.octet_length(content).cast("long").alias("bytes"))
 
 
-def pcm_samples(raw: bytes, width: int) -> np.ndarray:
-    """PCM bytes as floats in [-1, 1)."""
-    if width == 1:
-        return (np.frombuffer(raw, np.uint8).astype(float) - 128.0) / 128.0
-    if width == 2:
-        return np.frombuffer(raw, "<i2").astype(float) / 32768.0
-    if width == 3:
-        padded = np.zeros((len(raw) // 3, 4), np.uint8)
-        padded[:, 1:] = np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3)
-        return padded.view("<i4").ravel().astype(float) / 2147483648.0
-    if width == 4:
-        return np.frombuffer(raw, "<i4").astype(float) / 2147483648.0
-    raise ValueError(f"sample width {width}")
-
-
-def measure(content: bytes) -> dict[str, object]:
-    """Header and level statistics of one PCM file; unreadable contents give an error."""
-    out: dict[str, object] = {"sha256": hashlib.sha256(content).hexdigest()}
-    if len(content) > MAX_BYTES:
-        return {**out, "error": "file_too_large"}
-    try:
-        with wave.open(io.BytesIO(content)) as handle:
-            channels, rate, width = handle.getnchannels(), handle.getframerate(), handle.getsampwidth()
-            frames = handle.getnframes()
-            samples = pcm_samples(handle.readframes(frames), width)
-    except (wave.Error, EOFError, ValueError, struct.error) as exc:
-        return {**out, "error": f"unreadable_wav:{type(exc).__name__}"}
-    out.update(duration=frames / rate if rate else None, rate=rate, channels=channels, sample_width=width)
-    if samples.size:
-        level = np.abs(samples)
-        rms = float(np.sqrt(np.mean(np.square(samples))))
-        out.update(rms=20.0 * np.log10(max(rms, 1e-12)), peak=float(level.max()), clipping=float(np.mean(level >= 0.999)))
-    return out
-
-
-def pcm_qc(df: DataFrame, path: str, content: str) -> DataFrame:
-    """One measurement row per file; files are decoded one at a time inside a task."""
-    names = ITEM_QC.fieldNames()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"path": p, **measure(bytes(c))} for p, c in zip(batch[path], batch[content])]
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-
-    return df.select(path, content).mapInPandas(run, ITEM_QC)
+def level_stats(samples: Column, frames: Column, rate: Column) -> dict[str, Column]:
+    """Length in seconds and levels of samples in [-1, 1), as array expressions; no samples give no levels."""
+    n = F.nullif(F.size(samples), F.lit(0))
+    squares = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x)
+    return {
+        "duration": frames / F.nullif(rate, F.lit(0)),
+        "rms": F.when(n.isNotNull(), F.log10(F.greatest(F.sqrt(squares / n), F.lit(1e-12))) * 20.0),
+        "peak": F.array_max(F.transform(samples, F.abs)),
+        "clipping": F.size(F.filter(samples, lambda x: F.abs(x) >= 0.999)) / n,
+    }
 
 
 def normalise_plan(df: DataFrame, rate: Column, channels: Column, rms_db: Column, peak: Column, target_rate: int = 16_000, target_rms: float = 0.1) -> DataFrame:

@@ -178,7 +178,7 @@ def regressors(seed: int = 11) -> dict[str, object]:
     common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "pred"}
     return {
         "ridge": LinearRegression(**common, regParam=0.1, elasticNetParam=0.0, weightCol="w"),
-        "huber": LinearRegression(**common, loss="huber", epsilon=1.35, regParam=0.001, maxIter=50, weightCol="w"),
+        "huber": LinearRegression(**common, loss="huber", epsilon=1.35, regParam=0.001, maxIter=1000, weightCol="w"),
         "elastic": LinearRegression(**common, regParam=0.05, elasticNetParam=0.3, weightCol="w"),
         "forest": RandomForestRegressor(**common, numTrees=20, maxDepth=5, seed=seed, weightCol="w"),
         "boosted": GBTRegressor(**common, lossType="absolute", maxIter=8, maxDepth=3, seed=seed, weightCol="w"),

@@ -168,7 +168,7 @@ def draw_with_replacement(df: DataFrame, key: str, weight: str, seed: object) ->
 def draw_without_replacement(df: DataFrame, key: str, weight: Column, k: int, seed: object) -> DataFrame:
     """k distinct keys, weighted: the k smallest exponential arrival times."""
     u = hash_uniform(seed, F.col(key).cast("string"))
-    arrival = -F.ln(F.greatest(u, F.lit(2.0**-33))) / F.greatest(weight, F.lit(1e-12))
+    arrival = -F.ln(F.greatest(u, F.lit(2.0**-53))) / F.greatest(weight, F.lit(1e-12))
     return df.select(key, arrival.alias("arrival")).orderBy("arrival", key).limit(k)
 
 
@@ -247,7 +247,7 @@ def mask_frames(df: DataFrame, key: str, frames: str, width: int, seed: object,
     u = lambda name, *more: hash_uniform(f"{base}:{name}", item, *[m.cast("string") for m in more])
 
     def normal(name: str, *more: Column) -> Column:
-        radius = F.sqrt(F.ln(F.greatest(u(name + "a", *more), F.lit(2.0**-33))) * -2.0)
+        radius = F.sqrt(F.ln(F.greatest(u(name + "a", *more), F.lit(2.0**-53))) * -2.0)
         return radius * F.cos(u(name + "b", *more) * (2.0 * math.pi))
 
     x, n = F.col(frames), F.size(frames)

@@ -2,65 +2,68 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: up to this many entities the resampling is the exact multinomial one
-EXACT_ROWS = 1000
-BLOCK = 256
+from rollcall.functions.hashing import hash_order
 
+#: rows whose draws are made by one array operation
+BLOCK = 64
+#: draws are hashes modulo this prime
+PRIME = 2**31 - 1
+#: chances of a Poisson(1) count of at most 0, 1, 2, ...
+POISSON = tuple(float(c) for c in np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(12)]))
 
-def _seed(seed: int, key: object) -> int:
-    return int.from_bytes(hashlib.md5(f"{seed}:{key}".encode()).digest()[:8], "little")
+
+def draws(keys: np.ndarray, repetitions: int) -> np.ndarray:
+    """(rows, repetitions) Poisson(1) counts by inverting a hash of (key, replicate).
+
+    The hash is a cubic in whole numbers below 2**62, so any engine can repeat it.
+    """
+    k, r = keys.astype(np.int64)[:, None], np.arange(repetitions, dtype=np.int64)[None, :]
+    a = (k * (2 * r + 1) + 12345) % PRIME
+    b = (a * a + r) % PRIME
+    c = (b * a + k) % PRIME
+    return np.searchsorted(np.array(POISSON), c / PRIME, side="right")
+
+
+def draws_sql(key: str, rep: str) -> str:
+    """The count of ``draws`` in DuckDB."""
+    a = f"(({key} * (2 * {rep} + 1) + 12345) % {PRIME})"
+    c = f"(((({a} * {a} + {rep}) % {PRIME}) * {a} + {key}) % {PRIME})"
+    return " + ".join(f"({c} / {PRIME}::DOUBLE >= {p!r}::DOUBLE)::INT" for p in POISSON)
 
 
 def replicate_sums(df: DataFrame, key: str, value: str, seed: int, repetitions: int) -> DataFrame:
     """(rep, total, weight): how often each row counts is Poisson(1) per replicate.
 
-    The draws of a row come from a generator seeded by the row's key, so they do
-    not depend on partitioning.  A task keeps two numbers per replicate.
+    The draws depend on the row's key alone, not on partitioning, and the method
+    is the same for every number of rows.  A task keeps two numbers per replicate.
     """
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = np.zeros(repetitions), np.zeros(repetitions)
         for batch in batches:
-            keys, values = batch[key].to_numpy(), batch[value].to_numpy(float)
+            keys, values = batch["_k"].to_numpy(), batch[value].to_numpy(float)
             for start in range(0, len(keys), BLOCK):
-                part = keys[start : start + BLOCK]
-                counts = np.stack([np.random.default_rng(_seed(seed, k)).poisson(1.0, repetitions) for k in part])
+                counts = draws(keys[start : start + BLOCK], repetitions)
                 total += values[start : start + BLOCK] @ counts
                 weight += counts.sum(axis=0)
         yield pd.DataFrame({"rep": np.arange(repetitions), "total": total, "weight": weight})
 
-    sums = df.select(key, value).mapInPandas(partial, "rep int, total double, weight double")
+    number = F.conv(F.substring(hash_order(seed, F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % PRIME
+    sums = df.select(number.alias("_k"), value).mapInPandas(partial, "rep int, total double, weight double")
     return sums.groupBy("rep").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
 
 
-def exact_sums(values: np.ndarray, spark: SparkSession, seed: int, repetitions: int) -> DataFrame:
-    """Multinomial resampling of a few values; the replicates are spread over the tasks."""
-    n = len(values)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            reps = batch["id"].to_numpy()
-            counts = [np.random.default_rng(_seed(seed, r)).multinomial(n, np.full(n, 1.0 / n)) for r in reps]
-            yield pd.DataFrame({"rep": reps.astype("int32"), "total": np.array(counts) @ values, "weight": float(n)})
-
-    return spark.range(repetitions).mapInPandas(draw, "rep int, total double, weight double")
-
-
-def bootstrap_means(df: DataFrame, key: str, value: str, seed: int, repetitions: int = 10_000, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def bootstrap_means(df: DataFrame, key: str, value: str, seed: int, repetitions: int = 10_000) -> DataFrame:
     rows = df.select(key, value).filter(F.col(value).isNotNull())
-    few = rows.limit(exact_rows + 1).collect()
-    if 0 < len(few) <= exact_rows:
-        values = np.array([r[value] for r in sorted(few, key=lambda r: r[key])], float)
-        sums = exact_sums(values, df.sparkSession, seed, repetitions)
-    else:
-        sums = replicate_sums(rows, key, value, seed, repetitions)
+    sums = replicate_sums(rows, key, value, seed, repetitions)
     return sums.filter("weight > 0").select("rep", (F.col("total") / F.col("weight")).alias("mean"))
 
 

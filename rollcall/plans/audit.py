@@ -9,6 +9,7 @@ from rollcall.functions import hashing as H
 from rollcall.functions import labels as L
 from rollcall.operators import audit as A
 from rollcall.operators import sets as S
+from rollcall.operators.grouped import lookup_join
 from rollcall.plans.registry import query
 from rollcall.plans.scalars import words
 from rollcall.plans.tables import entities, h01, items, load, one_candidate, split_of, with_sql
@@ -43,10 +44,11 @@ def views_aligned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities with path lists: repeats, and paths that do not exist."""
+    """Entities with path lists: repeats, and paths that do not exist, as many more as three for ten documents."""
     key = F.col("c_custkey")
+    paths = load(spark, sf, "documents").agg(F.floor(F.count(F.lit(1)) * 13 / 10).cast("long").alias("m")).select("m").scalar()
     path = lambda n: F.concat(F.lit("doc/"), n.cast("string"))
-    both = F.array(path(key * 2 % 1300), path(key * 14 % 1300), path(key * 2 % 1300), path(key * 6 % 1300))
+    both = F.array(path(key * 2 % paths), path(key * 14 % paths), path(key * 2 % paths), path(key * 6 % paths))
     none = F.array(F.lit("doc/none"))
     return load(spark, sf, "customer").select(
         key.alias("entity_id"), F.when(key % 45 == 0, none).otherwise(both).alias("paths")
@@ -60,7 +62,7 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REFS = """refs AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 45 = 0 THEN ['doc/none'] ELSE
-  [concat('doc/', c_custkey * 2 % 1300), concat('doc/', c_custkey * 14 % 1300), concat('doc/', c_custkey * 2 % 1300), concat('doc/', c_custkey * 6 % 1300)] END AS l FROM customer),
+  [concat('doc/', c_custkey * 2 % m), concat('doc/', c_custkey * 14 % m), concat('doc/', c_custkey * 2 % m), concat('doc/', c_custkey * 6 % m)] END AS l FROM customer, (SELECT count(*) * 13 // 10 AS m FROM documents)),
 u AS (SELECT entity_id, len(l) AS n_raw, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM refs),
 have AS (SELECT list(concat('doc/', doc_id)) AS h FROM documents WHERE doc_id % 5 <> 0)"""
 
@@ -154,7 +156,7 @@ def external(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("entity_id", F.round("pred", 4).alias("pred"), F.round("external", 4).alias("external"))
 
 
-_FP = """SELECT split, count(*) AS n, sum(('0x' || substr(sha256(to_json({'entity_id': entity_id, 'segment': segment})::VARCHAR), 1, 8))::BIGINT)::BIGINT AS h FROM ent"""
+_FP = """SELECT split, count(*) AS n, sum(('0x' || substr(sha256(to_json({'entity_id': entity_id, 'segment': segment})::VARCHAR), 1, 8))::BIGINT)::VARCHAR AS h FROM ent"""
 
 
 @query(
@@ -301,5 +303,5 @@ def except_(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT split, count(DISTINCT entity_id) AS n_unique, count(*) AS n_rows FROM items JOIN ent USING (entity_id) GROUP BY ROLLUP (split)",
 )
 def distinct(spark: SparkSession, sf: str) -> DataFrame:
-    rows = items(spark, sf).select("entity_id").join(entities(spark, sf).select("entity_id", "split"), "entity_id")
+    rows = lookup_join(items(spark, sf).select("entity_id"), entities(spark, sf).select("entity_id", "split"), ["entity_id"], "inner")
     return S.unique_counts(rows, "entity_id", "split")

@@ -177,15 +177,16 @@ _ALLK = " UNION ALL ".join(
     "ml_choose_recipe",
     with_sql("preds", more=f"{_REC}, tr AS (SELECT * FROM bl WHERE split = 'train'), q AS (SELECT * FROM bl WHERE split = 'val'), {_CHOOSE}, al AS ({_ALLK})")
     + """, nw AS (SELECT recipe AS base, count(*) AS nw FROM rw GROUP BY 1),
-       m AS (SELECT recipe, round(avg(abs(cal - y)), 4) AS mae, round(coalesce(avg(abs(cal - y)) FILTER (WHERE y < 160), 0), 4) AS short_mae, max(extra + nw)::INT AS complexity FROM al JOIN nw USING (base) GROUP BY 1)
-       SELECT *, recipe = (SELECT recipe FROM m WHERE mae <= (SELECT min(mae) FROM m) + 0.2 ORDER BY starts_with(recipe, 'single__'), short_mae, mae, complexity, recipe LIMIT 1) AS chosen FROM m""",
+       m AS (SELECT recipe, round(avg(abs(cal - y)), 9) AS mae, round(coalesce(avg(abs(cal - y)) FILTER (WHERE y < 160), 0), 9) AS short_mae, max(extra + nw)::INT AS complexity FROM al JOIN nw USING (base) GROUP BY 1)
+       SELECT recipe, round(mae, 4) AS mae, round(short_mae, 4) AS short_mae, complexity, recipe = (SELECT recipe FROM m WHERE mae <= (SELECT min(mae) FROM m) + 0.2 ORDER BY starts_with(recipe, 'single__'), short_mae, mae, complexity, recipe LIMIT 1) AS chosen FROM m""",
 )
 def choose(spark: SparkSession, sf: str) -> DataFrame:
     rows = predictions(spark, sf)
     metrics, _ = E.choose_recipe(rows.filter("split = 'train'"), rows.filter("split = 'val'"), RECIPES, snapped=SNAPPED)
-    table = settle(rounded(metrics.select("recipe", "mae", "short_mae", "complexity"), 4))
+    # nine digits, so that equal recipes tie in every engine
+    table = settle(rounded(metrics.select("recipe", "mae", "short_mae", "complexity"), 9))
     winner = E.finalists(table).select("recipe").scalar()
-    return table.withColumn("chosen", F.col("recipe") == winner)
+    return rounded(table, 4).withColumn("chosen", F.col("recipe") == winner)
 
 
 @query(
@@ -243,4 +244,4 @@ def convex(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml_weight_search")
 def search(spark: SparkSession, sf: str) -> DataFrame:
     table = settle(wide_train(spark, sf))
-    return weight_rows(spark, E.weight_search(table, NAMES, "y", seed=7, trials=2000), table)
+    return weight_rows(spark, E.weight_search(table, NAMES, "y", seed=7, trials=5000), table)

@@ -153,7 +153,7 @@ def views(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "scl_random_projection",
-    f"""WITH {_LONG}, m AS (SELECT r.range::INT AS i, c.range::INT AS j, sqrt(-2.0::DOUBLE * ln(greatest({h01('13a', 'r.range', 'c.range')}, pow(2.0::DOUBLE, -33)))) * cos(2 * pi() * {h01('13b', 'r.range', 'c.range')}) / sqrt(8.0::DOUBLE) AS w FROM range(64) r, range(8) c),
+    f"""WITH {_LONG}, m AS (SELECT r.range::INT AS i, c.range::INT AS j, sqrt(-2.0::DOUBLE * ln(greatest({h01('13a', 'r.range', 'c.range')}, pow(2.0::DOUBLE, -53)))) * cos(2 * pi() * {h01('13b', 'r.range', 'c.range')}) / sqrt(8.0::DOUBLE) AS w FROM range(64) r, range(8) c),
        p AS (SELECT vec_id, j, sum(raw * w) AS x FROM long JOIN m ON m.i = frame * 8 + dim GROUP BY 1, 2)
        SELECT vec_id, j AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS value FROM p""",
 )

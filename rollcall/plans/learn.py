@@ -90,8 +90,7 @@ def huber_elastic(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml_trees")
 def trees(spark: SparkSession, sf: str) -> DataFrame:
     chosen = {k: v for k, v in L.regressors().items() if k in ("forest", "boosted")}
-    two = ml_rows(spark, sf).withColumn("fold", F.col("fold") % 2)
-    return scored(L.oof_predictions(two, "vec_id", "fold", chosen)[0])
+    return scored(L.oof_predictions(ml_rows(spark, sf), "vec_id", "fold", chosen)[0])
 
 
 @query("ml_oof_driver")
@@ -106,7 +105,7 @@ def oof(spark: SparkSession, sf: str) -> DataFrame:
 def fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = ml_rows(spark, sf)
     query_rows = rows.filter("split = 'test'").drop("y")
-    out = L.fit_predict(rows.filter("split <> 'test'"), query_rows, "vec_id", L.regressors(), ("ridge", "elastic"))
+    out = L.fit_predict(rows.filter("split <> 'test'"), query_rows, "vec_id", L.regressors(), tuple(L.regressors()))
     return out.select("vec_id", "candidate", F.round("pred", 4).alias("pred"))
 
 
@@ -114,22 +113,37 @@ def fit_predict(spark: SparkSession, sf: str) -> DataFrame:
 def bundle(spark: SparkSession, sf: str) -> DataFrame:
     rows = ml_rows(spark, sf)
     train = settle(rows.filter("split = 'train'"))
-    chosen = ("ridge", "elastic")
+    chosen = tuple(L.regressors())
     models = {n: Pipeline(stages=[L.regressors()[n]]).fit(train) for n in chosen}
     path = new_path(spark, "bundle")
     L.save_bundle(models, path)
     fresh = rows.filter("split <> 'train'").select("vec_id", "features")
-    out = L.score_bundle(fresh, "vec_id", path, {"ridge": 0.6, "elastic": 0.4}, slope=1.02, intercept=-3.0, low=150.0, high=192.0, half_width=4.5)
+    out = L.score_bundle(fresh, "vec_id", path, {"ridge": 0.4, "elastic": 0.3, "huber": 0.1, "forest": 0.1, "boosted": 0.1}, slope=1.02, intercept=-3.0, low=150.0, high=192.0, half_width=4.5)
     return rounded(out, 4)
 
 
-@query("st_bootstrap_ci")
+_KEY = f"('0x' || substr(md5(concat('17:', entity_id)), 1, 8))::BIGINT % {T.PRIME}"
+_MEANS = f"""k AS MATERIALIZED (SELECT e, {_KEY} AS k FROM err), n AS (SELECT r, e, {T.draws_sql("k", "r")} AS n FROM k, (SELECT range AS r FROM range(10000))),
+  m AS (SELECT r, sum(n * e) / sum(n) AS mean FROM n GROUP BY r HAVING sum(n) > 0)"""
+
+
+@query(
+    "st_bootstrap_ci",
+    with_sql("one", more=f"err AS (SELECT entity_id, abs(y - pred) AS e FROM one), {_MEANS}")
+    + "SELECT round(quantile_cont(mean, 0.025), 6) AS lower_95, round(quantile_cont(mean, 0.975), 6) AS upper_95, count(*) AS repetitions, (SELECT round(avg(e), 6) FROM err) AS mae FROM m",
+)
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(T.bootstrap_ci(one_candidate(spark, sf), "entity_id", "y", "pred", seed=17, repetitions=2000), 6)
+    return rounded(T.bootstrap_ci(one_candidate(spark, sf), "entity_id", "y", "pred", seed=17), 6)
 
 
-@query("st_paired_bootstrap")
+@query(
+    "st_paired_bootstrap",
+    with_sql("preds", more=f"""w AS (SELECT entity_id, any_value(y) AS y, any_value(pred) FILTER (WHERE candidate = 'ridge__base') AS b, any_value(pred) FILTER (WHERE candidate = 'ridge__wide') AS s FROM preds GROUP BY entity_id),
+      err AS (SELECT entity_id, abs(y - s) - abs(y - b) AS e FROM w), {_MEANS}""")
+    + """SELECT round(quantile_cont(mean, 0.025), 6) AS lower_95, round(quantile_cont(mean, 0.975), 6) AS upper_95, avg((mean < 0)::INT) AS probability_improvement,
+       count(*) AS repetitions, (SELECT round(avg(e), 6) FROM err) AS mean_delta FROM m""",
+)
 def paired(spark: SparkSession, sf: str) -> DataFrame:
     base = one_candidate(spark, sf)
     other = one_candidate(spark, sf, "ridge__wide").select("entity_id", F.col("pred").alias("selected"))
-    return rounded(T.paired_bootstrap(base.join(other, "entity_id"), "entity_id", "y", "pred", "selected", seed=17, repetitions=2000), 6)
+    return rounded(T.paired_bootstrap(base.join(other, "entity_id"), "entity_id", "y", "pred", "selected", seed=17), 6)

@@ -287,10 +287,10 @@ def bin_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "top_examples",
-    """SELECT source, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:10], '|') AS examples FROM documents WHERE n_chars > 3000 GROUP BY source""",
+    """SELECT source, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:10], '|') AS examples FROM documents GROUP BY source""",
 )
 def top_examples(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "documents").filter("n_chars > 3000").select("source", "doc_id")
+    rows = load(spark, sf, "documents").select("source", "doc_id")
     return A.examples(rows, ["source"], "doc_id", 10)
 
 

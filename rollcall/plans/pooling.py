@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.hashing import hash_uniform
 from rollcall.functions.quality import reliability
 from rollcall.operators import pooling as P
+from rollcall.operators.grouped import lookup_join
 from rollcall.plans.profile import rounded
 from rollcall.plans.registry import query
 from rollcall.plans.scalars import RELIABILITY_SQL, reliability_columns
@@ -174,6 +175,6 @@ def rollup(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT n_items, count(*) AS n_entities, count(*) FILTER (WHERE s = 2) AS n_used, round(avg(abs(round(mean, 2) - y)) FILTER (WHERE s = 2), 6) AS mae FROM res JOIN tr USING (n_items, entity_id) GROUP BY 1",
 )
 def curve(spark: SparkSession, sf: str) -> DataFrame:
-    rows = items(spark, sf).select("entity_id", "item_id", "day").join(entities(spark, sf).select("entity_id", "y"), "entity_id")
+    rows = lookup_join(items(spark, sf).select("entity_id", "item_id", "day"), entities(spark, sf).select("entity_id", "y"), ["entity_id"], "inner")
     rows = rows.withColumns({"pred": F.col("y") + F.col("item_id") % 9 - 4.0, "var": F.lit(1.0) + F.col("item_id") % 7})
     return rounded6(P.evidence_curve(rows, "entity_id", ("day", "item_id"), "y", "pred", "var"))

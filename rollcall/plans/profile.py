@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import numbers as N
 from rollcall.functions.quality import item_outcome, item_weight
 from rollcall.operators import profile as P
-from rollcall.operators.grouped import scalar
+from rollcall.operators.grouped import lookup_join, scalar
 from rollcall.plans.frames import vectors
 from rollcall.plans.registry import query
 from rollcall.plans.rules import measured
@@ -106,7 +106,7 @@ def ks(spark: SparkSession, sf: str) -> DataFrame:
        SELECT source, count(*) AS n_entities, min(n) AS min_items, max(n) AS max_items, round(avg(n), 8) AS mean_items FROM n GROUP BY ROLLUP (source)""",
 )
 def item_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = items(spark, sf).select("entity_id").join(entities(spark, sf).select("entity_id", "source"), "entity_id")
+    rows = lookup_join(items(spark, sf).select("entity_id"), entities(spark, sf).select("entity_id", "source"), ["entity_id"], "inner")
     return rounded(P.item_counts(rows, "entity_id", "source"))
 
 
@@ -163,7 +163,7 @@ SCALARS = ("duration", "speech", "snr", "quality", "voiced", "drift")
 
 
 def split_items(spark: SparkSession, sf: str) -> DataFrame:
-    return items(spark, sf).join(entities(spark, sf).select("entity_id", "split"), "entity_id")
+    return lookup_join(items(spark, sf), entities(spark, sf).select("entity_id", "split"), ["entity_id"], "inner")
 
 
 _CHECKS = {
@@ -257,7 +257,7 @@ def entity_embedding(spark: SparkSession, sf: str) -> DataFrame:
 )
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = items(spark, sf).withColumns(item_outcome(F.col("duration")))
-    return rounded(P.run_stats(rows.join(entities(spark, sf).select("entity_id", "source"), "entity_id"), "source"))
+    return rounded(P.run_stats(lookup_join(rows, entities(spark, sf).select("entity_id", "source"), ["entity_id"], "inner"), "source"))
 
 
 @query(
@@ -279,7 +279,7 @@ def probe(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_csv_stats",
     """WITH refs AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 45 = 0 THEN ['doc/none'] ELSE
-         [concat('doc/', c_custkey * 2 % 1300), concat('doc/', c_custkey * 14 % 1300), concat('doc/', c_custkey * 2 % 1300), concat('doc/', c_custkey * 6 % 1300)] END AS l FROM customer),
+         [concat('doc/', c_custkey * 2 % m), concat('doc/', c_custkey * 14 % m), concat('doc/', c_custkey * 2 % m), concat('doc/', c_custkey * 6 % m)] END AS l FROM customer, (SELECT count(*) * 13 // 10 AS m FROM documents)),
        have AS (SELECT list(concat('doc/', doc_id)) AS h FROM documents WHERE doc_id % 5 <> 0),
        k AS (SELECT id % 3 AS part, len(l) AS raw, len(list_distinct(l)) AS uniq, len(list_filter(list_distinct(l), lambda x: list_contains(h, x))) AS kept FROM refs, have)
        SELECT part, count(*) AS rows_before, count(*) FILTER (WHERE kept > 0) AS rows_after, count(*) FILTER (WHERE kept = 0) AS rows_removed,

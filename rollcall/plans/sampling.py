@@ -104,12 +104,12 @@ def objective(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.split_objective(entities(spark, sf), ["g"], "source", "split", ("y", "age", "weight"), RATIOS), 6)
 
 
-SEEDS = range(42, 54)
+SEEDS = range(42, 162)
 
 
 @query(
     "smp_seed_sweep",
-    with_sql("ent", more=f"{_BINNED}, sd AS (SELECT s.range::INT AS seed, st.* FROM st, range(42, 54) s), {split_sql('sd', 'seed, source', 'sweep', 'sp', ('seed', 'source', 'entity_id'))}, "
+    with_sql("ent", more=f"{_BINNED}, sd AS (SELECT s.range::INT AS seed, st.* FROM st, range(42, 162) s), {split_sql('sd', 'seed, source', 'sweep', 'sp', ('seed', 'source', 'entity_id'))}, "
              + "sj AS (SELECT sp.seed, sp.source, sp.split, ent.y, ent.age, ent.weight FROM sp JOIN ent USING (entity_id)), " + _OBJ.format(k="z", t="sj"))
     + "SELECT seed, round(avg_ks, 6) AS avg_ks, round(penalty, 6) AS penalty, round(objective, 6) AS objective, seed = (SELECT arg_min(seed, (objective, seed)) FROM zo) AS chosen FROM zo",
 )
@@ -148,7 +148,7 @@ def with_replacement(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "smp_weighted_no_replacement",
     with_sql("ent")
-    + f""", a AS (SELECT entity_id, -ln(greatest({h01('es', 'entity_id')}, pow(2.0::DOUBLE, -33))) / CASE WHEN y < 160 THEN 1.8::DOUBLE WHEN y >= 175 THEN 1.35 ELSE 1 END AS a FROM ent)
+    + f""", a AS (SELECT entity_id, -ln(greatest({h01('es', 'entity_id')}, pow(2.0::DOUBLE, -53))) / CASE WHEN y < 160 THEN 1.8::DOUBLE WHEN y >= 175 THEN 1.35 ELSE 1 END AS a FROM ent)
        SELECT entity_id, round(a, 8) AS arrival FROM a ORDER BY a, entity_id LIMIT 200""",
 )
 def without_replacement(spark: SparkSession, sf: str) -> DataFrame:

@@ -452,10 +452,10 @@ def captures(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "scl_capture_advice",
     with_sql("items")
-    + """SELECT item_id, CASE WHEN len(a) > 0 THEN array_to_string(a, '; ') WHEN item_id % 2 = 0 THEN 're-record with a cleaner capture' END AS advice
-       FROM (SELECT item_id, list_filter([CASE WHEN speech < 0.55 THEN 'speak continuously for a few seconds' END,
-         CASE WHEN snr < 10 THEN 'move to a quieter room' END,
-         CASE WHEN distance > 25 THEN 'hold the microphone within about 10-20 cm' END], lambda x: x IS NOT NULL) AS a FROM items)""",
+    + """SELECT item_id, CASE WHEN len(a) > 0 THEN array_to_string(a, '; ') WHEN item_id % 2 = 0 THEN 'try another recording' END AS advice
+       FROM (SELECT item_id, list_filter([CASE WHEN speech < 0.55 THEN 'talk without long pauses' END,
+         CASE WHEN snr < 10 THEN 'find a place with less background noise' END,
+         CASE WHEN distance > 25 THEN 'bring the microphone closer' END], lambda x: x IS NOT NULL) AS a FROM items)""",
 )
 def advice(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.col("item_id") % 2 != 0
@@ -558,8 +558,8 @@ def sample_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "scl_fingerprint",
-    """SELECT n_regionkey, count(*) AS n_rows, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS hash_sum_0,
-         sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS hash_sum_1, sum(('0x' || substr(h, 17, 8))::BIGINT)::BIGINT AS hash_sum_2
+    """SELECT n_regionkey, count(*) AS n_rows, sum(('0x' || substr(h, 1, 8))::BIGINT)::VARCHAR AS hash_sum_0,
+         sum(('0x' || substr(h, 9, 8))::BIGINT)::VARCHAR AS hash_sum_1, sum(('0x' || substr(h, 17, 8))::BIGINT)::VARCHAR AS hash_sum_2
        FROM (SELECT n_regionkey, sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name})::VARCHAR) AS h
              FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY n_regionkey""",
 )

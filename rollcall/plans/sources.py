@@ -5,12 +5,6 @@ Text and file inputs are first written by Spark from the given tables.
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +13,7 @@ from rollcall.functions import numbers as N
 from rollcall.operators import jobs as J
 from rollcall.operators import metrics as M
 from rollcall.operators.frames import once_per_input
+from rollcall.operators.grouped import lookup_join
 from rollcall.operators.rules import item_rules, with_all_reasons, with_reason
 from rollcall.plans.audit import split_documents, _DOCS
 from rollcall.plans.ensemble import NAMES
@@ -110,7 +105,7 @@ def integrity(spark: SparkSession, sf: str) -> DataFrame:
 )
 def item_store(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "items")
-    rows = items(spark, sf).join(entities(spark, sf).select("entity_id", "split"), "entity_id")
+    rows = lookup_join(items(spark, sf), entities(spark, sf).select("entity_id", "split"), ["entity_id"], "inner")
     quality = F.when(F.col("item_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("quality"))
     S.write_guarded(rows.select("item_id", "entity_id", quality.alias("quality"), "speech", "snr", "drift", "split"), path, "refuse", ["split"])
     store = R.read_item_store(spark, path).filter("split <> 'test'")
@@ -158,7 +153,7 @@ def jsonl(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sink_split_bundle",
     with_sql("ent")
-    + """SELECT split, count(*) AS n_rows, sum(('0x' || substr(sha256(to_json({'entity_id': entity_id, 'segment': segment})::VARCHAR), 1, 8))::BIGINT)::BIGINT AS hash_sum_0, count(*) AS n_written FROM ent GROUP BY split""",
+    + """SELECT split, count(*) AS n_rows, sum(('0x' || substr(sha256(to_json({'entity_id': entity_id, 'segment': segment})::VARCHAR), 1, 8))::BIGINT)::VARCHAR AS hash_sum_0, count(*) AS n_written FROM ent GROUP BY split""",
 )
 def split_bundle(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "splits")
@@ -264,27 +259,18 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return J.content_hash(load(spark, sf, "documents"), "doc_id", "text")
 
 
-def encode_wav(vector: np.ndarray, vec_id: int) -> bytes:
-    """A mono 16-bit file whose samples repeat the vector."""
-    level = 0.0 if vec_id % 5 == 0 else 1.0
-    samples = np.clip(np.trunc(vector * 60000.0 * level), -32768, 32767).astype("<i2")
-    buffer = io.BytesIO()
-    with wave.open(buffer, "wb") as handle:
-        handle.setnchannels(1)
-        handle.setsampwidth(2)
-        handle.setframerate(4000 if vec_id % 7 == 0 else 8000)
-        handle.writeframes(np.tile(samples, 100 if vec_id % 6 == 0 else 300).tobytes())
-    return buffer.getvalue()
-
-
 def recordings(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings as PCM recordings."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            files = [encode_wav(np.asarray(v), k) for k, v in zip(batch["vec_id"], batch["v"])]
-            yield pd.DataFrame({"path": "rec/" + batch["vec_id"].astype(str) + ".wav", "content": files})
-
-    return vectors(spark, sf).select("vec_id", "v").mapInPandas(run, "path string, content binary")
+    """Embeddings as sampled items: 16-bit levels, some silent, some short, some at a low rate."""
+    key = F.col("vec_id")
+    level = F.when(key % 5 == 0, 0.0).otherwise(F.lit(60000.0))
+    whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    return vectors(spark, sf).select(
+        F.concat(F.lit("rec/"), key.cast("string"), F.lit(".wav")).alias("path"),
+        F.transform("v", lambda x: F.greatest(F.least(whole(x * level), F.lit(32767)), F.lit(-32768)) / F.lit(32768.0)).alias("samples"),
+        F.when(key % 7 == 0, 4000).otherwise(8000).alias("rate"),
+        F.lit(1).alias("channels"),
+        (F.size("v") * F.when(key % 6 == 0, 100).otherwise(300)).alias("n_frames"),
+    )
 
 
 @query(
@@ -297,7 +283,7 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
            CASE WHEN rms > -3 THEN 'excessive_level' END, CASE WHEN peak < 0.01 THEN 'low_peak' END, CASE WHEN clipping > 0.01 THEN 'clipped' END], lambda x: x IS NOT NULL), '|') AS qc_reasons FROM m""",
 )
 def pcm(spark: SparkSession, sf: str) -> DataFrame:
-    rows = J.pcm_qc(recordings(spark, sf), "path", "content")
+    rows = recordings(spark, sf).withColumns(J.level_stats(F.col("samples"), F.col("n_frames"), F.col("rate")))
     rules = item_rules(*[F.col(c) for c in ("channels", "rate", "duration", "rms", "peak", "clipping")])
     judged = with_all_reasons(rows, rules, "why")
     return judged.select(

@@ -102,7 +102,7 @@ def one_candidate(spark: SparkSession, sf: str, name: str = "ridge__base") -> Da
 
 def h01(seed: str, *cols: str) -> str:
     joined = ", ':', ".join(f"({c})::VARCHAR" for c in cols)
-    return f"(('0x' || substr(md5(concat('{seed}:', {joined})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5(concat('{seed}:', {joined})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def hkey(seed: object, *cols: str) -> str:

@@ -67,22 +67,21 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     out.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def write_report(tables: Mapping[str, DataFrame], path: str, max_rows: int = 1000) -> str:
-    """Metric tables as one JSON-lines folder each, and a Markdown text of them.
+def write_report(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Metric tables as one JSON-lines folder and one Markdown folder each (``name`` and ``name.md``).
 
-    A report is a summary: a table with more than ``max_rows`` rows is refused.
+    Spark writes both, whatever the number of rows; the part files of a Markdown
+    folder, in order of their names, make up the table, head first.
     """
-    lines: list[str] = []
     for name, table in tables.items():
         clean = settle(table.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes]))
-        rows = clean.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError(f"report table {name} has more than {max_rows} rows")
         clean.write.mode("errorifexists").json(f"{path}/{name}")
-        lines += [f"## {name}", "", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
-        lines += ["| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
-        lines.append("")
-    return "\n".join(lines)
+        cells = [F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.4f", c) if t == "double" else F.col(c).cast("string")) for c, t in clean.dtypes]
+        line = F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+        head = [f"## {name}", "", "| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
+        top = clean.sparkSession.createDataFrame([(i, t) for i, t in enumerate(head)], "place long, value string")
+        rows = clean.select((F.monotonically_increasing_id() + len(head)).alias("place"), line.alias("value"))
+        top.unionByName(rows).orderBy("place").select("value").write.mode("errorifexists").text(f"{path}/{name}.md")
 
 
 def integrity_manifest(spark: SparkSession, root: str, suffix: str) -> DataFrame:

@@ -94,3 +94,33 @@ def test_empty_and_all_null(spark):
     assert G.group_quantiles(empty, ["k"], "v", {"m": 0.5}).count() == 0
     nulls = spark.createDataFrame([(1, None), (1, None)], "k int, v double")
     assert G.group_quantiles(nulls, ["k"], "v", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_running_sums_with_missing_values(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(G, "GROUP_ROWS", 2)
+        monkeypatch.setattr(G, "SLICE_ROWS", 5)
+    values = [None, None, 1.0, None, 2.0, None, None, None, 4.0, None] * 4
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    got = [r["s"] for r in G.running(df, [], ["id"], {"s": ("sum", F.col("v"))}).orderBy("id").collect()]
+    want, total = [], None
+    for v in values:
+        total = total if v is None else (total or 0.0) + v
+        want.append(total)
+    assert got == want
+
+
+def test_one_key_with_a_third_of_the_rows_and_equal_copies(spark, tight):
+    df = spark.createDataFrame([(0, "same")] * 40 + [(i, "x") for i in range(1, 81)], "k long, v string")
+    table = spark.createDataFrame([(i, i) for i in range(81)], "k long, w long")
+    out = G.lookup_join(df, table, ["k"], "inner")
+    assert out.count() == 120 and out.filter("k = 0 AND w = 0").count() == 40
+
+
+def test_frames_keep_a_short_last_frame(spark):
+    from rollcall.functions.arrays import frames_of
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0] * 8,), ([],), (None,)], "v array<double>")
+    got = [r["f"] for r in df.select(frames_of(F.col("v"), 4).alias("f")).collect()]
+    assert got == [[[1.0, 2.0, 3.0]], [[1.0] * 4, [1.0] * 4], [], None]

@@ -1,11 +1,9 @@
 """Sources, sinks, content jobs, streams and plans."""
 
-import io
 import json
+import math
 import os
-import wave
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,16 +17,6 @@ from rollcall.streaming import jobs as streams
 from tests.conftest import SF
 
 
-def wav(samples, rate=16000, channels=1, width=2):
-    buffer = io.BytesIO()
-    with wave.open(buffer, "wb") as handle:
-        handle.setnchannels(channels)
-        handle.setsampwidth(width)
-        handle.setframerate(rate)
-        handle.writeframes(samples)
-    return buffer.getvalue()
-
-
 def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -48,22 +36,24 @@ def test_manifest_with_byte_order_mark(spark, tmp_path):
         readers.read_manifest(spark, str(path))
 
 
-def test_listing_and_pcm_checks(spark, tmp_path):
-    t = np.arange(int(2.5 * 16000)) / 16000
-    tone = (0.2 * np.sin(2 * np.pi * 220 * t) * 32767).astype("<i2")
-    (tmp_path / "a.wav").write_bytes(wav(tone.tobytes()))
-    (tmp_path / "B.WAV").write_bytes(wav(np.zeros_like(tone).tobytes()))
-    (tmp_path / "c.wav").write_bytes(b"not audio")
-    (tmp_path / "d.wav").write_bytes(wav(np.repeat(np.array([0, 0, 0x40], np.uint8)[None], 32000, 0).tobytes(), width=3))
-    (tmp_path / "e.txt").write_text("x")
+def test_listing(spark, tmp_path):
+    for name in ("a.wav", "B.WAV", "c.wav", "d.wav", "e.txt"):
+        (tmp_path / name).write_text("x")
     assert readers.list_files(spark, str(tmp_path)).count() == 4
-    found = jobs.pcm_qc(readers.read_contents(spark, str(tmp_path), ".wav"), "path", "content")
+
+
+def test_levels_and_rules(spark):
+    tone = [0.2 * math.sin(2 * math.pi * 220 * i / 800) for i in range(2000)]
+    items = [("tone", tone, 800), ("silent", [0.0] * 2000, 800), ("none", [], 800), ("loud", [0.5, -1.0], 0)]
+    df = spark.createDataFrame(items, "path string, samples array<double>, rate int").withColumn("channels", F.lit(1))
+    found = df.withColumns(jobs.level_stats(F.col("samples"), F.size("samples"), F.col("rate")))
     rules = item_rules(*[F.col(c) for c in ("channels", "rate", "duration", "rms", "peak", "clipping")])
-    rows = {os.path.basename(r["path"]): r for r in with_all_reasons(found, rules, "why").collect()}
-    assert rows["a.wav"]["why"] == [] and rows["a.wav"]["duration"] == 2.5 and len(rows["a.wav"]["sha256"]) == 64
-    assert "near_silent" in rows["B.WAV"]["why"]
-    assert rows["c.wav"]["error"].startswith("unreadable_wav") and rows["c.wav"]["why"]
-    assert rows["d.wav"]["peak"] == 0.5
+    rows = {r["path"]: r for r in with_all_reasons(found, rules, "why").collect()}
+    assert rows["tone"]["duration"] == 2.5 and rows["tone"]["peak"] == pytest.approx(0.2, abs=1e-3)
+    assert rows["tone"]["rms"] == pytest.approx(20 * math.log10(0.2 / math.sqrt(2)), abs=0.01)
+    assert "near_silent" in rows["silent"]["why"]
+    assert rows["none"]["rms"] is None and "no_pcm_samples" in rows["none"]["why"]
+    assert rows["loud"]["duration"] is None and rows["loud"]["clipping"] == 0.5
 
 
 def test_split_bundle_refuses_an_empty_split(spark, tmp_path):
@@ -78,10 +68,13 @@ def test_csv_sink_and_report(spark, tmp_path):
     df = spark.createDataFrame([("a", ["x", "y"], True)], "id string, paths array<string>, ok boolean")
     sinks.write_csv(df, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()[1:] == ("x|y", "yes")
-    text = sinks.write_report({"t": spark.createDataFrame([("m", float("nan")), ("n", 1.5)], "k string, v double")}, str(tmp_path / "r"))
-    assert "| n | 1.5000 |" in text and "nan" not in text.lower()
-    with pytest.raises(ValueError, match="more than"):
-        sinks.write_report({"big": spark.range(20).toDF("i")}, str(tmp_path / "s"), max_rows=10)
+    rows = [("m", float("nan")), ("n", 1.5)] + [(f"k{i}", float(i)) for i in range(3000)]
+    sinks.write_report({"t": spark.createDataFrame(rows, "k string, v double")}, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r" / "t.md").glob("part-*")))
+    lines = text.splitlines()
+    assert lines[:4] == ["## t", "", "| k | v |", "| --- | --- |"] and len(lines) == 4 + len(rows)
+    assert "| n | 1.5000 |" in lines and "| m |  |" in lines and "nan" not in text.lower()
+    assert spark.read.json(str(tmp_path / "r" / "t")).count() == len(rows)
 
 
 def test_metric_stream_restarts_without_repeats(spark, tmp_path):
@@ -116,8 +109,8 @@ def test_plans_have_no_cross_joins_and_no_row_python(spark, name):
 
 
 def test_scans_are_pruned_and_filtered(spark):
-    plan = entry.queries()["top_examples"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(n_chars,3000)" in plan
+    plan = entry.queries()["join_orphans"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan
     assert all("text" not in line for line in plan.splitlines() if "ReadSchema" in line)
 
 
