@@ -85,16 +85,26 @@ def master_b(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("entity_id", F.concat(F.lit("TIMIT_"), F.upper(F.substring("entity_id", 7, 100))))
 
 
-@query("src_file_listing")
+def nation_files(spark: SparkSession, sf: str) -> str:
+    """A folder with one text file for each nation."""
+    path = new_path(spark, "nations")
+    line = F.concat_ws(":", "n_name", F.col("n_regionkey").cast("string"))
+    load(spark, sf, "nation").select("n_nationkey", line.alias("value")).write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+_OWNER = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey")
+_LINE = "concat(n_name, ':', n_regionkey, chr(10))"
+
+
+@query("src_file_listing", f"SELECT n_nationkey::INT AS n_nationkey, strlen({_LINE})::BIGINT AS length FROM nation")
 def file_listing(spark: SparkSession, sf: str) -> DataFrame:
-    files = R.list_files(spark, sf, ".PARQUET")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return R.list_files(spark, nation_files(spark, sf), ".TXT").select(_OWNER, "length")
 
 
-@query("sink_integrity_manifest")
+@query("sink_integrity_manifest", f"SELECT n_nationkey::INT AS n_nationkey, sha256({_LINE}) AS sha256, strlen({_LINE})::BIGINT AS bytes FROM nation")
 def integrity(spark: SparkSession, sf: str) -> DataFrame:
-    files = S.integrity_manifest(spark, sf, ".parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "bytes")
+    return S.integrity_manifest(spark, nation_files(spark, sf), ".txt").select(_OWNER, "sha256", "bytes")
 
 
 @query(

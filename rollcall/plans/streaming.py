@@ -44,13 +44,10 @@ def item_intake(spark: SparkSession, sf: str) -> DataFrame:
     content = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
     rules = {"too_short": F.col("value") < 1, "bad_type": F.col("event_type") == "error"}
     stream = event_stream(spark, sf).withColumn("content", content)
-    J.item_intake(stream, "event_id", "ts", "3650 days", rules, F.md5("content"), out, state).awaitTermination()
-    parts = None
-    for name in ("accepted", "rejected"):
-        part = spark.read.parquet(f"{out}/{name}").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content").alias("n_contents"))
-        part = part.select(F.lit(name).alias("sink"), "reason", "n", "n_contents")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    J.item_intake(stream, "event_id", "ts", "30 days", rules, F.md5("content"), out, state).awaitTermination()
+    return spark.read.parquet(out).groupBy(F.col("verdict").alias("sink"), "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("content").alias("n_contents")
+    )
 
 
 @query(

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.functions.quality import first_reason
+from rollcall.session import settle
 
 
 def batch_writer(path: str, transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -51,27 +52,28 @@ def metric_monitor(
 def item_intake(
     items: DataFrame, key: str, ts: str, delay: str, rules: Mapping[str, Column], digest: Column, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Quality rules, then one accepted item per content; both sinks come from the same pass.
+    """Quality rules, then one accepted item per content; one write per batch, by verdict.
 
     Repeats are recognised within the watermark; an item later than the
-    watermark is dropped, which the batch form does not do.
+    watermark is dropped, which the batch form does not do.  Rejected items pass by the
+    deduplication, so its state holds accepted contents alone, each for ``delay``.
     """
-    judged = items.withColumn("reason", first_reason(rules)).withColumn(
-        "_once", F.when(F.col("reason").isNull(), digest).otherwise(F.concat(F.lit("rejected:"), F.col(key).cast("string")))
-    )
-    once = judged.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["_once"]).drop("_once")
+    judged = items.withColumn("reason", first_reason(rules)).withColumn("_once", digest).withWatermark(ts, delay)
+    accepted = judged.filter(F.col("reason").isNull()).dropDuplicatesWithinWatermark(["_once"])
+    rejected = judged.filter(F.col("reason").isNotNull())
+    both = accepted.withColumn("verdict", F.lit("accepted")).unionByName(rejected.withColumn("verdict", F.lit("rejected"))).drop("_once")
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, test in (("accepted", F.col("reason").isNull()), ("rejected", F.col("reason").isNotNull())):
-            batch.filter(test).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        batch.write.mode("overwrite").partitionBy("verdict").parquet(f"{out}/batch={number}")
 
-    return once.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return both.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def drift_windows(
     rows: DataFrame, ts: str, window: str, delay: str, feature: str, value: str, reference: DataFrame, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Mean shift per time window and feature against a static reference (feature, mean, std)."""
+    """Mean shift per time window and feature against a static reference (feature, mean, std), computed once."""
+    reference = settle(reference)
     state = rows.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"), feature).agg(
         F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")
     )

@@ -95,6 +95,48 @@ def test_metric_stream_restarts_without_repeats(spark, tmp_path):
     assert go() == {1: (4, 3.0, 1.5, True), 2: (1, 9.0, 9.0, False)}
 
 
+def stream_of(spark, folder):
+    return spark.readStream.schema("id long, content string, value double, ts timestamp").json(folder)
+
+
+def events(path, rows):
+    path.write_text("\n".join(json.dumps({"id": i, "content": c, "value": v, "ts": f"2024-01-{d:02d} 10:00:00"}) for i, c, v, d in rows))
+
+
+def test_intake_stream_restarts(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    os.makedirs(source)
+
+    def go():
+        rules = {"low": F.col("value") < 1}
+        streams.item_intake(stream_of(spark, source), "id", "ts", "5 days", rules, F.md5("content"), out, state).awaitTermination()
+        return sorted((r["verdict"], r["content"], r["reason"]) for r in spark.read.parquet(out).collect())
+
+    events(tmp_path / "in" / "a.json", [(1, "x", 5.0, 1), (2, "x", 6.0, 1), (3, "y", 0.0, 1), (4, "y", 0.0, 1)])
+    first = [("accepted", "x", None), ("rejected", "y", "low"), ("rejected", "y", "low")]
+    assert go() == first
+    events(tmp_path / "in" / "b.json", [(5, "x", 7.0, 2), (6, "y", 2.0, 2)])
+    both = [("accepted", "x", None), ("accepted", "y", None), *first[1:]]
+    assert go() == both
+    assert go() == both
+
+
+def test_drift_stream_restarts(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    os.makedirs(source)
+    reference = spark.createDataFrame([("x", 1.0, 2.0)], "content string, mean double, std double")
+
+    def go():
+        streams.drift_windows(stream_of(spark, source), "ts", "1 day", "2 days", "content", "value", reference, out, state).awaitTermination()
+        return {(str(r["start"])[:10], r["content"]): (r["n"], r["std_units"]) for r in streams.latest_per_key(spark, out, ["start", "content"]).collect()}
+
+    events(tmp_path / "in" / "a.json", [(1, "x", 5.0, 1), (2, "z", 6.0, 1)])
+    assert go() == {("2024-01-01", "x"): (1, 2.0)}
+    events(tmp_path / "in" / "b.json", [(3, "x", 1.0, 1), (4, "x", 3.0, 2)])
+    assert go() == {("2024-01-01", "x"): (2, 1.0), ("2024-01-02", "x"): (1, 1.0)}
+    assert go() == {("2024-01-01", "x"): (2, 1.0), ("2024-01-02", "x"): (1, 1.0)}
+
+
 PLAIN = [
     "entry_prior_slices", "agg_ks", "agg_describe", "agg_pool_robust", "agg_sliced_metrics", "join_split_leakage", "flt_rule_cascade",
     "smp_stratified_split", "smp_split_objective", "win_running_best", "cal_soft_gated", "agg_duplicates", "scl_frame_stats", "join_specs_rows",
