@@ -5,7 +5,7 @@ Text and file inputs are first written by Spark from the given tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import schema as SC
@@ -93,18 +93,21 @@ def nation_files(spark: SparkSession, sf: str) -> str:
     return path
 
 
-_OWNER = F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey")
+def owner() -> Column:
+    return F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey")
+
+
 _LINE = "concat(n_name, ':', n_regionkey, chr(10))"
 
 
 @query("src_file_listing", f"SELECT n_nationkey::INT AS n_nationkey, strlen({_LINE})::BIGINT AS length FROM nation")
 def file_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return R.list_files(spark, nation_files(spark, sf), ".TXT").select(_OWNER, "length")
+    return R.list_files(spark, nation_files(spark, sf), ".TXT").select(owner(), "length")
 
 
 @query("sink_integrity_manifest", f"SELECT n_nationkey::INT AS n_nationkey, sha256({_LINE}) AS sha256, strlen({_LINE})::BIGINT AS bytes FROM nation")
 def integrity(spark: SparkSession, sf: str) -> DataFrame:
-    return S.integrity_manifest(spark, nation_files(spark, sf), ".txt").select(_OWNER, "sha256", "bytes")
+    return S.integrity_manifest(spark, nation_files(spark, sf), ".txt").select(owner(), "sha256", "bytes")
 
 
 @query(
