@@ -21,9 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: words whose ids one task remembers; a full memory is emptied, which costs time only
-MEMORY = 600_000
-#: characters of text whose new words are merged together
+#: characters of text whose words are merged together, and remembered for the next block only
 BLOCK_CHARS = 12_000_000
 
 _WS = "\t-\r \x85\xa0  -     　"
@@ -177,9 +175,10 @@ class Bpe:
                 block.append(cut)
                 chars += len(texts[k] or "")
                 k += 1
-            if len(self.ids_of) + len(seen) > MEMORY:
-                self.ids_of.clear()
-                self.text_of.clear()
+            # words of the last block that come again are known; all others are forgotten
+            known = self.ids_of.keys() & seen
+            self.ids_of = {p: self.ids_of[p] for p in known}
+            self.text_of = {p: self.text_of[p] for p in known}
             self.learn(seen)
             yield from block
 

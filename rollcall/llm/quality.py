@@ -186,7 +186,8 @@ def score_quality(docs: DataFrame, model: Attention | None, text: str = "text",
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row, bounds, data in utf8_blocks(part.column(1)):
+            texts = part.column(1) if own else part.column(0).flatten()[place]
+            for row, bounds, data in utf8_blocks(texts, 1_000_000):
                 n = bounds.size - 1
                 if model is None:
                     score = np.full(n, 0.5)
@@ -194,5 +195,11 @@ def score_quality(docs: DataFrame, model: Attention | None, text: str = "text",
                     score = model.forward(*passages(data, bounds))["score"].astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(row, n), pa.array(score)], names=["row", "score"])
 
-    wide = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
+    wide = docs.select(F.struct(*keep).alias("row"))
+    names = wide.schema["row"].dataType.fieldNames()
+    # a text that is among the kept columns goes to Python once
+    own = text not in names or not isinstance(docs.schema[text].dataType, T.StringType)
+    place = -1 if own else names.index(text)
+    if own:
+        wide = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
     return wide.mapInArrow(work, T.StructType([wide.schema["row"], T.StructField("score", T.DoubleType())]))

@@ -83,8 +83,7 @@ def test_bpe_equals_the_library_on_odd_texts():
         assert ours.decode(ids) == (text or "").encode()
 
 
-def test_bpe_memory_may_be_emptied(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 3)
+def test_bpe_of_many_small_blocks(monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 10)
     ours, library = bpe.Bpe(RANKS, public_tokenizers.PATTERN), reference_encoding()
     texts = ["one two three", "two three four five", "one five"] * 3
