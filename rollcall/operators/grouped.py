@@ -7,7 +7,7 @@ the slices are put together with per-slice totals, so that no task ever holds
 more than its slice.  Tables are broadcast only when their rows were counted.
 
 ``known`` is an upper bound on the rows of the input that the caller has already
-counted.  No group and no per-group table can have more rows than that, so a
+counted, or the ``GroupBound`` that ``measured`` found.  No group and no per-group table can have more rows than that, so a
 small bound saves the other measurements.
 """
 
@@ -36,11 +36,27 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(top["n"] or 0)
 
 
+class GroupBound(int):
+    """Rows of the largest group, measured once on a table of which all later inputs are a part."""
+
+
+def measured(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, GroupBound]:
+    """The rows and the size of their largest group; settled if a group is too large for a task.
+
+    Filters and added columns only shrink groups, so a chain of steps on the same keys
+    needs no other measurement.
+    """
+    bound = GroupBound(largest_group(df, keys))
+    return (settle(df) if bound > GROUP_ROWS else df), bound
+
+
 def fits_task(df: DataFrame, keys: Sequence[str], known: int | None = None, limit: int | None = None) -> bool:
     """Can every group be held by one task?"""
     limit = GROUP_ROWS if limit is None else limit
     if known is not None and known <= limit:
         return True
+    if isinstance(known, GroupBound):
+        return False
     return largest_group(df, keys) <= limit
 
 
@@ -143,7 +159,7 @@ def running(
     if fits_task(df, keys, known):
         scope = upto(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order))
         return df.withColumns({n: kinds[k](c).over(scope) for n, (k, c) in columns.items()})
-    total = df.count() if known is None else known
+    total = df.count() if known is None or isinstance(known, GroupBound) else known
     slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_ROWS))
     ranged = settle(
         df.repartitionByRange(slices, *keys, *order).withColumn("_part", F.spark_partition_id())

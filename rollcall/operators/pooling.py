@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.quality import distance_band, uncertainty_temper
-from rollcall.operators.grouped import attach, attach_quantile, same_keys
+from rollcall.operators.grouped import attach, attach_quantile, measured, same_keys
 
 EPS = 1e-6
 
@@ -48,7 +48,8 @@ def pool_inverse_variance(df: DataFrame, entity: str, value: str, weight: Column
 def pool_attention(df: DataFrame, entity: str, value: str, weight: Column, var: Column, known: int | None = None) -> DataFrame:
     """Softmax of quality / variance over the entity's items, shifted by its maximum."""
     scored = voting(df, value, weight, var).select(entity, value, (weight / (var + EPS)).alias("_s"))
-    known = scored.count() if known is None else known
+    if known is None:
+        scored, known = measured(scored, [entity])
     rows = attach(scored, [entity], {"_top": F.max("_s")}, known)
     a = F.exp(F.col("_s") - F.col("_top"))
     v = F.col(value)
@@ -86,7 +87,8 @@ def pool_robust(
     if var is not None:
         base = F.greatest(base * uncertainty_temper(F.sqrt(noise)), F.lit(EPS))
     rows = df.select(entity, F.col(value).alias("_v"), base.alias("_w"), noise.alias("_noise"))
-    known = rows.count() if known is None else known
+    if known is None:
+        rows, known = measured(rows, [entity])
     rows = with_deviation(rows, [entity], "_v", True, known).withColumn("_in", modified_z() <= max_z)
     rows = attach(rows, [entity], {"_ok": F.count_if("_in"), "_total": F.count(F.lit(1))}, known)
     kept = rows.filter(F.col("_in") | (F.col("_ok") < min_survivors)).select(entity, "_v", "_w", "_noise", "_total")
@@ -127,7 +129,8 @@ def pool_evidence(
 ) -> DataFrame:
     """Entity estimate with abstention: noisy and inconsistent items do not count."""
     rows = df.select(*keys, F.col(value).alias("_v"), F.col(var).alias("_var"), quality.alias("_q"))
-    known = rows.count() if known is None else known
+    if known is None:
+        rows, known = measured(rows, keys)
     # values of items that are too noisy are blanked, so one pass keeps the totals too
     usable = F.col("_var") <= max_var
     rows = rows.withColumns({"_v": F.when(usable, F.col("_v")), "_use": F.coalesce(usable, F.lit(False))})

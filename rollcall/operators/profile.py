@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import hash_order
-from rollcall.operators.grouped import attach, group_quantiles, lookup_join, running, same_keys
+from rollcall.operators.grouped import attach, group_quantiles, lookup_join, measured, running, same_keys
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -35,7 +35,7 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     """
     by = [*keys, "metric"]
     long = unpivot(df, keys, columns)
-    known = long.count()
+    long, known = measured(long, by)
     centred = attach(long, by, {"_mean": F.avg("value"), "_std": F.stddev_samp("value")}, known)
     z = (F.col("value") - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0))
     aggs = {

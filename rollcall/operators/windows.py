@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollcall.operators.grouped import attach, positions, running
+from rollcall.operators.grouped import attach, measured, positions, running
 
 
 def keep_first(df: DataFrame, entity: str, digest: str, order: Sequence[str], item_reason: str = "reason", label: str = "duplicate_within_entity") -> DataFrame:
@@ -30,7 +30,7 @@ def ranked_top(df: DataFrame, order: Sequence[Column | str], n: int, name: str =
 
 def running_best(df: DataFrame, run: str, order: Sequence[str], metric: str, target: float, patience: int) -> DataFrame:
     """Best so far, steps since it improved, target reached, early stop."""
-    known = df.count()
+    df, known = measured(df, [run])
     rows = positions(df, [run], list(order), "step", known)
     best = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("v"), F.col("step").alias("at")))
     out = running(rows, [run], ["step"], {"_best": ("min", best)}, known)

@@ -226,12 +226,31 @@ def weight_rows(spark: SparkSession, weights: dict[str, float], table: DataFrame
     return error.select("n", "mae", F.explode(pairs).alias("_p")).select("_p.*", "n", "mae")
 
 
-@query("ml_select_diverse")
+@query(
+    "ml_select_diverse",
+    with_sql("preds")
+    + """, t AS (SELECT * FROM preds WHERE split = 'train'),
+       m AS (SELECT candidate, avg(abs(pred - y)) AS mae, count(*) AS n FROM t GROUP BY 1),
+       o AS (SELECT candidate, row_number() OVER (ORDER BY mae, candidate) AS i FROM m),
+       c AS (SELECT a.candidate AS a, b.candidate AS b, corr(a.pred, b.pred) AS r FROM t a JOIN t b USING (entity_id) GROUP BY 1, 2),
+       f AS (SELECT list_distinct(list_filter([(SELECT arg_min(candidate, i) FROM o WHERE contains(candidate, 'short_weighted') OR contains(candidate, 'short_male_weighted')),
+         (SELECT arg_min(candidate, i) FROM o WHERE contains(candidate, 'medium_weighted')), (SELECT arg_min(candidate, i) FROM o WHERE contains(candidate, 'short_male_weighted'))], lambda x: x IS NOT NULL)) AS s),
+       g AS (SELECT list_sort(list_transform(s, lambda x: [CASE WHEN contains(x, 'medium_weighted') THEN '1' ELSE '0' END, x])) AS s FROM f),
+       w AS (WITH RECURSIVE st AS (
+         SELECT 0::BIGINT AS i, list_transform(s, lambda x: x[2]) AS chosen FROM g
+         UNION ALL
+         SELECT o.i, CASE WHEN len(chosen) < 4 AND NOT list_contains(chosen, o.candidate) AND (len(chosen) = 0
+             OR (SELECT min(r) FROM c WHERE c.a = o.candidate AND list_contains(st.chosen, c.b)) < 0.995
+             OR NOT list_contains(list_transform(chosen, lambda x: split_part(x, '__', 1)), split_part(o.candidate, '__', 1)))
+           THEN list_append(chosen, o.candidate) ELSE chosen END
+         FROM st JOIN o ON o.i = st.i + 1) SELECT chosen FROM st ORDER BY i DESC LIMIT 1)
+       SELECT m.candidate, list_position(chosen, m.candidate)::INT AS place, round(mae, 6) AS mae, n FROM m, w WHERE list_contains(chosen, m.candidate)""",
+)
 def diverse(spark: SparkSession, sf: str) -> DataFrame:
     table = settle(wide_train(spark, sf))
     error = table.agg(*[F.avg(F.abs(F.col(n) - F.col("y"))).alias(n) for n in NAMES]).first().asDict()
     chosen = E.select_diverse(error, E.correlations(table, NAMES), limit=4)
-    marks = F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(i + 1).alias("place"), F.lit(error[n]).alias("mae")) for i, n in enumerate(chosen)])
+    marks = F.array(*[F.struct(F.lit(n).alias("candidate"), F.lit(i + 1).alias("place"), F.round(F.lit(error[n]), 6).alias("mae")) for i, n in enumerate(chosen)])
     return table.agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(marks).alias("_m")).select("_m.*", "n")
 
 

@@ -9,6 +9,7 @@ from rollcall.functions.arrays import array_sum, frames_of
 from rollcall.functions.numbers import target_bin
 from rollcall.functions.weights import edge_weight
 from rollcall.operators import sampling as S
+from rollcall.operators.grouped import lookup_join, positions
 from rollcall.plans.frames import vectors
 from rollcall.plans.profile import rounded
 from rollcall.plans.registry import query
@@ -198,13 +199,14 @@ def hash_subset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "smp_variant_plan",
-    with_sql("ent")
-    + """, i AS (SELECT entity_id, split, source, n.range::INT AS item_no FROM ent, range(3) n),
+    with_sql("ent", "items")
+    + """, i AS (SELECT entity_id, split, source, (row_number() OVER (PARTITION BY entity_id ORDER BY item_id) - 1)::INT AS item_no FROM items JOIN ent USING (entity_id)),
        t AS (SELECT *, CASE WHEN split = 'train' THEN 1 + CASE WHEN source = 'ASIA' THEN 2 ELSE 0 END ELSE 0 END AS total FROM i)
        SELECT entity_id, item_no, v AS variant, concat(entity_id, '_', lpad(item_no::VARCHAR, 3, '0'), '_aug', lpad(v::VARCHAR, 2, '0')) AS name FROM (SELECT *, unnest(range(0, total))::INT AS v FROM t WHERE total > 0)""",
 )
 def variants(spark: SparkSession, sf: str) -> DataFrame:
-    rows = entities(spark, sf).withColumn("item_no", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    numbered = positions(items(spark, sf).select("entity_id", "item_id"), ["entity_id"], ["item_id"], "item_no")
+    rows = lookup_join(numbered.withColumn("item_no", (F.col("item_no") - 1).cast("int")), entities(spark, sf).select("entity_id", "split", "source"), ["entity_id"], "inner")
     return S.variant_plan(rows, "entity_id", "item_no", F.col("split"), F.col("source"), 1, {"ASIA": 2})
 
 

@@ -124,3 +124,19 @@ def test_frames_keep_a_short_last_frame(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0] * 8,), ([],), (None,)], "v array<double>")
     got = [r["f"] for r in df.select(frames_of(F.col("v"), 4).alias("f")).collect()]
     assert got == [[[1.0, 2.0, 3.0]], [[1.0] * 4, [1.0] * 4], [], None]
+
+
+def test_a_chain_of_steps_measures_its_groups_once(spark, tight, monkeypatch):
+    from rollcall.operators import pooling
+
+    df, _, _ = frame(spark)
+    calls = []
+    measure = G.largest_group
+    monkeypatch.setattr(G, "largest_group", lambda d, keys: calls.append(tuple(keys)) or measure(d, keys))
+    rows = df.withColumn("q", F.lit(1.0))
+    sliced = pooling.pool_robust(rows, "k", "v", F.col("q"))
+    assert calls.count(("k",)) == 1
+    monkeypatch.setattr(G, "GROUP_ROWS", 10**6)
+    plain = pooling.pool_robust(rows, "k", "v", F.col("q"))
+    a, b = (sorted(tuple(r) for r in d.select("k", "mean", "var", "surviving", "rejected").collect()) for d in (sliced, plain))
+    assert np.allclose(np.array(a, float), np.array(b, float))
