@@ -234,7 +234,7 @@ def test_compact_windows_are_the_long_nodes_of_the_cartesian_tree():
         while todo:
             lo, hi = todo.pop()
             if hi - lo + 1 >= length:
-                centre = lo + int(np.argmin(values[lo : hi + 1] >> np.uint64(31)))
+                centre = lo + int(np.argmin(values[lo : hi + 1] >> np.uint64(32)))
                 want.append((lo, centre, hi))
                 todo += [(lo, centre - 1), (centre + 1, hi)]
     got = compact.compact_windows(values, first, length)
