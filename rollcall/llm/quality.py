@@ -20,7 +20,7 @@ from rollcall.llm.common import prefix_hash, range_hash, utf8_blocks, word_bound
 #: words of a passage; the last one of a text may be shorter
 PASSAGE_WORDS = 48
 #: most labelled documents that a fit uses, chosen by a seeded hash of their id
-TRAIN_DOCS = 2_000
+TRAIN_DOCS = 4_000
 _BYTES, _WORDS = 129, 128
 #: numbers that describe a passage
 WIDTH = _BYTES + _WORDS + 6
@@ -87,8 +87,11 @@ class Attention:
 
     def forward(self, x: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
         """``bag`` holds the first passage of each document and ends with their number."""
+        return self.pass_on((x - self.mean) * self.scale, bag)
+
+    def pass_on(self, x: np.ndarray, bag: np.ndarray) -> dict[str, np.ndarray]:
+        """The same for features that are centred and scaled already."""
         p, first = self.p, bag[:-1]
-        x = (x - self.mean) * self.scale
         h = np.tanh(x @ p["encode"] + p["encode0"])
         v, u = np.tanh(h @ p["view"]), _sigmoid(h @ p["gate"])
         e = (v * u) @ p["attend"]
@@ -113,8 +116,8 @@ class Attention:
         }
 
 
-def fit_attention(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, inner: int = 12, steps: int = 240, seed: int = 7) -> Attention:
-    """Adam on the mean log loss of the documents plus a small weight decay."""
+def fit_attention(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, inner: int = 12, steps: int = 300, seed: int = 7) -> Attention:
+    """Adam on the mean log loss of the documents plus a small weight decay; ``x`` is centred and scaled in place."""
     rng = np.random.default_rng(seed)
     mean, spread = x.mean(0), x.std(0)
     scale = np.where(spread > 1e-6, 1.0 / np.maximum(spread, 0.02), 0.0)
@@ -124,9 +127,11 @@ def fit_attention(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 2
         "gate": start(hidden, inner), "attend": start(inner, 1)[:, 0], "score": start(hidden, 1)[:, 0], "score0": np.zeros((), np.float32),
     }
     model = Attention(mean.astype(np.float32), scale.astype(np.float32), p)
+    x -= model.mean
+    x *= model.scale
     m, s = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
     for step in range(1, steps + 1):
-        grads = model.backward(model.forward(x, bag), bag, y)
+        grads = model.backward(model.pass_on(x, bag), bag, y)
         rate = 0.02 * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k, g in grads.items():
             g = g + 1e-4 * p[k]
@@ -172,9 +177,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     rows = sorted(sample.mapInArrow(encode, "o string, y int, x binary").collect())
     if len({r["y"] for r in rows}) < 2:
         return None
-    bags = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, WIDTH) for r in rows]
-    bag = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return fit_attention(np.concatenate(bags), bag, np.array([r["y"] for r in rows], dtype=np.float32))
+    y = np.array([r["y"] for r in rows], dtype=np.float32)
+    bag = np.concatenate([[0], np.cumsum([len(r["x"]) // (4 * WIDTH) for r in rows])])
+    x = np.frombuffer(b"".join([r["x"] for r in rows]), dtype=np.float32).reshape(-1, WIDTH).copy()
+    rows.clear()
+    return fit_attention(x, bag, y)
 
 
 def score_quality(docs: DataFrame, model: Attention | None, text: str = "text", keep: Sequence[str] = ("*",)) -> DataFrame:
