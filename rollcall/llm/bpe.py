@@ -12,17 +12,18 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: characters of text whose words are merged together, and remembered for the next block only
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 10_000_000
 
 _WS = "\t-\r \x85\xa0  -     　"
 #: cuts at white space where the tokenizer's pattern always cuts too, with the same pieces
@@ -153,7 +154,7 @@ class Bpe:
             out[k] = tuple(ids[a:b])
         return out
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: Iterable[str]) -> None:
         """Fill the memory for the pieces of text that are new."""
         new = [p for p in pieces if p not in self.ids_of]
         split = [self.pattern.findall(p) for p in new]
@@ -168,19 +169,22 @@ class Bpe:
         """Per text its pieces, all of them in memory when they are given out."""
         k = 0
         while k < len(texts):
-            block, seen, chars = [], set(), 0
+            block, seen, chars = [], {}, 0  # each piece is held once, however often it occurs
             while k < len(texts) and (chars < BLOCK_CHARS or not block):
-                cut = _COARSE.findall(texts[k] or "")
-                seen.update(cut)
-                block.append(cut)
+                block.append([seen.setdefault(p, p) for p in _COARSE.findall(texts[k] or "")])
                 chars += len(texts[k] or "")
                 k += 1
-            # words of the last block that come again are known; all others are forgotten
-            known = self.ids_of.keys() & seen
-            self.ids_of = {p: self.ids_of[p] for p in known}
-            self.text_of = {p: self.text_of[p] for p in known}
+            # pieces of the last block that come again are known; all others are forgotten
+            known = self.ids_of.keys() & seen.keys()
+            self.keep(known)
             self.learn(seen)
             yield from block
+            if k == len(texts):
+                self.keep(known)
+
+    def keep(self, pieces: set[str]) -> None:
+        self.ids_of = {p: self.ids_of[p] for p in pieces}
+        self.text_of = {p: self.text_of[p] for p in pieces}
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[list[int]]:
         for cut in self.pieces(texts):
@@ -198,8 +202,17 @@ def _run(df: DataFrame, keys: Sequence[str], column: str, schema: list[T.StructF
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            made = work(part.column(part.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *[f.name for f in schema]])
+            column = part.column(part.num_columns - 1)
+            size = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+            ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < part.num_rows:  # a block of rows at a time
+                before = int(ends[row - 1]) if row else 0
+                last = max(row + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, side="right")))
+                piece = part.slice(row, last - row)
+                made = work(piece.column(piece.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *made], names=[*part.schema.names[:-1], *[f.name for f in schema]])
+                row = last
 
     return narrow.mapInArrow(batches, T.StructType([*fields, *schema]))
 
@@ -250,7 +263,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, keys: Sequence[str], text
             if with_ids:
                 kept.append(np.array(ids, dtype=np.int32))
         made = [pa.array(counts, pa.int64()), pa.array(left), pa.array(right)]
-        return [*made, pa.array(kept, pa.list_(pa.int32()))] if with_ids else made
+        if with_ids:
+            bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            made.append(pa.ListArray.from_arrays(bounds, np.concatenate(kept) if kept else np.zeros(0, dtype=np.int32)))
+        return made
 
     schema = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
