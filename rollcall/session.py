@@ -72,3 +72,10 @@ def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
 def settle(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder and go on from the written table."""
     return settle_counted(df)[0]
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder, once its results have been read."""
+    folder = new_path(spark, "x").rsplit("/", 1)[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

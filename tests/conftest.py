@@ -10,11 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from rollcall.session import build_session
+    from rollcall.session import build_session, drop_tables
 
     session = build_session("tests", 8, partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_tables(session)
     session.stop()
 
 
