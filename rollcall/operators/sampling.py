@@ -48,16 +48,16 @@ def stratum(*parts: Column) -> Column:
 
 
 def stratified_split(
-    df: DataFrame, key: str, source: Sequence[str], strata: str, ratios: Mapping[str, float], seed: object
+    df: DataFrame, key: str, source: Sequence[str], strata: str, ratios: Mapping[str, float], seed: object, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Split per stratum; leftovers go to the split of the source that lacks most.
+    """Split per stratum; leftovers go to the split of the source that lacks most.  ``keep`` columns ride along.
 
     ``source`` may hold several columns (e.g. a seed and a source).  A split
     that lacks d rows offers d places at levels d, d-1, ..., 1; leftovers in
     hash order take the places from the highest level down.
     """
     by = [*source, strata]
-    rows, known = settle_counted(df.select(key, *by))
+    rows, known = settle_counted(df.select(key, *by, *keep))
     rows = rows.withColumn("_h", hash_order(seed, *[F.col(c).cast("string") for c in (*source, key)]))
     ranked = positions(rows, by, ["_h", key], "_pos", known)
     ranked = attach(ranked, by, {"_n": F.count(F.lit(1))}, known)
@@ -86,10 +86,10 @@ def stratified_split(
     ).filter("_p._d > 0")
     places = places.select(*source, "_p._o", "_p._s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_p._d"))).alias("_level"))
     places = positions(places, list(source), [F.desc("_level"), "_o"], "_rank", known).select(*source, "_rank", "_s")
-    left = positions(ranked.filter("split IS NULL").select(key, *by, "_h"), list(source), ["_h", key], "_rank", known)
+    left = positions(ranked.filter("split IS NULL").select(key, *by, *keep, "_h"), list(source), ["_h", key], "_rank", known)
     left = same_keys(left, places, [*source, "_rank"], "left")
-    placed = left.select(key, *by, F.coalesce("_s", F.lit(names[0])).alias("split"))
-    return ranked.filter("split IS NOT NULL").select(key, *by, "split").unionByName(placed)
+    placed = left.select(key, *by, *keep, F.coalesce("_s", F.lit(names[0])).alias("split"))
+    return ranked.filter("split IS NOT NULL").select(key, *by, *keep, "split").unionByName(placed)
 
 
 def split_objective(
@@ -116,11 +116,10 @@ def seed_sweep(
 ) -> tuple[DataFrame, DataFrame]:
     """(objective per seed, split of the best seed), all seeds in one pass."""
     tried = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    labels = settle(stratified_split(tried, key, ["seed", source], strata, ratios, "sweep"))
-    rows = same_keys(labels.drop(strata, source), df.select(key, source, *values), [key], "inner")
-    scores = settle(split_objective(rows, ["seed"], source, "split", values, ratios))
+    labels = settle(stratified_split(tried, key, ["seed", source], strata, ratios, "sweep", keep=values))
+    scores = settle(split_objective(labels, ["seed"], source, "split", values, ratios))
     best = scores.agg(F.min_by("seed", F.struct("objective", "seed")).alias("seed"))
-    winner = labels.filter(F.col("seed") == best.select("seed").scalar())
+    winner = labels.drop(*values).filter(F.col("seed") == best.select("seed").scalar())
     return scores, winner
 
 
