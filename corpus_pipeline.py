@@ -20,6 +20,8 @@ from rollcall.session import settle
 
 #: documents that score less are rejected
 LEAST_QUALITY = 0.5
+#: bytes of a repeated passage: fewer than 51 words have, even short ones
+PASSAGE_BYTES = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte passages that start earlier; a document of which nothing is left goes."""
+    """Texts without the passages of ``PASSAGE_BYTES`` that start earlier; a document of which nothing is left goes."""
     others = [c for c in docs.columns if c != "text"]
-    cut = remove_repeats(docs, keep=others, first=True)
+    cut = remove_repeats(docs, keep=others, length=PASSAGE_BYTES, first=True)
     cut = cut.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_removed") > 0
     values = {"text": F.col("kept"), "n_chars": F.when(changed, F.char_length("kept")).otherwise(F.col("row.n_chars"))}

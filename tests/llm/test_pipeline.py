@@ -42,7 +42,7 @@ def test_near_dedup_keeps_one_of_each_class(stages):
 
 
 def test_suffix_dedup_removes_later_copies(stages):
-    want = brute.without_repeats([(r["doc_id"], r["text"]) for r in stages[0][2]], 400, True)
+    want = brute.without_repeats([(r["doc_id"], r["text"]) for r in stages[0][2]], pipeline.PASSAGE_BYTES, True)
     text = {i: w[4].decode() for i, w in want.items() if w[1] == 0 or brute.words(w[4].decode())}
     assert {r["doc_id"]: r["text"] for r in stages[0][3]} == text
     assert all(r["n_chars"] == len(r["text"]) for r in stages[0][3] if want[r["doc_id"]][1])
