@@ -167,7 +167,8 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
         for part in parts:
             out: dict[str, list] = {n: [] for n in names}
             size = 0
-            for doc, text, wanted in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            slices = (part.slice(at, 128) for at in range(0, part.num_rows, 128))
+            for doc, text, wanted in (r for p in slices for r in zip(*[c.to_pylist() for c in p.columns], strict=True)):
                 raw = (text or "").encode()
                 for w in wanted:
                     for n in ("gram", "full", "hot", "lo"):
