@@ -257,9 +257,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = docs.select(document_order(F.col(doc_id)).alias("doc"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
     found = settle(_anchors(rows, length))
-    twice = settle(found.groupBy("gram").count().where("count > 1").select("gram"))
-    runs = settle(found.join(twice, "gram"))
     place = F.struct("doc", "lo", "hi")
+    twice = settle(
+        found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("full") == F.max("full")).alias("alike"), F.min(place).alias("lead"))
+        .where("n > 1").drop("n")
+    )
+    again = settle(found.join(twice, "gram"))
+    # a gram with one neighbourhood only: all its runs are equal, nothing is left to compare
+    alike = again.where("alike")
+    alike = (alike.where(place > F.col("lead")) if first else alike).select("doc", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("starts"))
+    runs = again.where(~F.col("alike")).drop("alike", "lead")
     kinds = settle(runs.groupBy("gram", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead")))
     # groups in which different runs meet, and something is left to decide
     groups = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1")
@@ -279,7 +286,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     whole = (F.col("n") > 1) & ((place > F.col("lead")) if first else F.lit(True))
     mine = F.transform("parts", lambda p: F.struct((F.col("lo") + p["a"]).alias("a"), (F.col("lo") + p["b"]).alias("b")))
     starts = F.when(whole, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(mine)
-    return judged.select("doc", starts.alias("starts")).where("starts IS NOT NULL").groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = judged.select("doc", starts.alias("starts")).where("starts IS NOT NULL").unionByName(alike)
+    return found.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _covered(starts: list[dict] | None, length: int, size: int) -> list[tuple[int, int]]:
