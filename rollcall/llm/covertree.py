@@ -167,13 +167,16 @@ def _compare_cells(cells: DataFrame, least: float) -> DataFrame:
                 i, j = i[exact], j[exact]
                 np.add.at(total, i, n[b[j]])
                 # an edge from each point to every part that it is not connected with yet
-                heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if i.size else []
-                for lo, hi in zip(heads, [*heads[1:], i.size]):
-                    x, ys = local[a[i[lo]]], local[b[j[lo:hi]]]
-                    parts, at = np.unique(root[ys], return_index=True)
+                xs, ys = local[a[i]], local[b[j]]
+                apart = root[xs] != root[ys]
+                xs, ys = xs[apart], ys[apart]
+                heads = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]])) if xs.size else []
+                for lo, hi in zip(heads, [*heads[1:], xs.size]):
+                    x, near = xs[lo], ys[lo:hi]
+                    parts, at = np.unique(root[near], return_index=True)
                     new = parts != root[x]
                     if new.any():
-                        edges += [(int(names[x]), int(names[y])) for y in ys[at[new]]]
+                        edges += [(int(names[x]), int(names[y])) for y in near[at[new]]]
                         root[np.isin(root, parts)] = root[x]
             links.update(zip(nodes[a].tolist(), total.tolist(), strict=True))
         found = [(x, c, None) for x, c in links.items() if c] + [(x, 0, y) for x, y in edges]
