@@ -23,6 +23,8 @@ from rollcall.llm.common import mix64, prefix_hash, range_hash, utf8_blocks
 from rollcall.session import settle
 
 GRAM = 32
+#: what names a row, and puts rows in order: id as a number, digest of the text, number of the row
+_OWN = ["doc", "part", "key"]
 #: different runs around one gram that one task puts into suffix order; larger groups are counted by hashes
 GROUP_RUNS = 4_000
 #: bytes that are put into suffix order together
@@ -146,34 +148,35 @@ _VERDICT = "gram bigint, full bigint, a int, b int"
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            own = part.column(0).to_numpy(zero_copy_only=False)
-            for row, bounds, data in utf8_blocks(part.column(1), 1_000_000):
+            own = [part.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            for row, bounds, data in utf8_blocks(part.column(3), 1_000_000):
                 r = anchor_runs(data, bounds, length)
                 base = bounds[r["row"]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["gram"]), pa.array(r["full"]), pa.array(own[row + r["row"]], pa.int64()),
+                    [pa.array(r["gram"]), pa.array(r["full"]), *[pa.array(o[row + r["row"]], pa.int64()) for o in own],
                      pa.array((r["lo"] - base).astype(np.int32)), pa.array((r["hi"] - base).astype(np.int32))],
-                    names=["gram", "full", "doc", "lo", "hi"],
+                    names=["gram", "full", *_OWN, "lo", "hi"],
                 )
 
-    return rows.mapInArrow(work, "gram bigint, full bigint, doc bigint, lo int, hi int")
+    return rows.select(*_OWN, "text").mapInArrow(work, "gram bigint, full bigint, doc bigint, part bigint, key bigint, lo int, hi int")
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted runs: rows (doc, text, wanted array of (gram, full, lo, hi, hot))."""
+    """The bytes of wanted runs: rows (doc, part, key, text, wanted array of (gram, full, lo, hi, hot))."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "full", "hot", "doc", "lo", "piece"]
+        names = ["gram", "full", "hot", *_OWN, "lo", "piece"]
         for part in parts:
             out: dict[str, list] = {n: [] for n in names}
             size = 0
             slices = (part.slice(at, 128) for at in range(0, part.num_rows, 128))
-            for doc, text, wanted in (r for p in slices for r in zip(*[c.to_pylist() for c in p.columns], strict=True)):
+            for *own, text, wanted in (r for p in slices for r in zip(*[c.to_pylist() for c in p.columns], strict=True)):
                 raw = (text or "").encode()
                 for w in wanted:
                     for n in ("gram", "full", "hot", "lo"):
                         out[n].append(w[n])
-                    out["doc"].append(doc)
+                    for n, o in zip(_OWN, own, strict=True):
+                        out[n].append(o)
                     out["piece"].append(raw[w["lo"] : w["hi"] + length])
                     size += w["hi"] + length - w["lo"]
                 if size > 8_000_000:
@@ -181,8 +184,8 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
                     out, size = {n: [] for n in names}, 0
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    schema = pa.schema([("gram", pa.int64()), ("full", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()), ("lo", pa.int32()), ("piece", pa.binary())])
-    return rows.mapInArrow(work, "gram bigint, full bigint, hot boolean, doc bigint, lo int, piece binary")
+    schema = pa.schema([("gram", pa.int64()), ("full", pa.int64()), ("hot", pa.bool_()), *[(n, pa.int64()) for n in _OWN], ("lo", pa.int32()), ("piece", pa.binary())])
+    return rows.mapInArrow(work, "gram bigint, full bigint, hot boolean, doc bigint, part bigint, key bigint, lo int, piece binary")
 
 
 def _order_groups(pieces: DataFrame, length: int, first: bool) -> DataFrame:
@@ -193,9 +196,10 @@ def _order_groups(pieces: DataFrame, length: int, first: bool) -> DataFrame:
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            once = {(g, f): (d, lo, p) for g, f, d, lo, p in reversed(held)}
+            once = {(g, f): (own, lo, p) for g, f, *own, lo, p in reversed(held)}
             keys, values = list(once), list(once.values())
-            hits = repeated_starts([v[2] for v in values], [(v[0], v[1]) for v in values], length, first) if keys else []
+            turn = {own: i for i, own in enumerate(sorted({tuple(v[0]) for v in values}))}
+            hits = repeated_starts([v[2] for v in values], [(turn[tuple(v[0])], v[1]) for v in values], length, first) if keys else []
             out = [(*k, a, b) for k, h in zip(keys, hits, strict=True) for a, b in _runs(h)]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -208,10 +212,10 @@ def _order_groups(pieces: DataFrame, length: int, first: bool) -> DataFrame:
                     held, size = [], 0
                 last = row[0]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[-1])
         yield flush()
 
-    dealt = pieces.select("gram", "full", "doc", "lo", "piece").repartition("gram").sortWithinPartitions("gram", "full", "doc", "lo")
+    dealt = pieces.select("gram", "full", *_OWN, "lo", "piece").repartition("gram").sortWithinPartitions("gram", "full", *_OWN, "lo")
     return dealt.mapInArrow(work, _VERDICT)
 
 
@@ -220,7 +224,7 @@ def _count_starts(pieces: DataFrame, length: int, first: bool) -> DataFrame:
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for gram, full, doc, lo, piece in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            for gram, full, *own, lo, piece in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 data = np.frombuffer(piece, dtype=np.uint8)
                 at = np.arange(data.size - length + 1)
                 n = at.size
@@ -228,18 +232,18 @@ def _count_starts(pieces: DataFrame, length: int, first: bool) -> DataFrame:
                 two = range_hash(prefix_hash(data ^ np.uint8(0x5A)), at, at + length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), pa.array(np.full(n, gram)), pa.array(np.full(n, full)),
-                     pa.array(np.full(n, doc)), pa.array((lo + at).astype(np.int64)), pa.array(at.astype(np.int32))],
-                    names=["one", "two", "gram", "full", "doc", "place", "a"],
+                     *[pa.array(np.full(n, o)) for o in own], pa.array((lo + at).astype(np.int64)), pa.array(at.astype(np.int32))],
+                    names=["one", "two", "gram", "full", *_OWN, "place", "a"],
                 )
 
     starts = settle(
-        pieces.select("gram", "full", "doc", "lo", "piece").dropDuplicates(["gram", "full"])
-        .mapInArrow(work, "one bigint, two bigint, gram bigint, full bigint, doc bigint, place bigint, a int")
+        pieces.select("gram", "full", *_OWN, "lo", "piece").dropDuplicates(["gram", "full"])
+        .mapInArrow(work, "one bigint, two bigint, gram bigint, full bigint, doc bigint, part bigint, key bigint, place bigint, a int")
     )
-    seen = settle(starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("lead")).where("n > 1"))
+    seen = settle(starts.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_OWN, "place")).alias("lead")).where("n > 1"))
     hits = starts.join(seen, ["one", "two"])
     if first:
-        hits = hits.where(F.struct("doc", "place") > F.col("lead"))
+        hits = hits.where(F.struct(*_OWN, "place") > F.col("lead"))
     return hits.select("gram", "full", "a", F.col("a").alias("b"))
 
 
@@ -248,16 +252,23 @@ def document_order(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(0x7FFFFFFFFFFFFFFF))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 400, first: bool = True, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """(doc, starts): for documents with repeats, the runs (from, to) of starts of repeated strings.
+def numbered_rows(docs: DataFrame, keep: Sequence[str], text: str, doc_id: str) -> DataFrame:
+    """(row, doc, part, key, text), written once: ``key`` is different in every row, whatever ids and texts recur."""
+    rows = docs.select(F.struct(*keep).alias("row"), document_order(F.col(doc_id)).alias("doc"), F.col(text).cast("string").alias("text"))
+    return settle(rows.select("row", "doc", F.xxhash64("text").alias("part"), F.monotonically_increasing_id().alias("key"), "text"))
+
 
-    ``doc`` is the id as a number.  With ``first`` a start counts if its ``length`` bytes
-    also start earlier, in order of (id, position); without, if they start anywhere else.
-    Matches never cross documents; those in one document and overlapping ones count.
+def repeated_spans(numbered: DataFrame, length: int = 400, first: bool = True, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """(key, starts): for rows with repeats, the runs (from, to) of starts of repeated strings.
+
+    ``numbered`` are rows (doc, part, key, text) of a written table.  With ``first`` a start
+    counts if its ``length`` bytes also start earlier, in order of (doc, part, key,
+    position); without, if they start anywhere else.  Matches never cross rows; those in
+    one row and overlapping ones count.
     """
-    rows = docs.select(document_order(F.col(doc_id)).alias("doc"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    rows = numbered.where(F.octet_length("text") >= length)
     found = settle(_anchors(rows, length))
-    place = F.struct("doc", "lo", "hi")
+    place = F.struct(*_OWN, "lo", "hi")
     twice = settle(
         found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("full") == F.max("full")).alias("alike"), F.min(place).alias("lead"))
         .where("n > 1").drop("n")
@@ -265,7 +276,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     again = settle(found.join(twice, "gram"))
     # a gram with one neighbourhood only: all its runs are equal, nothing is left to compare
     alike = again.where("alike")
-    alike = (alike.where(place > F.col("lead")) if first else alike).select("doc", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("starts"))
+    alike = (alike.where(place > F.col("lead")) if first else alike).select("key", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("starts"))
     runs = again.where(~F.col("alike")).drop("alike", "lead")
     kinds = settle(runs.groupBy("gram", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead")))
     # groups in which different runs meet, and something is left to decide
@@ -275,10 +286,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     groups = settle(groups.select("gram", (F.col("kinds") > group_runs).alias("hot")))
     wanted = (
         kinds.join(groups, "gram")
-        .groupBy(F.col("lead.doc").alias("doc"))
+        .groupBy(F.col("lead.key").alias("key"))
         .agg(F.collect_list(F.struct("gram", "full", F.col("lead.lo").alias("lo"), F.col("lead.hi").alias("hi"), "hot")).alias("wanted"))
     )
-    texts = rows.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
+    texts = rows.join(wanted.hint("shuffle_hash"), "key").select(*_OWN, "text", "wanted")
     pieces = settle(_contexts(texts, length))
     verdicts = _order_groups(pieces.where(~F.col("hot")), length, first).unionByName(_count_starts(pieces.where("hot"), length, first))
     verdicts = settle(verdicts).groupBy("gram", "full").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
@@ -286,8 +297,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     whole = (F.col("n") > 1) & ((place > F.col("lead")) if first else F.lit(True))
     mine = F.transform("parts", lambda p: F.struct((F.col("lo") + p["a"]).alias("a"), (F.col("lo") + p["b"]).alias("b")))
     starts = F.when(whole, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(mine)
-    found = judged.select("doc", starts.alias("starts")).where("starts IS NOT NULL").unionByName(alike)
-    return found.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = judged.select("key", starts.alias("starts")).where("starts IS NOT NULL").unionByName(alike)
+    return found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _covered(starts: list[dict] | None, length: int, size: int) -> list[tuple[int, int]]:
@@ -308,12 +319,12 @@ def remove_repeats(
 
     ``row`` is the struct of the ``keep`` columns.  The figures are about the UTF-8 bytes;
     ``kept`` is the remaining text, in which a character that a removed span covers only in
-    part stays whole.  NULL and empty texts have 0 bytes and keep an empty text.  Rows that
-    repeat an id count as one document in the order of documents, but each of them is
-    searched; rows without an id come last.
+    part stays whole.  NULL and empty texts have 0 bytes and keep an empty text.  Every row
+    is a document of its own: those that repeat an id follow each other in the order of
+    digests of their texts, those without an id come last in the same order.
     """
-    spans = repeated_spans(docs, text, doc_id, length, first, group_runs)
-    rows = docs.select(F.struct(*keep).alias("row"), document_order(F.col(doc_id)).alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = numbered_rows(docs, keep, text, doc_id)
+    spans = repeated_spans(rows, length, first, group_runs)
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -344,7 +355,7 @@ def remove_repeats(
                     names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("row", "text", "starts")
+    joined = rows.join(spans.hint("shuffle_hash"), "key", "left").select("row", "text", "starts")
     long, string = T.LongType(), T.StringType()
     fields = [("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", string), ("kept", string)]
     return joined.mapInArrow(work, T.StructType([joined.schema["row"], *[T.StructField(n, k) for n, k in fields]]))

@@ -362,6 +362,24 @@ def test_repeats_with_odd_rows(spark):
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4000, 1])
+def test_repeats_of_rows_that_share_an_id_or_have_none(spark, group):
+    p, q = (" ".join(prose(s, 12)) for s in (31, 32))
+    a, b, c, d = (" ".join(prose(s, 30)) for s in range(33, 37))
+    # rows without an id, and rows of one id, each with a passage somewhere else
+    rows = [(None, a + p), (None, p + b), (None, "n" + c), (7, c + q), (7, d), (7, q + d[:20] + "!"), (None, a + p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for first in (False, True):
+        # brute force on ids of our own, in the order of (id, digest of the text)
+        parts = [r[0] for r in df.select(F.xxhash64("text")).collect()]
+        order = sorted(range(len(rows)), key=lambda i: (rows[i][0] or 2**63, parts[i], i))
+        want = brute.without_repeats([(n, rows[i][1]) for n, i in enumerate(order)], 50, first)
+        want = sorted((str(rows[i][0]), *want[n]) for n, i in enumerate(order))
+        for input_ in (df, df.repartition(5)):
+            got = suffixes.remove_repeats(input_, length=50, first=first, group_runs=group).collect()
+            assert sorted((str(r["row"]["doc_id"]), r[1], r[2], r[3], r[4], r["kept"].encode()) for r in got) == want
+
+
 # ---- 8: quality ----
 
 
