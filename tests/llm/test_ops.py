@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rollcall.llm import bpe, compact, covertree, html_text, kdtree, minhash, mixing, quality, suffixes, warc
-from rollcall.llm.common import components
+from rollcall.llm.common import components, shingle_hashes
 from tests.conftest import SF
 from tests.llm import brute
 from tools.check import KINDS, TABLES, digest
@@ -275,6 +275,34 @@ def test_every_exactly_repeated_passage_is_found(spark):
     assert compact.passage_classes(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [50, 52, 55, 60])
+def test_passages_with_one_changed_word_at_every_position(n):
+    rng = np.random.default_rng(n)
+    for at in range(n):
+        shared = rng.integers(0, 2**62, n).astype(np.uint64)
+        near = shared.copy()
+        near[at] += np.uint64(1)
+        noise = [rng.integers(0, 2**62, 30).astype(np.uint64) for _ in range(4)]
+        words = [np.concatenate([noise[0], shared, noise[1][:10]]), np.concatenate([noise[2][:20], near, noise[3]])]
+        tokens = [shingle_hashes(w, np.array([0, w.size]), 5)[0] for w in words]
+        a, b = (compact.Side(t) for t in tokens)
+        # brute force: the best similarity of 46 shingles or more of one text with as many at the same distance in the other
+        best, shift = 0.0, 10
+        for i in range(20, 36):
+            for size in range(46, n - 4 + 10):
+                x, y = set(tokens[0][i : i + size].tolist()), set(tokens[1][i - shift : i - shift + size].tolist())
+                best = max(best, len(x & y) / len(x | y))
+        assert best >= 0.8
+        for centre in np.flatnonzero(a.found_in(b)).tolist():
+            for window in [(0, centre, a.tokens.size - 1, 0, centre - shift, b.tokens.size - 1), (30, centre, n + 25, 20, centre - shift, n + 15)]:
+                found = compact.passages_of(a, b, [window], 46, 0.8)
+                assert len(found) == 1, (at, centre)
+                p, q, r, s = found[0]
+                x, y = set(tokens[0][p : q + 1].tolist()), set(tokens[1][r : s + 1].tolist())
+                assert min(q - p, s - r) >= 45 and len(x & y) >= 0.8 * len(x | y)
+                assert window[0] <= p <= centre <= q <= window[2] and window[3] <= r <= centre - shift <= s <= window[5]
+
+
 # ---- 5: KD-trees ----
 
 
