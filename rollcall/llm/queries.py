@@ -12,6 +12,7 @@ from rollcall.llm.bpe import round_trip
 from rollcall.llm.common import load
 from rollcall.llm.compact import passage_classes
 from rollcall.llm.covertree import LINKS_SQL, embedding_links
+from rollcall.llm.fim import FIM_SQL, fill_in_middle, restore
 from rollcall.llm.html_text import extract_text
 from rollcall.llm.kdtree import TOP_K_SQL, top_k
 from rollcall.llm.minhash import with_classes
@@ -92,3 +93,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     found = passage_classes(load(spark, sf, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "class_id", "n_links", F.size("passages").alias("n_passages"), "passages")
+
+
+@_query("op11_fill_in_middle", FIM_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    made = restore(fill_in_middle(load(spark, sf, "documents").select("doc_id", "text")))
+    return made.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
