@@ -15,6 +15,7 @@ from rollcall.llm.covertree import LINKS_SQL, embedding_links
 from rollcall.llm.fim import FIM_SQL, fill_in_middle, restore
 from rollcall.llm.html_text import extract_text
 from rollcall.llm.kdtree import TOP_K_SQL, top_k
+from rollcall.llm.lexical import SEARCH_SQL, build_index, rank_documents
 from rollcall.llm.minhash import with_classes
 from rollcall.llm.mixing import MIX_SQL, mix_sources
 from rollcall.llm.quality import held_out, score_quality, train_quality
@@ -102,3 +103,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@_query("op12_ranked_search", SEARCH_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return rank_documents(build_index(load(spark, sf, "documents")), load(spark, sf, "benchmark"))
