@@ -18,6 +18,7 @@ from rollcall.llm.kdtree import TOP_K_SQL, top_k
 from rollcall.llm.lexical import SEARCH_SQL, build_index, rank_documents
 from rollcall.llm.minhash import with_classes
 from rollcall.llm.mixing import MIX_SQL, mix_sources
+from rollcall.llm.packing import pack_documents
 from rollcall.llm.quality import held_out, score_quality, train_quality
 from rollcall.llm.suffixes import remove_repeats
 from rollcall.llm.warc import WARC_SQL, archive_round_trip
@@ -108,3 +109,10 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op12_ranked_search", SEARCH_SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return rank_documents(build_index(load(spark, sf, "documents")), load(spark, sf, "benchmark"))
+
+
+@_query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = pack_documents(load(spark, sf, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
+    return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
