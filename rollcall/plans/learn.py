@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import hash_uniform
+from rollcall.operators import experiment as X
 from rollcall.operators import learn as L
+from rollcall.operators import linear as I
 from rollcall.operators import stats as T
 from rollcall.operators.metrics import regression_metrics
 from rollcall.operators.sampling import stratified_folds
@@ -38,6 +39,33 @@ def ml_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fitted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as entities with a source and a group, and with values missing here and there."""
+    hole = F.transform("v", lambda x, i: F.when((i >= 4) | (F.abs(x) >= 0.004), x))
+    return learning_rows(spark, sf).select(
+        "vec_id", hole.alias("v"), "y", "fold", "split", (F.col("label") % 2).cast("int").alias("g"), F.concat(F.lit("s"), F.col("label") % 3).alias("source")
+    )
+
+
+_GRID = {"01": 0.1, "1": 1.0, "10": 10.0, "100": 100.0}
+#: linear candidates with every step in the fold; the last cannot be fitted
+CANDIDATES = (
+    *[I.Candidate(f"ridge__a{n}", alpha=a) for n, a in _GRID.items()],
+    *[I.Candidate(f"ridge__k32_a{n}", k=32, alpha=a) for n, a in _GRID.items()],
+    *[I.Candidate(f"pca__{k}", "pca", k, 1.0) for k in (8, 24, 48)],
+    *[I.Candidate(f"{w}__ridge_a{a:g}", alpha=a) for w in ("short_weighted", "medium_weighted", "short_male_weighted") for a in (1.0, 10.0)],
+    I.Candidate("short_weighted__pca_24", "pca", 24, 1.0),
+    I.Candidate("elastic__grid", "elastic"),
+    I.Candidate("huber__135", "huber"),
+    I.Candidate("pca__too_many", "pca", 500, 1.0),
+)
+
+
+def linear_out_of_fold(spark: SparkSession, sf: str, candidates: tuple[I.Candidate, ...]) -> tuple[DataFrame, dict[str, str]]:
+    rows = settle(fitted_rows(spark, sf))
+    return I.out_of_fold(rows, ["vec_id", "y"], "v", "y", "g", "fold", WIDTH, candidates)
+
+
 def scored(preds: DataFrame) -> DataFrame:
     return rounded(regression_metrics(preds, ["candidate"], "y", "pred").select("candidate", "n", "mae", "rmse", "r2"), 4)
 
@@ -83,8 +111,8 @@ def ridge_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ml_huber_elastic")
 def huber_elastic(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = {k: v for k, v in L.regressors().items() if k in ("huber", "elastic")}
-    return scored(L.oof_predictions(ml_rows(spark, sf), "vec_id", "fold", chosen)[0])
+    chosen = tuple(c for c in CANDIDATES if c.kind in ("elastic", "huber"))
+    return scored(linear_out_of_fold(spark, sf, chosen)[0])
 
 
 @query("ml_trees")
@@ -95,18 +123,27 @@ def trees(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ml_oof_driver")
 def oof(spark: SparkSession, sf: str) -> DataFrame:
-    estimators = {"ridge": L.regressors()["ridge"], "broken": LinearRegression(featuresCol="absent", labelCol="y", predictionCol="pred")}
-    preds, failures = L.oof_predictions(ml_rows(spark, sf), "vec_id", "fold", estimators)
+    preds, failures = linear_out_of_fold(spark, sf, CANDIDATES)
     note = "; ".join(f"{n}: {m.split(':', 1)[0]}" for n, m in failures.items())
     return scored(preds).withColumn("failures", F.lit(note))
 
 
+@query("ml_frozen_experiment")
+def frozen(spark: SparkSession, sf: str) -> DataFrame:
+    rows = settle(fitted_rows(spark, sf).drop("fold"))
+    train, val, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
+    return rounded(X.report(X.frozen_experiment(train, val, test, CANDIDATES, WIDTH, key="vec_id")), 4)
+
+
 @query("ml_fit_predict")
 def fit_predict(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ml_rows(spark, sf)
-    query_rows = rows.filter("split = 'test'").drop("y")
-    out = L.fit_predict(rows.filter("split <> 'test'"), query_rows, "vec_id", L.regressors(), tuple(L.regressors()))
-    return out.select("vec_id", "candidate", F.round("pred", 4).alias("pred"))
+    rows = settle(fitted_rows(spark, sf))
+    train, new = rows.where("split <> 'test'"), rows.where("split = 'test'").drop("y", "fold")
+    out = I.refit_predict(train, new, ["vec_id"], "v", "y", "g", "fold", WIDTH, [c for c in CANDIDATES if c.name != "pca__too_many"])
+    trees = ml_rows(spark, sf)
+    names = ("forest", "boosted")
+    more = L.fit_predict(trees.filter("split <> 'test'"), trees.filter("split = 'test'").drop("y"), "vec_id", L.regressors(), names)
+    return out.unionByName(more).select("vec_id", "candidate", F.round("pred", 4).alias("pred"))
 
 
 @query("ml_bundle_score")

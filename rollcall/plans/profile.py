@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions import numbers as N
+from rollcall.functions.arrays import to_doubles
 from rollcall.functions.quality import item_outcome, item_weight
 from rollcall.operators import profile as P
+from rollcall.operators import vectors as V
 from rollcall.operators.grouped import lookup_join, scalar
 from rollcall.plans.frames import vectors
 from rollcall.plans.registry import query
@@ -220,7 +222,7 @@ _IWSQL = "least(greatest(least(greatest(speech, 0.1), 1.25) * least(greatest(1.0
 
 
 @query(
-    "agg_entity_features",
+    "agg_entity_scalars",
     with_sql("items")
     + f""", w AS (SELECT *, {_IWSQL} AS w FROM items),
        l AS (SELECT * FROM (SELECT entity_id, w, unnest([{{'feature': 'pred', 'v': pred}}, {{'feature': 'drift', 'v': drift}}, {{'feature': 'snr', 'v': snr}}], recursive := true) FROM w) WHERE v IS NOT NULL),
@@ -230,13 +232,35 @@ _IWSQL = "least(greatest(least(greatest(speech, 0.1), 1.25) * least(greatest(1.0
          round(any_value(w_std), 8) AS w_std, round(any_value(w_min), 8) AS w_min, round(any_value(w_max), 8) AS w_max
        FROM l JOIN n USING (entity_id) GROUP BY entity_id, feature""",
 )
-def entity_features(spark: SparkSession, sf: str) -> DataFrame:
+def entity_scalars(spark: SparkSession, sf: str) -> DataFrame:
     weight = item_weight(F.col("speech"), F.lit(None).cast("double"), F.col("clipped"))
     rows = items(spark, sf).withColumn("w", weight)
     features = P.entity_features(rows, "entity_id", ("pred", "drift", "snr"), "w")
     return rounded(features.join(P.entity_weights(rows, "entity_id", "w"), "entity_id"), 8)
 
 
+_VECTOR_ITEMS = f"""it AS (SELECT label * 1000000::BIGINT + vec_id // 40 AS entity_id, embedding, (vec_id % 97) / 96.0::DOUBLE AS speech, (vec_id % 13) / 100.0::DOUBLE AS clipped FROM embeddings),
+  wt AS (SELECT entity_id, embedding, {_IWSQL} AS w FROM it),
+  l AS (SELECT entity_id, w, (generate_subscripts(embedding, 1) - 1)::INT AS dim, unnest(embedding)::DOUBLE AS raw FROM wt),
+  v AS (SELECT entity_id, dim, w, CASE WHEN abs(raw) >= 0.002 THEN raw END AS x FROM l)"""
+
+
+@query(
+    "agg_entity_features",
+    f"""WITH {_VECTOR_ITEMS}
+       SELECT entity_id, dim, round(sum(w * x) / sum(w) FILTER (WHERE x IS NOT NULL), 8) AS mean, round(stddev_pop(x), 8) AS std, round(quantile_cont(x, 0.5), 8) AS median,
+         round(quantile_cont(x, 0.1), 8) AS p10, round(quantile_cont(x, 0.9), 8) AS p90, count(x) AS n
+       FROM v GROUP BY entity_id, dim""",
+)
+def entity_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Six statistics per dimension and entity of the item vectors; values near zero count as missing."""
+    rows = load(spark, sf, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL")
+    weight = item_weight(F.col("vec_id") % 97 / F.lit(96.0), F.lit(None).cast("double"), F.col("vec_id") % 13 / F.lit(100.0))
+    holes = F.transform(to_doubles(F.col("embedding")), lambda x: F.when(F.abs(x) >= 0.002, x))
+    found = rows.select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 40)).cast("long").alias("entity_id"), holes.alias("v"), weight.alias("w"))
+    return rounded(V.vector_statistics_long(found, "entity_id", "v", "w"), 8)
+
+
 @query(
     "agg_entity_embedding",
     """WITH l AS (SELECT label, (i - 1)::INT AS dim, x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE label < 8)
