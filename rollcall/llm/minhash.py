@@ -164,12 +164,12 @@ def _check_stars(rows: DataFrame, width: int, counts: bool, least: float) -> Dat
 
 
 def _check_blocks(rows: DataFrame, width: int, counts: bool, least: float) -> DataFrame:
-    """Links between rows (bucket, i, j, block, node, root, text) of different roots in each cell (bucket, i, j)."""
+    """Links from rows (bucket, i, j, left, rest, node, root, text): in each cell (bucket, i, j) the left rows are
+    compared with the others.  Two members of the rest meet on either side; one of the two is passed over."""
 
     def work(cell: pa.Table) -> pa.Table:
         sets = _sets(cell.column("text"), width, counts)
-        nodes, blocks = cell.column("node").to_pylist(), cell.column("block").to_pylist()
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        nodes, left, rest = (cell.column(n).to_pylist() for n in ("node", "left", "rest"))
         root = dict(zip(nodes, cell.column("root").to_pylist(), strict=True))
         up: dict[int, int] = {}
 
@@ -181,9 +181,10 @@ def _check_blocks(rows: DataFrame, width: int, counts: bool, least: float) -> Da
 
         size = [float(s[1].sum()) for s in sets]
         a, b = [], []
-        for p in range(len(nodes)):
-            for q in range(p):
-                if i != j and blocks[p] == blocks[q]:
+        ours, others = [p for p, x in enumerate(left) if x], [q for q, x in enumerate(left) if not x]
+        for p in ours:
+            for q in others:
+                if rest[q] and nodes[q] <= nodes[p]:
                     continue
                 if min(size[p], size[q]) < least * max(size[p], size[q]):
                     continue
@@ -217,10 +218,10 @@ def near_duplicates(
     each is a class of its own.  NULL ids are not looked at for ``class_id``.
 
     Equal texts are put together first.  In every bucket of every band each text is
-    compared with one centre, the text with the most copies.  Where other members of a
-    bucket are still in different classes, they are compared in blocks until each pair of
-    classes is decided; only links leave a task.  So all pairs that share a band are
-    settled, however many share it, and no group is gathered.
+    compared with one centre, the text with the most copies.  Where members of a bucket
+    are still in different classes, those outside its largest class are compared with all
+    others in blocks, until each pair of classes is decided; only links leave a task.  So
+    all pairs that share a band are settled, however many share it, and no group is gathered.
     """
     rows = docs.select(F.md5(F.col(text).cast("string")).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.where("text IS NOT NULL")
@@ -247,17 +248,25 @@ def near_duplicates(
 
     # members of a bucket that the centre did not bring together
     roots = components(links)
-    named = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    open_buckets = (
-        named.groupBy("band")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
-        .where("low <> high").groupBy("n", "same").agg(F.min("band").alias("band"))
-        .select("band", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    named = settle(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+    by_root = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("of"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    open_buckets = settle(
+        by_root.groupBy("band")
+        .agg(F.max(F.struct("of", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("of").alias("n"), F.sum("same").alias("same"))
+        .where("roots > 1").groupBy("n", "same").agg(F.min(F.struct("band", "main")).alias("one"))
+        .select(
+            F.col("one.band").alias("band"), F.col("one.main.root").alias("main"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"),
+            F.ceil((F.col("n") - F.col("one.main.of")) / BLOCK_ROWS).cast("int").alias("rest_blocks"),
+        )
     )
+    # members outside the largest class meet all members: (n - largest) x blocks + n x blocks of the rest
+    opened = named.join(open_buckets, "band").withColumn("rest", F.col("root") != F.col("main"))
+    place = lambda blocks: F.pmod(F.xxhash64("node", F.lit(7)), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    columns = [F.col("band").alias("bucket"), "i", "j", "left", "rest", "node", "root"]
     dealt = settle(
-        named.join(open_buckets, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.col("band").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+        opened.where("rest").withColumns({"i": place("rest_blocks"), "left": F.lit(True)}).withColumn("j", each("blocks")).select(*columns)
+        .unionByName(opened.withColumns({"j": place("blocks"), "left": F.lit(False)}).withColumn("i", each("rest_blocks")).select(*columns))
     )
     more = settle(_check_blocks(_with_text(dealt, reps, rows), width, counts, least))
     roots = components(links.unionByName(more))

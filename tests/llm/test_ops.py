@@ -379,7 +379,7 @@ def test_repeats_against_brute_force(spark, first, group):
 def test_repeats_query(spark):
     want = brute.without_repeats(texts_of(spark), 400, False)
     got = entry.queries()["op7_suffix_dedup"](spark, SF).collect()
-    assert {r[0]: tuple(r[1:]) for r in got} == {i: w[:4] for i, w in want.items()}
+    assert {r[0]: tuple(r[1:5]) for r in got} == {i: w[:4] for i, w in want.items()}
 
 
 def test_repeats_with_odd_rows(spark):
@@ -530,3 +530,18 @@ def test_extraction_query(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a</p>", "x")], "page_id long, url string, html string, text string")
     assert [r["text"] for r in html_text.extract_text(df, keep=("page_id", "url", "text")).collect()] == ["", "a"]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_dealt_rows_of_a_large_class_grow_linearly(spark, monkeypatch):
+    """One bucket of many near copies of one text and a few strangers: the strangers alone meet everyone."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 10)
+    seen = []
+    check = minhash._check_blocks
+    monkeypatch.setattr(minhash, "_check_blocks", lambda rows, *a: (seen.append(rows.count()), check(rows, *a))[1])
+    base = prose(3, 200)
+    for n in (100, 400):
+        texts = [" ".join([*base[: i % 200], f"new{i}", *base[i % 200 + 1 :]]) for i in range(n)]
+        texts += [" ".join([*prose(20 + i, 5), *base[: 60 + 9 * i]]) for i in range(5)]
+        got = {r["row"]["doc_id"]: r["class_id"] for r in minhash.with_classes(documents(spark, texts), bands=4, band_rows=1).collect()}
+        assert got == brute.near_classes(list(enumerate(texts)))
+    assert 0 < seen[1] <= 6 * seen[0]
