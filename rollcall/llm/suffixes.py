@@ -269,20 +269,13 @@ def repeated_spans(numbered: DataFrame, length: int = 400, first: bool = True, g
     rows = numbered.where(F.octet_length("text") >= length)
     found = settle(_anchors(rows, length))
     place = F.struct(*_OWN, "lo", "hi")
-    twice = settle(
-        found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("full") == F.max("full")).alias("alike"), F.min(place).alias("lead"))
-        .where("n > 1").drop("n")
-    )
-    again = settle(found.join(twice, "gram"))
-    # a gram with one neighbourhood only: all its runs are equal, nothing is left to compare
-    alike = again.where("alike")
-    alike = (alike.where(place > F.col("lead")) if first else alike).select("key", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("starts"))
-    runs = again.where(~F.col("alike")).drop("alike", "lead")
-    kinds = settle(runs.groupBy("gram", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead")))
+    # runs with the same neighbourhood are equal; grams that occur once have nothing to be compared with
+    each = found.groupBy("gram", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"))
+    each = settle(each)
+    grams = each.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("runs"), F.min("n").alias("least")).where("runs > 1")
+    kinds = settle(each.join(settle(grams.select("gram", "kinds", "least")), "gram"))
     # groups in which different runs meet, and something is left to decide
-    groups = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1")
-    if not first:
-        groups = groups.where("least = 1")
+    groups = kinds.where("kinds > 1" if first else "kinds > 1 AND least = 1").groupBy("gram").agg(F.first("kinds").alias("kinds"))
     groups = settle(groups.select("gram", (F.col("kinds") > group_runs).alias("hot")))
     wanted = (
         kinds.join(groups, "gram")
@@ -293,12 +286,12 @@ def repeated_spans(numbered: DataFrame, length: int = 400, first: bool = True, g
     pieces = settle(_contexts(texts, length))
     verdicts = _order_groups(pieces.where(~F.col("hot")), length, first).unionByName(_count_starts(pieces.where("hot"), length, first))
     verdicts = settle(verdicts).groupBy("gram", "full").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-    judged = runs.join(settle(kinds.join(verdicts, ["gram", "full"], "left")), ["gram", "full"])
+    decided = kinds.select("gram", "full", "n", "lead").join(verdicts, ["gram", "full"], "left").where("n > 1 OR parts IS NOT NULL")
+    judged = found.join(settle(decided), ["gram", "full"])
     whole = (F.col("n") > 1) & ((place > F.col("lead")) if first else F.lit(True))
     mine = F.transform("parts", lambda p: F.struct((F.col("lo") + p["a"]).alias("a"), (F.col("lo") + p["b"]).alias("b")))
     starts = F.when(whole, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(mine)
-    found = judged.select("key", starts.alias("starts")).where("starts IS NOT NULL").unionByName(alike)
-    return found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return judged.select("key", starts.alias("starts")).where("starts IS NOT NULL").groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _covered(starts: list[dict] | None, length: int, size: int) -> list[tuple[int, int]]:
