@@ -73,7 +73,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     found = remove_repeats(load(spark, sf, "documents"), first=False)
-    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
 
 
 @_query("op9_warc_round_trip", WARC_SQL)
