@@ -20,18 +20,25 @@ from rollcall.session import settle
 
 #: documents that score less are rejected
 LEAST_QUALITY = 0.5
-#: bytes of a repeated passage: fewer than 51 words have, even short ones
+#: bytes of a repeated passage; nearly all passages of 51 words are longer, but such of very short words (from 101 bytes on) are not found
 PASSAGE_BYTES = 250
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Each row is judged by its text alone, so repeated rows, rows without an id and ties fare alike; NULL and empty texts get a
+    score as well.  All columns go on, whatever their names; an empty table stays empty.
+    """
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model).where(F.col("score") >= LEAST_QUALITY).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicate documents the one with the smallest id."""
+    """Of each class of near-duplicate documents the one with the smallest id.
+
+    Rows that repeat that id, and rows of a class without any id, all stay.  NULL and empty texts are nobody's copies.
+    """
     return with_classes(docs).where(F.col("row.doc_id").eqNullSafe(F.col("class_id"))).select("row.*")
 
 
@@ -46,13 +53,19 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Rows that share an id, or have none, are taken or left together; documents without words add nothing and count for nothing.
+    """
     mixed = mix_sources(docs)
     return mixed.where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their digest, and the digest of the decoded bytes."""
+    """Token ids of every text, their digest, and the digest of the decoded bytes; NULL is an empty text without ids.
+
+    Other columns go on, but for such that are named like a result.
+    """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     others = [c for c in docs.columns if c != "text"]
     return round_trip(docs, ranks, public_tokenizers.PATTERN, others, with_ids=True)
