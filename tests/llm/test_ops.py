@@ -303,6 +303,36 @@ def test_passages_with_one_changed_word_at_every_position(n):
                 assert window[0] <= p <= centre <= q <= window[2] and window[3] <= r <= centre - shift <= s <= window[5]
 
 
+def test_passages_of_rows_without_id_and_of_repeated_ids(spark):
+    shared = " ".join(prose(11, 80))
+    own = [" ".join(prose(20 + i, 40)) for i in range(6)]
+    rows = [
+        (None, f"{own[0]} {shared}"), (None, f"{shared} {own[1]}"), (None, own[2]), (None, None), (7, f"{own[3]} {shared}"), (7, f"{shared} {own[4]}"),
+        (8, own[5]), (8, own[5]), (9, None),
+    ]
+    got = compact.passage_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    by = {(r["row"]["doc_id"], r["row"]["text"]): r for r in got}
+    assert len(got) == len(rows)
+    linked = [by[rows[i]] for i in (0, 1, 4, 5)]
+    assert {r["class_id"] for r in linked} == {7} and all(r["n_links"] > 0 and len(r["passages"]) == 1 for r in linked)
+    assert [by[rows[i]]["class_id"] for i in (2, 3, 6, 8)] == [None, None, 8, 9]
+    assert all(by[rows[i]]["n_links"] == 0 for i in (2, 3, 6, 8))
+
+
+def test_passages_of_texts_that_repeat_themselves():
+    rng = np.random.default_rng(5)
+    line, noise = rng.integers(0, 2**62, 60).astype(np.uint64), rng.integers(0, 2**62, 400).astype(np.uint64)
+    long = np.concatenate([np.tile(line, 60), noise])
+    a, b = (compact.Side(t) for t in (long, np.concatenate([noise[:20], np.tile(line, 50)])))
+    centres = np.arange(0, 60 * 59, 60)
+    windows = np.stack([centres * 0, centres, centres * 0 + a.tokens.size - 1, centres * 0, centres * 0 + 20, centres * 0 + b.tokens.size - 1], axis=1)
+    found = compact.passages_of(a, b, windows, 46, 0.8)
+    assert found
+    for p, q, r, s in found:
+        x, y = set(a.tokens[p : q + 1].tolist()), set(b.tokens[r : s + 1].tolist())
+        assert min(q - p, s - r) >= 45 and len(x & y) >= 0.8 * len(x | y)
+
+
 # ---- 5: KD-trees ----
 
 
@@ -545,3 +575,21 @@ def test_dealt_rows_of_a_large_class_grow_linearly(spark, monkeypatch):
         got = {r["row"]["doc_id"]: r["class_id"] for r in minhash.with_classes(documents(spark, texts), bands=4, band_rows=1).collect()}
         assert got == brute.near_classes(list(enumerate(texts)))
     assert 0 < seen[1] <= 6 * seen[0]
+
+
+# ---- 10: pages whose best subtree lies outside an article, and unmatched tags ----
+
+
+def test_a_teaser_article_does_not_displace_the_story():
+    story = [f"Paragraph {i} of the long story goes on and on." for i in range(12)]
+    page = "<body><div>" + "".join(f"<p>{p}</p>" for p in story) + "</div><article><p>Teaser.</p></article></body>"
+    assert html_text.main_text(page).split("\n")[:12] == story
+
+
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    started = time.process_time()
+    assert html_text.main_text("<b>" * 8_000 + "</i>" * 8_000) == ""
+    assert html_text.main_text("<i><div>" + "<b>x" * 9_000 + "</i>" * 9_000 + "<tr>" * 9_000) == "x" * 9_000
+    assert time.process_time() - started < 5
