@@ -140,10 +140,10 @@ def top_k(
     Each block of queries first searches one shard, and its k-th score goes along to all
     other shards: a box that cannot reach it is not opened.
     """
-    base, n = settle_counted(scaled(vectors, vec_id, embedding, scale))
-    asked, n_asked = settle_counted(base.where(is_query).withColumn("row", F.monotonically_increasing_id()))
+    base, n = settle_counted(scaled(vectors, vec_id, embedding, scale).withColumn("place", F.monotonically_increasing_id()))
+    asked, n_asked = settle_counted(base.where(is_query).drop("place").withColumn("row", F.monotonically_increasing_id()))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // query_rows))
-    base = base.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    base = base.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
     asked = asked.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     nothing = F.lit(None).cast("long")
