@@ -76,6 +76,20 @@ class Page:
     def _parse(self, source: str) -> None:
         stack, at, texts = [0], 0, self.texts
         articles = 0
+        opened: dict[str, list[int]] = {}  # places in the stack by name, so that no tag searches it
+        scopes = [0]
+
+        def shut(depth: int) -> int:
+            gone = 0
+            while len(stack) > depth:
+                node = stack.pop()
+                self.last[node] = len(self.name)
+                opened[self.name[node]].pop()
+                if self.name[node] in _SCOPE:
+                    scopes.pop()
+                gone += self.name[node] in ("article", "main")
+            return gone
+
         tail = source.rfind(">") + 1  # no tag ends behind it
         for tag in iter(lambda: _TAG.search(source, at, tail), None):
             if tag.start() > at:
@@ -89,30 +103,16 @@ class Page:
                 continue
             name = name.lower()
             if tag["end"] or tag["end2"]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_name = self.name[stack[depth]]
-                    if open_name == name:
-                        for node in stack[depth:]:
-                            self.last[node] = len(self.name)
-                            articles -= self.name[node] in ("article", "main")
-                        del stack[depth:]
-                        break
-                    if open_name in _SCOPE and name not in _BLOCK:
-                        break
+                depth = opened[name][-1] if opened.get(name) else 0
+                if depth and (name in _BLOCK or scopes[-1] <= depth):
+                    articles -= shut(depth)
                 if name in _BLOCK:
                     texts.append((stack[-1], None))
                 continue
             closes = _ENDS.get(name) or ({"p"} if name in _BLOCK else ())
-            if closes:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_name = self.name[stack[depth]]
-                    if open_name in closes:
-                        for node in stack[depth:]:
-                            self.last[node] = len(self.name)
-                        del stack[depth:]
-                        break
-                    if open_name in _SCOPE:
-                        break
+            depth = max((opened[c][-1] for c in closes if opened.get(c)), default=0)
+            if depth and scopes[-1] <= depth:
+                articles -= shut(depth)
             node = len(self.name)
             self.name.append(name)
             self.parent.append(stack[-1])
@@ -130,6 +130,9 @@ class Page:
                 at = close.end()
                 continue
             if name not in _VOID and not attrs.endswith("/"):
+                opened.setdefault(name, []).append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append(node)
                 articles += name in ("article", "main")
         if at < len(source):
@@ -201,7 +204,8 @@ class Page:
             if not wide or first >= wide[-1][1]:
                 wide.append((first, last))
         landmarks = [w for w in wide if self.name[w[0]] in ("article", "main")]
-        return landmarks or wide
+        # others are left out only where the largest sum lies in an article itself
+        return landmarks if any(first <= best < last for first, last in landmarks) else wide
 
     def _path(self, node: int, body: int) -> set[int]:
         if getattr(self, "_cached", None) is None:
