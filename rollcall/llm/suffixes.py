@@ -278,7 +278,12 @@ def repeated_spans(numbered: DataFrame, length: int = 400, first: bool = True, g
     alike = again.where("alike")
     alike = (alike.where(place > F.col("lead")) if first else alike).select("key", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("starts"))
     runs = again.where(~F.col("alike")).drop("alike", "lead")
-    kinds = settle(runs.groupBy("gram", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead")))
+    # equal runs of neighbouring rows go on as one row: at most 256 rows and 4,096 starts in each
+    slices = settle(
+        runs.groupBy("gram", "full", F.shiftright("key", 8).alias("near"), F.shiftright("lo", 12).alias("reach"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"), F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
+    )
+    kinds = settle(slices.groupBy("gram", "full").agg(F.sum("n").alias("n"), F.min("lead").alias("lead")))
     # groups in which different runs meet, and something is left to decide
     groups = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1")
     if not first:
@@ -293,11 +298,16 @@ def repeated_spans(numbered: DataFrame, length: int = 400, first: bool = True, g
     pieces = settle(_contexts(texts, length))
     verdicts = _order_groups(pieces.where(~F.col("hot")), length, first).unionByName(_count_starts(pieces.where("hot"), length, first))
     verdicts = settle(verdicts).groupBy("gram", "full").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
-    judged = runs.join(settle(kinds.join(verdicts, ["gram", "full"], "left")), ["gram", "full"])
-    whole = (F.col("n") > 1) & ((place > F.col("lead")) if first else F.lit(True))
-    mine = F.transform("parts", lambda p: F.struct((F.col("lo") + p["a"]).alias("a"), (F.col("lo") + p["b"]).alias("b")))
-    starts = F.when(whole, F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")))).otherwise(mine)
-    found = judged.select("key", starts.alias("starts")).where("starts IS NOT NULL").unionByName(alike)
+    # the order decides on the run that stands for its kind; its copies have an earlier, or another, match by themselves
+    leads = (kinds if first else kinds.where("n = 1")).join(verdicts, ["gram", "full"]).select(
+        F.col("lead.key").alias("key"),
+        F.transform("parts", lambda p: F.struct((F.col("lead.lo") + p["a"]).alias("a"), (F.col("lead.lo") + p["b"]).alias("b"))).alias("starts"),
+    )
+    copied = slices.select("gram", "full", "places").join(kinds.where("n > 1").select("gram", "full", "lead"), ["gram", "full"])
+    if first:
+        copied = copied.withColumn("places", F.filter("places", lambda p: (p["key"] != F.col("lead.key")) | (p["lo"] != F.col("lead.lo"))))
+    copies = copied.select(F.explode("places").alias("p")).select("p.key", F.array(F.struct(F.col("p.lo").alias("a"), F.col("p.hi").alias("b"))).alias("starts"))
+    found = leads.unionByName(copies).unionByName(alike)
     return found.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
