@@ -85,29 +85,46 @@ def master_b(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("entity_id", F.concat(F.lit("TIMIT_"), F.upper(F.substring("entity_id", 7, 100))))
 
 
-def nation_files(spark: SparkSession, sf: str) -> str:
-    """A folder with one text file for each nation."""
-    path = new_path(spark, "nations")
-    line = F.concat_ws(":", "n_name", F.col("n_regionkey").cast("string"))
-    load(spark, sf, "nation").select("n_nationkey", line.alias("value")).write.partitionBy("n_nationkey").text(path)
+#: order keys in one file
+_BLOCK = 250
+
+
+def order_files(spark: SparkSession, sf: str) -> str:
+    """A folder with one text file for each block of order keys, lines in order of the keys."""
+    path = new_path(spark, "orders")
+    block = F.floor(F.col("o_orderkey") / _BLOCK).cast("int").alias("block")
+    line = F.concat_ws(":", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")])
+    lines = load(spark, sf, "orders").select("o_orderkey", block, line.alias("value"))
+    lines.repartition("block").sortWithinPartitions("block", "o_orderkey").select("block", "value").write.partitionBy("block").text(path)
     return path
 
 
 def owner() -> Column:
-    return F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey")
+    return F.regexp_extract("path", "block=([0-9]+)", 1).cast("int").alias("block")
 
 
-_LINE = "concat(n_name, ':', n_regionkey, chr(10))"
+_FILES = f"""WITH files AS (
+    SELECT (o_orderkey // {_BLOCK})::INT AS block,
+           string_agg(concat(o_orderkey, ':', o_custkey, ':', o_orderstatus, chr(10)), '' ORDER BY o_orderkey) AS body
+    FROM orders GROUP BY 1)
+"""
 
 
-@query("src_file_listing", f"SELECT n_nationkey::INT AS n_nationkey, strlen({_LINE})::BIGINT AS length FROM nation")
+@query("src_file_listing", _FILES + "SELECT block, strlen(body)::BIGINT AS length FROM files")
 def file_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return R.list_files(spark, nation_files(spark, sf), ".TXT").select(owner(), "length")
+    return R.list_files(spark, order_files(spark, sf), ".TXT").select(owner(), "length")
 
 
-@query("sink_integrity_manifest", f"SELECT n_nationkey::INT AS n_nationkey, sha256({_LINE}) AS sha256, strlen({_LINE})::BIGINT AS bytes FROM nation")
+@query("sink_integrity_manifest", _FILES + "SELECT block, sha256(body) AS sha256, strlen(body)::BIGINT AS bytes FROM files")
 def integrity(spark: SparkSession, sf: str) -> DataFrame:
-    return S.integrity_manifest(spark, nation_files(spark, sf), ".txt").select(owner(), "sha256", "bytes")
+    return S.integrity_manifest(spark, order_files(spark, sf), ".txt").select(owner(), "sha256", "bytes")
+
+
+@query("sink_integrity_inputs")
+def integrity_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest of the given files themselves; a digest of Parquet files has no SQL form."""
+    found = S.integrity_manifest(spark, sf, ".parquet")
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "sha256", "bytes")
 
 
 @query(

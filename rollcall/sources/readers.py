@@ -83,16 +83,11 @@ def any_case_glob(suffix: str) -> str:
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = ".wav") -> DataFrame:
-    """Files under a root by suffix, any case; contents are not read."""
+    """Files under a root by suffix, any case; contents are not read.  Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case_glob(suffix)).load(root)
     return files.select("path", "length", "modificationTime")
 
 
-def read_contents(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case_glob(suffix)).load(root)
-    return files.select("path", "length", "content")
-
-
 def read_item_store(
     spark: SparkSession, path: str, schema: T.StructType = S.ITEM_FEATURES, defaults: Mapping[str, object] = S.ITEM_DEFAULTS
 ) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.hashing import table_fingerprint
 from rollcall.session import settle
-from rollcall.sources.readers import read_contents
+from rollcall.sources.readers import list_files
 
 POLICIES = {"refuse": "errorifexists", "overwrite": "overwrite", "resume": "append"}
 
@@ -84,9 +88,34 @@ def write_report(tables: Mapping[str, DataFrame], path: str) -> None:
         top.unionByName(rows).orderBy("place").select("value").write.mode("errorifexists").text(f"{path}/{name}.md")
 
 
-def integrity_manifest(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """sha256 and size of every input file."""
-    return read_contents(spark, root, suffix).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+def _opened(path: str) -> pa.NativeFile:
+    """A stream on a path as Spark lists it: its characters stand for themselves, %20 as well."""
+    scheme, host, place = re.fullmatch(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(/.*)", path, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem().open_input_stream(place)
+    store, root = fs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
+    return store.open_input_stream(root.rstrip("/") + place)
+
+
+def integrity_manifest(spark: SparkSession, root: str, suffix: str, chunk: int = 4 << 20) -> DataFrame:
+    """sha256 and size of every input file that is not empty (Spark lists no others).
+
+    Spark lists the files and deals them to tasks by size; a task streams one file at a time
+    and holds ``chunk`` bytes of it, so a file may be larger than a cell (2 GiB).  The size is
+    that of the bytes read.  ``root`` lies on a file system that ``pyarrow.fs`` opens.
+    """
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for path in part.column(0).to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with _opened(path) as stream:
+                    while block := stream.read(chunk):
+                        digest.update(block)
+                        size += len(block)
+                yield pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()], "bytes": [size]})
+
+    return list_files(spark, root, suffix).select("path").mapInArrow(work, "path string, sha256 string, bytes bigint")
 
 
 def missing_outputs(wanted: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:

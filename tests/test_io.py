@@ -1,8 +1,10 @@
 """Sources, sinks, content jobs, streams and plans."""
 
+import hashlib
 import json
 import math
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,21 @@ def test_listing(spark, tmp_path):
     assert readers.list_files(spark, str(tmp_path)).count() == 4
 
 
+def test_manifest_of_files(spark, tmp_path):
+    bodies = {"a.bin": b"", "b c%20d.BIN": b"x" * 70_001, "sub/e=1/f.bin": "\u00e4\n".encode() * 5, "g.txt": b"no"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    want = {(n.rsplit("/", 1)[-1], hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items() if b and n != "g.txt"}
+    got = sinks.integrity_manifest(spark, str(tmp_path), ".bin", chunk=1000).collect()
+    assert {(r["path"].rsplit("/", 1)[-1], r["sha256"], r["bytes"]) for r in got} == want and len(got) == 2
+
+
+def test_manifest_of_the_given_files(spark):
+    want = {(f.name, hashlib.sha256(f.read_bytes()).hexdigest(), f.stat().st_size) for f in pathlib.Path(SF).glob("*.parquet")}
+    assert {tuple(r) for r in entry.queries()["sink_integrity_inputs"](spark, SF).collect()} == want and len(want) == 14
+
+
 def test_levels_and_rules(spark):
     tone = [0.2 * math.sin(2 * math.pi * 220 * i / 800) for i in range(2000)]
     items = [("tone", tone, 800), ("silent", [0.0] * 2000, 800), ("none", [], 800), ("loud", [0.5, -1.0], 0)]
