@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -188,7 +189,8 @@ def regressors(seed: int = 11) -> dict[str, object]:
 def oof_predictions(df: DataFrame, key: str, fold: str, estimators: Mapping[str, object]) -> tuple[DataFrame, dict[str, str]]:
     """(long out-of-fold predictions, failures): one fit per candidate and fold.
 
-    A candidate that fails is recorded; the others go on.
+    A candidate that its data or parameters make fail is recorded, and the others go on; any
+    other error, such as a lost cluster, ends the call.
     """
     data = settle(df)
     folds = [r[fold] for r in data.select(fold).distinct().orderBy(fold).collect()]
@@ -204,7 +206,7 @@ def oof_predictions(df: DataFrame, key: str, fold: str, estimators: Mapping[str,
             bad = parts.filter(F.col("pred").isNull() | F.isnan("pred") | (F.abs("pred") == float("inf"))).count()
             if bad:
                 raise ValueError(f"{bad} unusable predictions")
-        except Exception as exc:  # noqa: BLE001 - any failing candidate is reported, not raised
+        except (AnalysisException, IllegalArgumentException, ValueError) as exc:
             failures[name] = f"{type(exc).__name__}: {exc}"
             continue
         out = parts if out is None else out.unionByName(parts)

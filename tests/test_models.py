@@ -104,3 +104,23 @@ def test_missing_bundle_input_is_an_error(spark, tmp_path):
     broken = ready.withColumn("features", F.when(F.col("id") != 3, F.col("features")))
     with pytest.raises(Exception, match="missing input vector"):
         score(broken).collect()
+
+
+def test_only_failures_of_a_candidate_are_recorded(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    from rollcall.operators import learn
+
+    df = spark.createDataFrame([(i, i % 2, float(i), [float(i), float(i % 3)]) for i in range(20)], "id int, fold int, y double, v array<double>")
+    data = df.withColumn("features", learn.array_to_vector("v"))
+    plain = LinearRegression(labelCol="y", predictionCol="pred")
+    absent = LinearRegression(labelCol="y", featuresCol="nowhere", predictionCol="pred")
+    preds, failures = learn.oof_predictions(data, "id", "fold", {"plain": plain, "absent": absent})
+    assert preds.count() == 20 and set(failures) == {"absent"}
+
+    class Lost:
+        def fit(self, _):
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        learn.oof_predictions(data, "id", "fold", {"lost": Lost()})
