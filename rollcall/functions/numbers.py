@@ -13,6 +13,11 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: by zero it is NaN or infinite, not an error."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def safe_number(text: Column, strip_commas: bool = False) -> Column:
     """Text to a finite double, or NULL."""
     cleaned = F.trim(text)

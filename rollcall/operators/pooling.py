@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollcall.functions.numbers import ratio
 from rollcall.functions.quality import distance_band, uncertainty_temper
 from rollcall.operators.grouped import attach, attach_quantile, measured, same_keys
 
@@ -127,7 +128,10 @@ def pool_evidence(
     df: DataFrame, keys: Sequence[str], value: str, var: str, quality: Column,
     max_var: float = 25.0, max_z: float = 1.5, target_std: float = 2.5, min_items: int = 2, inflation: float = 1.5, known: int | None = None,
 ) -> DataFrame:
-    """Entity estimate with abstention: noisy and inconsistent items do not count."""
+    """Entity estimate with abstention: noisy and inconsistent items do not count.
+
+    Where no item that counts has any quality the mean is NaN; an item without variance makes the deviation 0.
+    """
     rows = df.select(*keys, F.col(value).alias("_v"), F.col(var).alias("_var"), quality.alias("_q"))
     if known is None:
         rows, known = measured(rows, keys)
@@ -139,8 +143,8 @@ def pool_evidence(
     w = F.when(ok, F.col("_q") / (F.col("_var") + EPS))
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_total"), F.count_if("_use").alias("_valid"), F.count_if(ok).alias("_kept"), F.max("_med").alias("_med"),
-        F.avg(F.when(F.col("_use"), F.sqrt("_var"))).alias("_std"), (F.sum(w * F.col("_v")) / F.sum(w)).alias("_mean"),
-        F.sqrt(F.lit(inflation) / F.sum(F.when(ok, 1.0 / F.col("_var")))).alias("_pooled_std"),
+        F.avg(F.when(F.col("_use"), F.sqrt("_var"))).alias("_std"), ratio(F.sum(w * F.col("_v")), F.sum(w)).alias("_mean"),
+        F.sqrt(F.lit(inflation) / F.sum(F.when(ok, ratio(F.lit(1.0), F.col("_var"))))).alias("_pooled_std"),
     )
     few = F.col("_valid") < min_items
     mixed = ~few & (F.col("_kept") < min_items)

@@ -202,3 +202,12 @@ def test_gates(spark):
 def test_missing_variance_has_no_vote(spark):
     df = spark.createDataFrame([("e", 100.0, 1.0), ("e", 200.0, None)], "e string, v double, s double")
     assert pooling.pool_inverse_variance(df, "e", "v", F.lit(1.0), F.col("s")).first()["mean"] == 100.0
+
+
+def test_evidence_without_quality_or_variance(spark):
+    rows = [(1, 170.0, 4.0, 0.0), (1, 171.0, 4.0, 0.0), (2, 170.0, 4.0, 1.0), (2, 171.0, 4.0, 0.0), (3, 170.0, 0.0, 1.0), (3, 170.5, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "e int, v double, var double, q double")
+    out = {r["e"]: r for r in pooling.pool_evidence(df, ["e"], "v", "var", F.col("q")).collect()}
+    assert np.isnan(out[1]["mean"]) and out[1]["std"] == pytest.approx(np.sqrt(3.0)) and out[1]["status"] == "SUCCESS"
+    assert out[2]["mean"] == pytest.approx(170.0) and out[2]["n_accepted"] == 2
+    assert out[3]["mean"] == pytest.approx(170.25) and out[3]["std"] == 0.0
