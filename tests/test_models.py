@@ -124,3 +124,22 @@ def test_only_failures_of_a_candidate_are_recorded(spark):
 
     with pytest.raises(RuntimeError, match="lost"):
         learn.oof_predictions(data, "id", "fold", {"lost": Lost()})
+
+
+def test_draws_invert_the_hash_in_any_span():
+    keys = np.array([0, 1, 2, 987_654_321, stats.PRIME - 2, stats.PRIME - 1])
+    k, r = keys.astype(object)[:, None], np.arange(700).astype(object)[None, :]
+    a = (k * (2 * r + 1) + 12345) % stats.PRIME
+    c = ((a * a + r) % stats.PRIME * a + k) % stats.PRIME
+    want = np.searchsorted(np.array(stats.POISSON), (c / stats.PRIME).astype(float), side="right")
+    assert (stats.draws(keys, 700) == want).all()
+    assert (stats.draws(keys, 700, 650) == want[:, 650:]).all()
+
+
+def test_bootstrap_deals_rows_of_one_partition(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "id int, e double").coalesce(1)
+    sums = stats.replicate_sums(df, "id", "e", 17, 600)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    total = sums.agg(F.sum("weight").alias("w")).first()["w"]
+    assert abs(total / (200 * 600) - 1) < 0.02
