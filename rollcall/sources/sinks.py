@@ -55,8 +55,11 @@ def write_accept_reject(entities: DataFrame, items: DataFrame, path: str, reason
 
 
 def predictions_wide(df: DataFrame, keys: Sequence[str], y: str, candidate: str, pred: str, names: Sequence[str]) -> DataFrame:
-    """One prediction and one absolute error column per candidate."""
-    table = df.groupBy(*keys, y).pivot(candidate, list(names)).agg(F.first(pred))
+    """One prediction (the largest, were there several) and one absolute error column per candidate.
+
+    One aggregate of fixed width: no task holds a row per candidate.
+    """
+    table = df.groupBy(*keys, y).agg(*[F.max(F.when(F.col(candidate) == n, F.col(pred))).alias(n) for n in names])
     return table.withColumns({f"abs_err_{n}": F.abs(F.col(n) - F.col(y)) for n in names})
 
 

@@ -182,3 +182,12 @@ def test_huge_group_paths_give_the_same_rows(spark, monkeypatch, name):
     monkeypatch.setattr(grouped, "GROUP_ROWS", 20)
     monkeypatch.setattr(grouped, "BROADCAST_ROWS", 5)
     assert run() == plain
+
+
+def test_wide_predictions_are_one_aggregate_by_entity(spark):
+    rows = [(1, 170.0, "a", 171.0), (1, 170.0, "b", 168.0), (1, 170.0, "a", 172.0), (2, 160.0, "b", None), (None, 150.0, "a", 151.0), (3, 1.0, "c", 2.0)]
+    table = sinks.predictions_wide(spark.createDataFrame(rows, "e int, y double, c string, p double"), ["e"], "y", "c", "p", ["a", "b"])
+    got = {tuple(r) for r in table.select("e", "y", "a", "b", "abs_err_a", "abs_err_b").collect()}
+    assert got == {(1, 170.0, 172.0, 168.0, 2.0, 2.0), (2, 160.0, None, None, None, None), (None, 150.0, 151.0, None, 1.0, None), (3, 1.0, None, None, None, None)}
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
