@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators.grouped import group_quantiles
+from rollcall.session import settle
 
 
 def error_columns(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -54,8 +55,15 @@ def slice_rows(df: DataFrame, slices: Mapping[str, Column], keep: Sequence[str])
 def sliced_metrics(
     df: DataFrame, slices: Mapping[str, Column], y: str, pred: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Metrics overall and for every value of every slice, in one pass."""
-    long = slice_rows(df, {"all": F.lit("all"), **slices}, [*keys, y, pred])
+    """Metrics overall and for every value of every slice.
+
+    The rows are dealt to all tasks and written once, before they are repeated for every slice.
+    """
+    named = {f"_s{i}": c for i, c in enumerate(slices.values())}
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = settle(df.select(*keys, y, pred, *[c.alias(n) for n, c in named.items()]).repartition(tasks))
+    long = slice_rows(rows, {"all": F.lit("all"), **{d: F.col(n) for d, n in zip(slices, named, strict=True)}}, [*keys, y, pred])
     return regression_metrics(long, [*keys, "slice_dim", "slice_value"], y, pred)
 
 

@@ -140,3 +140,26 @@ def test_a_chain_of_steps_measures_its_groups_once(spark, tight, monkeypatch):
     plain = pooling.pool_robust(rows, "k", "v", F.col("q"))
     a, b = (sorted(tuple(r) for r in d.select("k", "mean", "var", "surviving", "rejected").collect()) for d in (sliced, plain))
     assert np.allclose(np.array(a, float), np.array(b, float))
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 4096])
+@pytest.mark.parametrize("lower", [False, True])
+def test_quantiles_of_wide_spans(spark, monkeypatch, buckets, lower):
+    rng = np.random.default_rng(2)
+    odd = [0.0, -0.0, 1e308, -1e308, 5e-324, float("inf"), float("-inf"), float("nan")]
+    values = [(0, float(v)) for v in rng.normal(size=300)] + [(1, 3.0)] * 50 + [(2, v) for v in odd * 4] + [(None, 1.0), (None, 2.0), (3, None)]
+    values += [(4, float(10.0**v)) for v in rng.integers(-200, 200, 200)] + [(5, float("inf"))] * 9
+    df = spark.createDataFrame(values, "k int, v double")
+    probs = {"a": 0.0, "b": 0.33, "c": 0.5, "d": 1.0}
+    plain = G.group_quantiles(df, ["k"], "v", probs, lower, aggs={"n": F.count(F.lit(1))})
+    expected = rows(plain, "k")
+    monkeypatch.setattr(G, "GROUP_ROWS", 5)
+    monkeypatch.setattr(G, "BUCKETS", buckets)
+    calls = []
+    near = G._near_quantiles
+    monkeypatch.setattr(G, "_near_quantiles", lambda *a: calls.append(1) or near(*a))
+    sliced = rows(G.group_quantiles(df, ["k"], "v", probs, lower, aggs={"n": F.count(F.lit(1))}).select(plain.columns), "k")
+    # interpolation between infinities is not compared
+    finite = lambda table: [r for r in table if r[0] not in (2, 5)]
+    assert calls and [r[0] for r in sliced] == [r[0] for r in expected]
+    assert np.allclose(np.array(finite(sliced), float), np.array(finite(expected), float), equal_nan=True)
