@@ -8,17 +8,26 @@ slices groups that are too large for one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions.hashing import hash_order, hash_uniform
 from rollcall.functions.numbers import bounded
-from rollcall.operators.grouped import attach, first_n, group_quantiles, lookup_join, positions, running, same_keys
+from rollcall.operators.grouped import attach, first_n, fits_task, group_quantiles, lookup_join, positions, running, same_keys
 from rollcall.session import settle, settle_counted
 
 SPLITS = ("train", "val", "test")
+#: seeds of a sweep that go along with a row, and the byte of a seed whose label another row has
+SEED_BLOCK, NO_LABEL = 24, 255
+#: parts into which a sweep cuts the values of a metric
+VALUE_SLICES = 32
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> Column:
@@ -47,6 +56,27 @@ def stratum(*parts: Column) -> Column:
     return F.concat_ws("|", *parts)
 
 
+def _free_places(sizes: DataFrame, source: Sequence[str], ratios: Mapping[str, float], share: Mapping[str, Column], known: int) -> DataFrame:
+    """(source, _rank, _s): the places that splits offer to leftovers, from strata sizes ``_n``."""
+    names = list(ratios)
+    totals = sizes.groupBy(*source).agg(
+        F.sum("_n").alias("_total"), *[F.sum(share[s]).alias(f"_got_{s}") for s in names]
+    )
+    wanted = {s: F.bround(F.col("_total") * F.lit(r)) for s, r in list(ratios.items())[:-1]}
+    last = F.col("_total")
+    for target in wanted.values():
+        last = last - target
+    wanted[names[-1]] = last
+    places = totals.select(
+        *source,
+        F.explode(
+            F.array(*[F.struct(F.lit(i).alias("_o"), F.lit(s).alias("_s"), (wanted[s] - F.col(f"_got_{s}")).cast("long").alias("_d")) for i, s in enumerate(names)])
+        ).alias("_p"),
+    ).filter("_p._d > 0")
+    places = places.select(*source, "_p._o", "_p._s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_p._d"))).alias("_level"))
+    return positions(places, list(source), [F.desc("_level"), "_o"], "_rank", known).select(*source, "_rank", "_s")
+
+
 def stratified_split(
     df: DataFrame, key: str, source: Sequence[str], strata: str, ratios: Mapping[str, float], seed: object, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -70,22 +100,7 @@ def stratified_split(
     ranked = ranked.withColumn("split", label)
 
     names = list(ratios)
-    totals = sizes.groupBy(*source).agg(
-        F.sum("_n").alias("_total"), *[F.sum(share[s]).alias(f"_got_{s}") for s in names]
-    )
-    wanted = {s: F.bround(F.col("_total") * F.lit(r)) for s, r in list(ratios.items())[:-1]}
-    last = F.col("_total")
-    for target in wanted.values():
-        last = last - target
-    wanted[names[-1]] = last
-    places = totals.select(
-        *source,
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("_o"), F.lit(s).alias("_s"), (wanted[s] - F.col(f"_got_{s}")).cast("long").alias("_d")) for i, s in enumerate(names)])
-        ).alias("_p"),
-    ).filter("_p._d > 0")
-    places = places.select(*source, "_p._o", "_p._s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_p._d"))).alias("_level"))
-    places = positions(places, list(source), [F.desc("_level"), "_o"], "_rank", known).select(*source, "_rank", "_s")
+    places = _free_places(sizes, source, ratios, share, known)
     left = positions(ranked.filter("split IS NULL").select(key, *by, *keep, "_h"), list(source), ["_h", key], "_rank", known)
     left = same_keys(left, places, [*source, "_rank"], "left")
     placed = left.select(key, *by, *keep, F.coalesce("_s", F.lit(names[0])).alias("split"))
@@ -111,16 +126,205 @@ def split_objective(
     return out.withColumn("objective", F.col("avg_ks") * 100.0 + F.col("penalty") * 2.0)
 
 
+def _one_label(width: int, at: Column, label: Column) -> Column:
+    """Labels of a block of seeds with one of them set."""
+    none = F.lit(f"{NO_LABEL:02X}")
+    return F.unhex(F.concat(F.repeat(none, at), F.lpad(F.hex(label), 2, "0"), F.repeat(none, F.lit(width - 1) - at)))
+
+
+def _sweep_labels(rows: DataFrame, known: int, key: str, source: str, strata: str, values: Sequence[str], ratios: Mapping[str, float], seeds: Sequence[int]) -> DataFrame:
+    """(key, source, strata, values, block, labels): the splits of a row under all seeds of a block, a byte for each.
+
+    ``NO_LABEL`` says that another row has the label; every row has one label per seed.
+    Strata that fit a task are ranked there for a block of seeds at a time; if one does
+    not, the rows are repeated by seed and ranked in slices.
+    """
+    names, columns = list(ratios), [key, source, strata, *values]
+    number = F.create_map(*[F.lit(x) for i, s in enumerate(names) for x in (s, i)])
+    index = F.create_map(*[F.lit(x) for i, s in enumerate(seeds) for x in (s, i)])
+
+    def alone(labelled: DataFrame) -> DataFrame:
+        at = index[F.col("seed")]
+        return labelled.select(
+            *columns, F.floor(at / SEED_BLOCK).cast("int").alias("block"), _one_label(SEED_BLOCK, (at % SEED_BLOCK).cast("int"), number[F.col("split")]).alias("labels")
+        )
+
+    if not fits_task(rows, [source, strata], known):
+        tried = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+        return settle(alone(stratified_split(tried, key, ["seed", source], strata, ratios, "sweep", keep=values)))
+
+    def work(group: pa.Table) -> pa.Table:
+        n, block = group.num_rows, group.column("block")[0].as_py()
+        upto = np.cumsum([math.floor(n * r) for r in ratios.values()])
+        by_place = np.searchsorted(upto, np.arange(1, n + 1)).astype(np.uint8)
+        by_place[by_place == upto.size] = NO_LABEL
+        tails = [t.encode() for t in group.column("tail").to_pylist()]
+        labels = np.full((n, SEED_BLOCK), NO_LABEL, dtype=np.uint8)
+        for i, seed in enumerate(seeds[block * SEED_BLOCK : (block + 1) * SEED_BLOCK]):
+            start = f"sweep:{seed}".encode()
+            hashes = np.frombuffer(b"".join([md5(start + t).digest() for t in tails]), dtype=">u8").astype(np.uint64).reshape(n, 2)
+            labels[np.lexsort((hashes[:, 1], hashes[:, 0])), i] = by_place
+        data = pa.py_buffer(labels.tobytes())
+        bounds = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * SEED_BLOCK).tobytes())
+        return group.drop_columns(["tail"]).append_column("labels", pa.Array.from_buffers(pa.binary(), n, [None, bounds, data]))
+
+    # the text that ``hash_order`` makes of seed, source and key, without its beginning
+    tail = F.concat_ws(":", F.lit(""), F.col(source).cast("string"), F.col(key).cast("string"))
+    blocks = F.array(*[F.lit(b) for b in range(-(-len(seeds) // SEED_BLOCK))])
+    tried = rows.select(*columns, F.explode(blocks).alias("block"), tail.alias("tail"))
+    schema = T.StructType([*[f for f in tried.schema.fields if f.name != "tail"], T.StructField("labels", T.BinaryType())])
+    ranked = settle(tried.groupBy("block", source, strata).applyInArrow(work, schema))
+
+    # leftovers of a stratum are fewer than its splits where the ratios add up to 1
+    byte = lambda i: F.hex(F.substring("labels", i + 1, 1)) == f"{NO_LABEL:02X}"
+    missing = F.array_compact(F.array(*[F.when(byte(i), F.lit(i)) for i in range(SEED_BLOCK)]))
+    left = ranked.select(*columns, "block", F.explode(missing).alias("_in")).withColumn("_at", F.col("block") * SEED_BLOCK + F.col("_in"))
+    left = left.filter(F.col("_at") < len(seeds)).withColumn("seed", F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("_at") + 1)).drop("block", "_in", "_at")
+    left, n_left = settle_counted(left.withColumn("_h", hash_order("sweep", *[F.col(c).cast("string") for c in ("seed", source, key)])))
+    sizes = rows.groupBy(source, strata).agg(F.count(F.lit(1)).alias("_n"))
+    places = _free_places(sizes, [source], ratios, {s: F.floor(F.col("_n") * F.lit(r)) for s, r in ratios.items()}, known)
+    left = positions(left, ["seed", source], ["_h", key], "_rank", n_left)
+    placed = same_keys(left, places, [source, "_rank"], "left").withColumn("split", F.coalesce("_s", F.lit(names[0])))
+    return settle(ranked.select(*columns, "block", "labels").unionByName(alone(placed)))
+
+
+def _label_matrix(column: pa.Array) -> np.ndarray:
+    bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]].reshape(len(column), SEED_BLOCK)
+
+
+def _label_counts(group: np.ndarray, n_groups: int, labels: np.ndarray, splits: int) -> np.ndarray:
+    """How often each split is the label of each seed, by group: (groups, seeds * splits)."""
+    cell = (group[:, None] * SEED_BLOCK + np.arange(SEED_BLOCK)[None, :]) * splits + labels
+    found = np.bincount(cell[labels != NO_LABEL], minlength=n_groups * SEED_BLOCK * splits)
+    return found.reshape(n_groups, SEED_BLOCK * splits)
+
+
+def _sweep_counts(labels: DataFrame, by: str, splits: int) -> DataFrame:
+    """(block, ``by``, cell, n): rows by split and seed, cell = place of the seed in the block * splits + split."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys, block = part.column(1).dictionary_encode(null_encoding="encode"), part.column(0).to_numpy()
+            n = len(keys.dictionary)
+            for b in np.unique(block).tolist():
+                at = np.flatnonzero(block == b)
+                counts = _label_counts(keys.indices.to_numpy()[at].astype(np.int64), n, _label_matrix(part.column(2))[at], splits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, b, dtype=np.int32)), keys.dictionary, pa.array(counts.tolist(), pa.list_(pa.int64()))], names=["block", by, "counts"]
+                )
+
+    partial = labels.select("block", by, "labels")
+    schema = T.StructType([*partial.schema.fields[:2], T.StructField("counts", T.ArrayType(T.LongType()))])
+    cells = partial.mapInArrow(work, schema).select("block", by, F.posexplode("counts").alias("cell", "n"))
+    return cells.groupBy("block", by, "cell").agg(F.sum("n").alias("n"))
+
+
+def _sweep_gaps(labels: DataFrame, rows: DataFrame, values: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(block, seed_at, metric, gap): KS distances of the first split to each other one, for all seeds at once.
+
+    Rows with their labels are sorted by value in slices of the values; counts run along
+    for all seeds of a block, from the totals of the slices before.  A slice may be of any size: it is streamed.
+    """
+    splits = len(names)
+    doubles = [F.col(v).cast("double").alias(v) for v in values]
+    probs = [i / VALUE_SLICES for i in range(1, VALUE_SLICES)]
+    row = rows.select(*doubles).agg(*[F.percentile_approx(v, probs, 1000).alias(v) for v in values]).first()
+    edges = {v: sorted(set(row[v] or [])) for v in values}
+    placed = lambda v: F.when(F.col(v).isNotNull(), F.size(F.filter(F.lit(edges[v]).cast("array<double>"), lambda e: e <= F.col(v))))
+    metrics = F.array(*[F.struct(F.lit(i).alias("metric"), F.col(v).alias("value"), placed(v).alias("slice")) for i, v in enumerate(values)])
+    long = labels.select("block", "labels", *doubles).select("block", "labels", F.explode(metrics).alias("m"))
+    long = long.where("m.value IS NOT NULL").select("block", F.col("m.metric").alias("metric"), F.col("m.slice").alias("slice"), F.col("m.value").alias("value"), "labels")
+    tables = []
+    for i, v in enumerate(values):
+        found = _sweep_counts(labels.select("block", "labels", placed(v).alias("slice")).where("slice IS NOT NULL"), "slice", splits)
+        tables.append(found.withColumn("metric", F.lit(i)))
+    cells = reduce(DataFrame.unionByName, tables)
+    # of each slice: what lies before it, and the totals; at most blocks x metrics x slices rows
+    upto = Window.partitionBy("block", "metric", "cell").orderBy("slice")
+    cells = cells.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "total": F.sum("n").over(Window.partitionBy("block", "metric", "cell"))})
+    ends = cells.groupBy("block", "metric", "slice").agg(F.array_sort(F.collect_list(F.struct("cell", "before", "total"))).alias("c"))
+    ends = ends.select("block", "metric", "slice", F.lit(None).cast("double").alias("value"), F.lit(None).cast("binary").alias("labels"), F.transform("c", lambda c: c["before"]).alias("before"), F.transform("c", lambda c: c["total"]).alias("total"))
+    none = F.lit(None).cast("array<bigint>")
+    dealt = ends.unionByName(long.withColumns({"before": none, "total": none}))
+    # the row with the totals has no value and comes first
+    dealt = dealt.repartition("block", "metric", "slice").sortWithinPartitions("block", "metric", "slice", F.col("labels").isNotNull(), "value")
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = value = total = None
+        count = best = np.zeros((SEED_BLOCK, splits))
+
+        def gaps(counts: np.ndarray) -> np.ndarray:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                share = counts / total
+            return np.abs(share[..., :1] - share[..., 1:])
+
+        def done() -> pa.RecordBatch:
+            found = np.fmax(best, gaps(count))
+            at = np.repeat(np.arange(SEED_BLOCK), splits - 1)
+            size, gap = at.size, found.ravel()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, of[0], dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(size, of[1], dtype=np.int32)),
+                 pa.array(np.tile(np.arange(1, splits), SEED_BLOCK).astype(np.int32)), pa.array(gap, mask=np.isnan(gap))], names=["block", "seed_at", "metric", "other", "gap"]
+            )
+
+        for part in parts:
+            keys = np.stack([part.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            number = part.column(3).to_numpy(zero_copy_only=False)
+            head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), part.num_rows], strict=True):
+                if of != tuple(keys[a].tolist()):
+                    if of is not None:
+                        yield done()
+                    of, value = tuple(keys[a].tolist()), None
+                    count, total = (np.array(part.column(i)[a].as_py(), dtype=np.int64).reshape(SEED_BLOCK, splits) for i in (5, 6))
+                    best = np.full((SEED_BLOCK, splits - 1), np.nan)
+                    a += 1
+                for lo in range(a, b, 4096):
+                    here = number[lo : min(lo + 4096, b)]
+                    labels_ = _label_matrix(part.column(4).slice(lo, here.size))
+                    ran = count + np.cumsum(labels_[:, :, None] == np.arange(splits, dtype=np.uint8), axis=0)
+                    same = (here[1:] == here[:-1]) | (np.isnan(here[1:]) & np.isnan(here[:-1]))
+                    if value is not None and not (here[0] == value or (np.isnan(here[0]) and np.isnan(value))):
+                        best = np.fmax(best, gaps(count))
+                    if not same.all():
+                        best = np.fmax(best, np.fmax.reduce(gaps(ran[:-1][~same]), axis=0))
+                    count, value = ran[-1], here[-1]
+        if of is not None:
+            yield done()
+
+    found = dealt.mapInArrow(work, "block int, seed_at int, metric int, other int, gap double")
+    return found.groupBy("block", "seed_at", "metric", "other").agg(F.max("gap").alias("gap"))
+
+
 def seed_sweep(
     df: DataFrame, key: str, source: str, strata: str, values: Sequence[str], ratios: Mapping[str, float], seeds: Sequence[int]
 ) -> tuple[DataFrame, DataFrame]:
-    """(objective per seed, split of the best seed), all seeds in one pass."""
-    tried = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    labels = settle(stratified_split(tried, key, ["seed", source], strata, ratios, "sweep", keep=values))
-    scores = settle(split_objective(labels, ["seed"], source, "split", values, ratios))
-    best = scores.agg(F.min_by("seed", F.struct("objective", "seed")).alias("seed"))
-    winner = labels.drop(*values).filter(F.col("seed") == best.select("seed").scalar())
-    return scores, winner
+    """(objective per seed, split of the best seed), all seeds in one pass.
+
+    The same split and objective as ``stratified_split`` and ``split_objective`` give seed
+    by seed; but a row goes along with its labels under a block of seeds, a byte for each.
+    """
+    seeds, names = [int(s) for s in dict.fromkeys(seeds)], list(ratios)
+    rows, known = settle_counted(df.select(key, source, strata, *values))
+    labels = _sweep_labels(rows, known, key, source, strata, values, ratios, seeds)
+    at = F.col("block") * SEED_BLOCK + F.col("seed_at")
+    listed = F.array(*[F.lit(s) for s in seeds])
+    seed = F.element_at(listed, at + 1).alias("seed")
+    mean = _sweep_gaps(labels, rows, values, names).filter(at < len(seeds)).groupBy(seed).agg(F.avg("gap").alias("avg_ks"))
+    by_source = _sweep_counts(labels, source, len(names)).withColumn("seed_at", F.floor(F.col("cell") / len(names)).cast("int"))
+    counts = by_source.filter(at < len(seeds)).groupBy(seed, source).agg(
+        F.sum("n").alias("_n"), *[F.sum(F.when(F.col("cell") % len(names) == i, F.col("n"))).alias(f"_{s}") for i, s in enumerate(names)]
+    )
+    off = sum((F.abs(F.col(f"_{s}") - F.col("_n") * F.lit(r)) / F.greatest(F.col("_n"), F.lit(1)) for s, r in ratios.items()), F.lit(0.0))
+    scores = same_keys(mean, counts.groupBy("seed").agg(F.sum(off).alias("penalty")), ["seed"], "left")
+    scores = settle(scores.withColumn("objective", F.col("avg_ks") * 100.0 + F.col("penalty") * 2.0))
+    best = scores.agg(F.min_by("seed", F.struct("objective", "seed")).alias("seed")).select((F.array_position(listed, F.col("seed")) - 1).cast("int").alias("at"))
+    found = labels.withColumn("_at", best.select("at").scalar()).filter(F.col("block") == F.floor(F.col("_at") / SEED_BLOCK))
+    label = F.conv(F.hex(F.substr("labels", F.col("_at") % SEED_BLOCK + 1, F.lit(1))), 16, 10).cast("int")
+    found = found.withColumn("_label", label).filter(F.col("_label") != NO_LABEL)
+    split = F.element_at(F.array(*[F.lit(s) for s in names]), F.col("_label") + 1)
+    return scores, found.select(key, F.element_at(listed, F.col("_at") + 1).alias("seed"), source, strata, split.alias("split"))
 
 
 def stratified_folds(df: DataFrame, key: str, levels: Sequence[Column], folds: int, seed: object, reduce_to_smallest: bool = True) -> DataFrame:
