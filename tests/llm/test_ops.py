@@ -406,6 +406,20 @@ def test_repeats_against_brute_force(spark, first, group):
     assert {r["row"]["doc_id"]: (r[1], r[2], r[3], r[4], r["kept"].encode()) for r in got} == want
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_copies_come_back_as_one_row_per_text(spark, monkeypatch, first):
+    seen = []
+    by_row = suffixes._by_row
+    monkeypatch.setattr(suffixes, "_by_row", lambda blocks: seen.append(by_row(blocks)) or seen[-1])
+    one, two, three = (" ".join(prose(s, 60)) for s in (70, 71, 72))
+    texts = [f"{i} {one} {(two, three)[i % 2]} {one}" for i in range(30)]
+    found = suffixes.remove_repeats(documents(spark, texts), length=50, first=first)
+    rows = {r["row"]["doc_id"]: tuple(r)[1:5] for r in found.collect()}
+    assert rows == {i: w[:4] for i, w in brute.without_repeats(list(enumerate(texts)), 50, first).items()}
+    keys = [r["key"] for r in seen[0].collect()]
+    assert keys and len(keys) == len(set(keys)) <= len(texts)
+
+
 def test_repeats_query(spark):
     want = brute.without_repeats(texts_of(spark), 400, False)
     got = entry.queries()["op7_suffix_dedup"](spark, SF).collect()
