@@ -319,6 +319,21 @@ def test_passages_of_rows_without_id_and_of_repeated_ids(spark):
     assert all(by[rows[i]]["n_links"] == 0 for i in (2, 3, 6, 8))
 
 
+@pytest.mark.parametrize("group", [compact.GROUP_ROWS, 2])
+def test_passages_whose_leads_hold_their_halves_apart(spark, monkeypatch, group):
+    monkeypatch.setattr(compact, "GROUP_ROWS", group)
+    line, n = " ".join(prose(300, 30)), 20
+    halves = [(" ".join(prose(400 + i, 27)), " ".join(prose(500 + i, 27))) for i in range(n)]
+    noise = [" ".join(prose(600 + i, 60)) for i in range(6 * n)]
+    # earlier texts with both halves, but apart; then two texts with the passage; a line that all of them hold
+    texts = [f"{noise[i]} {a} {noise[n + i]} {b} {line}" for i, (a, b) in enumerate(halves)]
+    texts += [f"{line} {noise[2 * n + i]} {a} {b} {noise[3 * n + i]}" for i, (a, b) in enumerate(halves)]
+    texts += [f"{noise[4 * n + i]} {a} {b} {noise[5 * n + i]} {line}" for i, (a, b) in enumerate(halves)]
+    got = {r["row"]["doc_id"]: r for r in compact.passage_classes(documents(spark, texts)).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {**{i: i for i in range(2 * n)}, **{2 * n + i: n + i for i in range(n)}}
+    assert [got[i]["n_links"] for i in range(3 * n)] == [0] * n + [1] * (2 * n)
+
+
 def test_passages_of_texts_that_repeat_themselves():
     rng = np.random.default_rng(5)
     line, noise = rng.integers(0, 2**62, 60).astype(np.uint64), rng.integers(0, 2**62, 400).astype(np.uint64)
