@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -405,6 +406,18 @@ def test_mix_comes_near_its_targets(spark):
 # ---- 7: suffix order ----
 
 
+def test_memory_of_suffix_order():
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 123, 5000).astype(np.uint8).tobytes()
+    pieces = [base[a : a + 400] for a in rng.integers(0, 4500, 2000).tolist()]
+    tracemalloc.start()
+    found = suffixes.repeated_starts(pieces, [(i, 0) for i in range(2000)], 250, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(f.size for f in found) > 200_000
+    assert peak < 85 * sum(map(len, pieces)), peak / sum(map(len, pieces))
+
+
 def repeats():
     rng = random.Random(6)
     bits = ["".join(rng.choice("abcé ") for _ in range(60)) for _ in range(4)]
