@@ -335,6 +335,51 @@ def test_passages_whose_leads_hold_their_halves_apart(spark, monkeypatch, group)
     assert [got[i]["n_links"] for i in range(3 * n)] == [0] * n + [1] * (2 * n)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_window_pairs_are_grouped_by_documents(spark, batch):
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 3), rng.randint(4, 6), rng.randint(0, 2), *[rng.randint(0, 2)] * 6) for _ in range(60)] + [(9, 10, 1, 0, 0, 0, 0, 0, 0)] * 3
+    names = ["a_doc", "b_doc", "function", *[f"{side}_{n}" for side in "ab" for n in ("lo", "centre", "hi")]]
+    schema = ", ".join(f"{n} {'bigint' if n.endswith('doc') else 'int'}" for n in names)
+    want = {}
+    for r in set(rows):
+        want.setdefault(r[:2], []).append(r[2:])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for agree in (2, 3):
+            got = {(r["lead"], r["doc"]): sorted(map(tuple, r["pairs"])) for r in compact._agreed(spark.createDataFrame(rows, schema), agree).collect()}
+            assert got == {k: sorted(x[1:] for x in v) for k, v in want.items() if len({x[0] for x in v}) >= agree}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_window_pairs_do_not_add_up_in_the_shuffle(spark, monkeypatch):
+    # 200 texts with one line: each batch sends a row per minimum, its pairs go along as bytes, and all of them come back
+    line = " ".join(prose(80, 60))
+    texts = [f"{line} {' '.join(prose(800 + i, 50))}" for i in range(200)]
+    rows = documents(spark, texts).selectExpr("doc_id AS doc", "text").coalesce(1)
+    for most in (4000, 7):
+        monkeypatch.setattr(compact, "LED_PAIRS", most)
+        windows = compact._windows(rows, 46, 5, 6).cache()
+        alone = windows.where("led IS NULL")
+        assert alone.count() == alone.select("key").distinct().count()
+        pairs = compact._joined(windows)
+        widths = windows.selectExpr("sum(octet_length(led))").first()[0]
+        assert pairs.count() == widths / compact._PAIR.itemsize and windows.where("led IS NOT NULL").count() <= pairs.count() / most + 10
+        assert pairs.groupBy("b_doc").agg(F.countDistinct("function").alias("n")).where("n >= 2").count() == 199
+        windows.unpersist()
+
+
+def test_hopeless_chains_are_not_measured_by_window():
+    rng = np.random.default_rng(13)
+    line, noise = rng.integers(0, 2**62, 20).astype(np.uint64), rng.integers(0, 2**62, 300).astype(np.uint64)
+    a, b = compact.Side(np.concatenate([noise[:80], line, noise[80:160]])), compact.Side(np.concatenate([noise[160:240], line, noise[240:]]))
+    pair = compact._Pair(a, b, (a.found_in(b), b.found_in(a)), [compact._sums(x, 4.0) for x in (a.found_in(b), b.found_in(a))], 4.0)
+    assert pair.around(85, 85, 46, 0.8) is None and pair.around(85, 85, 15, 0.8) is None  # what is known stays
+    assert compact._Pair(a, b, (a.found_in(b), b.found_in(a)), pair.before, 4.0).around(85, 85, 20, 0.8) is not None
+
+
 def test_passages_of_texts_that_repeat_themselves():
     rng = np.random.default_rng(5)
     line, noise = rng.integers(0, 2**62, 60).astype(np.uint64), rng.integers(0, 2**62, 400).astype(np.uint64)
