@@ -335,6 +335,46 @@ def test_passages_whose_leads_hold_their_halves_apart(spark, monkeypatch, group)
     assert [got[i]["n_links"] for i in range(3 * n)] == [0] * n + [1] * (2 * n)
 
 
+def test_passages_inside_a_class_and_at_several_places(spark):
+    n = 8
+    own = lambda i, size: " ".join(prose(1000 + i, size))
+    texts = []
+    for i in range(n):
+        common, a, b, twice = own(10 * i, 60), own(10 * i + 1, 27), own(10 * i + 2, 27), own(10 * i + 3, 60)
+        noise = [own(100 + 10 * i + k, 55) for k in range(8)]
+        # the first text leads all minima of the halves but holds them apart; the other two hold them together
+        texts += [f"{common} {noise[0]} {a} {noise[1]} {b} {twice} {noise[6]} {twice}", f"{common} {noise[2]} {a} {b} {noise[3]}", f"{noise[4]} {common} {noise[5]} {a} {b} {noise[7]} {twice}"]
+    got = {r["row"]["doc_id"]: r for r in compact.passage_classes(documents(spark, texts)).collect()}
+    for i in range(n):
+        assert [got[3 * i + k]["class_id"] for k in range(3)] == [3 * i] * 3
+        held = [{x for p in got[3 * i + k]["passages"] for x in range(p[0], p[1])} for k in range(3)]
+        assert set(range(60)) <= held[0] and set(range(224, 284)) <= held[0] and set(range(339, 399)) <= held[0]
+        assert set(range(60)) <= held[1] and set(range(115, 169)) <= held[1]
+        assert set(range(55, 115)) <= held[2] and set(range(170, 224)) <= held[2] and set(range(279, 339)) <= held[2]
+
+
+def test_windows_that_no_document_can_use_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(compact, "BLOCK_BYTES", 500)
+    rng = np.random.default_rng(3)
+    words = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 400)) for _ in range(12)]
+    line, shared = " ".join(f"l{x}" for x in range(20)), [f"s{x}" for x in range(50)]
+    cut = lambda w, i, j: " ".join(w.split()[i:j])
+    near = " ".join(shared[:20] + ["other"] + shared[21:])
+    texts = [f"{cut(w, 0, 60)} {line} {cut(w, 60, 120)}" for w in words[:8]]
+    texts += [f"{cut(words[8], 0, 60)} {' '.join(shared)} {line}", f"{line} {near} {cut(words[9], 0, 60)}"]
+    texts += [" ".join(["the"] * 25 + ["in"] * 25 + [f"r{i}"] * 25 + ["of"] * 25) for i in range(2)]
+    rows = documents(spark, texts).selectExpr("doc_id AS doc", "text").repartition(3)
+    # all places of all texts as centres of windows that reach everywhere
+    centres = [(c, 0, i, 0, c, len(t.split()) - 5) for i, t in enumerate(texts) for c in range(len(t.split()) - 4)]
+    windows = spark.createDataFrame(centres, "key bigint, function int, doc bigint, lo int, centre int, hi int")
+    got = {}
+    for r in compact._hopeful(windows, rows, 5, 46, 0.8).collect():
+        got.setdefault(r["doc"], set()).add(r["centre"])
+    assert not set(got) & set(range(8))  # a line of 20 words is too short for any of them
+    assert set(range(60, 106)) <= got[8] and set(range(20, 66)) <= got[9]
+    assert max(got[8]) < 130 and min(got[8]) >= 48 and max(got[9]) <= 78
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_window_pairs_are_grouped_by_documents(spark, batch):
     rng = random.Random(12)
